@@ -13,7 +13,7 @@ within their prefixes. The steps:
    and by position. Small buckets give group pairs; a large bucket is cut into
    blocks and dealt out as pairs of blocks, so that no task holds a bucket and
    no row is made for each pair of its members.
-4. Group pairs are expand to member pairs, thinned by parity sketches (their
+4. Group pairs are expanded to member pairs, thinned by parity sketches (their
    differing bits are a lower bound of the symmetric difference, so nothing that
    reaches the threshold is lost) and verified exactly on the whole sets.
    Members of one group are verified as a bucket of their own.
@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.llm.components import components
-from trialframe.llm.store import forget, save, small
+from trialframe.llm.store import bounded_batches, forget, save, small
 from trialframe.llm.words import mix, shingle_sets, slices, text_column
 
 #: At most so many shingles get a counted rank (16 bytes each where they are broadcast).
-HEAVY = 1 << 20
+HEAVY = 1 << 22
 #: Shingles that one task counts at once.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: A bucket of more members is dealt out in pairs of blocks.
 SMALL_BUCKET = 48
 #: Shingles in one block of a large bucket.
@@ -93,7 +93,7 @@ def _fingerprint(one: np.ndarray) -> tuple[int, int]:
 
 
 def _prefixes(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """(id, n, f1, f2, p, prefix): p is the prefix's hash."""
+    """(id, n, f1, f2, p, prefix, k): p is the prefix's hash, k the set's sketch."""
     frequent = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, text, width))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,26 +101,26 @@ def _prefixes(docs: DataFrame, doc_id: str, text: str, width: int, percent: int)
         for batch in batches:
             texts, ids = text_column(batch.column(1)), batch.column(0)
             for at, to in slices(texts):
-                n, f1, f2, p, prefix = [], [], [], [], []
+                n, f1, f2, p, prefix, k = [], [], [], [], [], []
                 for one in shingle_sets(texts.slice(at, to - at), width):
                     n.append(len(one))
                     if not len(one):
-                        f1.append(0), f2.append(0), p.append(0), prefix.append(one.view(np.int64))
+                        f1.append(0), f2.append(0), p.append(0), prefix.append(one.view(np.int64)), k.append(b"")
                         continue
                     rank = np.zeros(len(one), np.int64)
                     if len(heavy):
-                        k = np.minimum(np.searchsorted(heavy, one), len(heavy) - 1)
-                        rank = np.where(heavy[k] == one, counts[k], 0)
+                        at_ = np.minimum(np.searchsorted(heavy, one), len(heavy) - 1)
+                        rank = np.where(heavy[at_] == one, counts[at_], 0)
                     first = one[np.lexsort((one, rank))[: prefix_length(len(one), percent)]]
                     a, b = _fingerprint(one)
-                    f1.append(a), f2.append(b), p.append(_fingerprint(first)[0]), prefix.append(first.view(np.int64))
+                    f1.append(a), f2.append(b), p.append(_fingerprint(first)[0]), prefix.append(first.view(np.int64)), k.append(sketch(one).tobytes())
                 yield pa.record_batch(
-                    [ids.slice(at, to - at), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(p, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                    ["id", "n", "f1", "f2", "p", "prefix"],
+                    [ids.slice(at, to - at), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(p, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(k, pa.binary())],
+                    ["id", "n", "f1", "f2", "p", "prefix", "k"],
                 )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(of, "id long, n long, f1 long, f2 long, p long, prefix array<long>")
+    return rows.mapInArrow(of, "id long, n long, f1 long, f2 long, p long, prefix array<long>, k binary")
 
 
 def sketch(one: np.ndarray) -> np.ndarray:
@@ -154,53 +154,55 @@ def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _sets(docs: DataFrame, needed: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(id, s, k): sets and sketches of the class representatives in ``needed(id, f1)``."""
+    """(id, s): sets of the class representatives in ``needed(id, f1)``; a repeated row gives a repeated set."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids, want = text_column(batch.column(1)), batch.column(0), batch.column(2).to_pylist()
             for at, to in slices(texts, 1 << 20):
-                keep, s, k = [], [], []
+                keep, s = [], []
                 for i, one in enumerate(shingle_sets(texts.slice(at, to - at), width), at):
                     if _fingerprint(one)[0] == want[i]:  # another row of the same id may have another text
-                        keep.append(i), s.append(one.tobytes()), k.append(sketch(one).tobytes())
-                yield pa.record_batch([ids.take(pa.array(keep, pa.int64())), pa.array(s, pa.binary()), pa.array(k, pa.binary())], ["id", "s", "k"])
+                        keep.append(i), s.append(one.tobytes())
+                yield pa.record_batch([ids.take(pa.array(keep, pa.int64())), pa.array(s, pa.binary())], ["id", "s"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     if small(needed, BROADCAST_IDS):
         needed = F.broadcast(needed)
-    return rows.join(needed, "id").select("id", "text", "f1").mapInArrow(of, "id long, s binary, k binary").dropDuplicates(["id"])
+    return rows.join(needed, "id").select("id", "text", "f1").mapInArrow(of, "id long, s binary")
 
 
-def _verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among ``pairs(a, b)``: thinned on sketches, then verified on the sets."""
+def _thin_pairs(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs(a, b)`` that the sketches leave possible."""
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, nb, ka, kb = (batch.column(i).to_pylist() for i in range(6))
-            kept = [i for i in range(len(a)) if may_reach(np.frombuffer(ka[i], np.uint8), np.frombuffer(kb[i], np.uint8), na[i], nb[i], percent)]
-            yield pa.record_batch([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))], ["a", "b"])
+            na, nb, ka, kb = (batch.column(i).to_pylist() for i in range(2, 6))
+            kept = [i for i in range(len(na)) if may_reach(np.frombuffer(ka[i], np.uint8), np.frombuffer(kb[i], np.uint8), na[i], nb[i], percent)]
+            kept = pa.array(kept, pa.int64())
+            yield pa.record_batch([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
+
+    one = marks.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"))
+    two = marks.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(thin, "a long, b long")
+
+
+def _verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among ``pairs(a, b)``, verified on the sets."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, w = [], []
-            a, b, sa, sb = batch.column(0), batch.column(1), batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                if reaches(np.frombuffer(sa[i].as_py(), np.uint64), np.frombuffer(sb[i].as_py(), np.uint64), percent):
-                    u.append(a[i].as_py()), w.append(b[i].as_py())
-            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(w, pa.int64())], ["u", "w"])
-
-    def with_(pairs: DataFrame, value: str, n: bool) -> DataFrame:
-        cols = [F.col("id").alias("a"), F.col(value).alias("xa"), *([(F.length("s") / 8).cast("long").alias("na")] if n else [])]
-        other = [F.col("id").alias("b"), F.col(value).alias("xb"), *([(F.length("s") / 8).cast("long").alias("nb")] if n else [])]
-        return pairs.join(sets.select(*cols), "a").join(sets.select(*other), "b")
+            sa, sb = batch.column(2), batch.column(3)
+            kept = [i for i in range(batch.num_rows) if reaches(np.frombuffer(sa[i].as_buffer(), np.uint64), np.frombuffer(sb[i].as_buffer(), np.uint64), percent)]
+            kept = pa.array(kept, pa.int64())
+            yield pa.record_batch([batch.column(0).take(kept), batch.column(1).take(kept)], ["u", "w"])
 
-    near = with_(pairs, "k", True).select("a", "b", "na", "nb", "xa", "xb").mapInArrow(thin, "a long, b long")
-    return with_(near, "s", False).select("a", "b", "xa", "xb").mapInArrow(verify, "u long, w long")
+    with_sets = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    return with_sets.select("a", "b", "sa", "sb").mapInArrow(verify, "u long, w long")
 
 
-def _verify_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the ``members(bucket, id, n)`` of large buckets, a spanning forest for each pair of blocks."""
+def _deal_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """(bucket, x, y, block, id, n): the ``members(bucket, id, n)`` of each pair of blocks whose sizes allow a link."""
     order = Window.partitionBy("bucket").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, 0)
     blocks = members.withColumn("block", F.floor((F.sum("n").over(order) - F.col("n")) / BLOCK_SHINGLES))
     span = blocks.groupBy("bucket", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -208,18 +210,57 @@ def _verify_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     paired = one.join(two, (F.col("one.bucket") == F.col("two.bucket")) & (F.col("one.block") <= F.col("two.block")) & (F.col("one.most") * 100 >= F.col("two.least") * percent))
     paired = paired.select(F.col("one.bucket").alias("bucket"), F.col("one.block").alias("x"), F.col("two.block").alias("y"))
     dealt = paired.select("bucket", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    rows = blocks.join(dealt, ["bucket", "block"]).join(sets, "id").select("bucket", "x", "y", "block", "id", "n", "s", "k")
+    return blocks.join(dealt, ["bucket", "block"]).select("bucket", "x", "y", "block", "id", "n")
+
+
+def _partners(n: np.ndarray, marks: list[np.ndarray], left: int, apart: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the ``left`` first members, the later ones (of the other block, if ``apart``) that sizes and sketches leave possible, the likest first."""
+    narrow = min(map(len, marks))
+    folded = np.stack([_fold(m, narrow) for m in marks])
+    for i in range(left):
+        after = np.arange(left if apart else i + 1, len(n))
+        after = after[np.minimum(n[after], n[i]) * 100 >= np.maximum(n[after], n[i]) * percent]
+        if not len(after):
+            continue
+        differ = np.bitwise_count(folded[after] ^ folded[i]).sum(axis=1, dtype=np.int64)
+        possible = differ * (100 + percent) <= (n[after] + n[i]) * (100 - percent)
+        after = after[possible][np.argsort(differ[possible], kind="stable")]
+        if narrow < len(marks[i]):
+            after = np.array([j for j in after.tolist() if may_reach(marks[i], marks[j], int(n[i]), int(n[j]), percent)], np.int64)
+        if len(after):
+            yield i, after
+
+
+def _in_order(key, table: pa.Table, value: str):
+    """(ids, n, values, size of the first block, whether there are two) of a pair of blocks."""
+    block, ids, n = table["block"].to_numpy(), table["id"].to_numpy(), table["n"].to_numpy()
+    order = np.lexsort((ids, n, block))
+    values = [table[value][int(i)].as_buffer() for i in order]
+    apart = key[1].as_py() != key[2].as_py()
+    return ids[order], n[order], values, int((block == key[1].as_py()).sum()) if apart else len(ids), apart
+
+
+def _thin_blocks(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The ``members`` to whom the sketches leave a partner in their bucket; a row for each at most, not for each pair."""
+
+    def thin(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ids, n, k, left, apart = _in_order(key, table, "k")
+        kept = np.zeros(len(ids), bool)
+        for i, after in _partners(n, [np.frombuffer(x, np.uint8) for x in k], left, apart, percent):
+            kept[i] = True
+            kept[after] = True
+        return pa.table({"bucket": pa.array([key[0].as_py()] * int(kept.sum()), table.schema.field("bucket").type), "id": ids[kept], "n": n[kept]})
+
+    rows = _deal_blocks(members, percent).join(marks.select("id", "k"), "id").select("bucket", "x", "y", "block", "id", "n", "k")
+    return rows.groupBy("bucket", "x", "y").applyInArrow(thin, members.schema).distinct()
+
+
+def _verify_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the ``members(bucket, id, n)`` of large buckets, a spanning forest for each pair of blocks."""
 
     def verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        x, y = key[1].as_py(), key[2].as_py()
-        block = table["block"].to_numpy()
-        ids, n = table["id"].to_numpy(), table["n"].to_numpy()
-        order = np.lexsort((ids, n, block))
-        s, k = table["s"], table["k"]
-        held = [np.frombuffer(s[int(i)].as_py(), np.uint64) for i in order]
-        marks = [np.frombuffer(k[int(i)].as_py(), np.uint8) for i in order]
-        ids, n, block = ids[order], n[order], block[order]
-        left = int((block == x).sum()) if x != y else len(ids)
+        ids, n, s, left, apart = _in_order(key, table, "s")
+        held = [np.frombuffer(x, np.uint64) for x in s]
         root = list(range(len(ids)))
 
         def find(i):
@@ -228,24 +269,16 @@ def _verify_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
                 i = root[i]
             return i
 
-        narrow = min(len(m) for m in marks)
-        folded = np.stack([_fold(m, narrow) for m in marks])
         u, w = [], []
-        for i in range(left):
-            after = np.arange(i + 1 if x == y else left, len(ids))
-            after = after[n[after] * percent <= n[i] * 100] if x == y else after[np.minimum(n[after], n[i]) * 100 >= np.maximum(n[after], n[i]) * percent]
-            if not len(after):
-                continue
-            differ = np.bitwise_count(folded[after] ^ folded[i]).sum(axis=1, dtype=np.int64)
-            possible = differ * (100 + percent) <= (n[after] + n[i]) * (100 - percent)
-            after = after[possible][np.argsort(differ[possible], kind="stable")]
+        for i, after in _partners(n, [sketch(one) for one in held], left, apart, percent):
             for j in after.tolist():
                 a, b = find(i), find(j)
-                if a != b and may_reach(marks[i], marks[j], int(n[i]), int(n[j]), percent) and reaches(held[i], held[j], percent):
+                if a != b and reaches(held[i], held[j], percent):
                     root[max(a, b)] = min(a, b)
                     u.append(int(ids[i])), w.append(int(ids[j]))
         return pa.table({"u": pa.array(u, pa.int64()), "w": pa.array(w, pa.int64())})
 
+    rows = _deal_blocks(members, percent).join(sets, "id").select("bucket", "x", "y", "block", "id", "n", "s")
     return rows.groupBy("bucket", "x", "y").applyInArrow(verify, "u long, w long")
 
 
@@ -261,15 +294,24 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     their sets link; a row of null id is returned with nulls for class and
     component. Input columns other than the two named take no part.
     """
+    bounded_batches(docs.sparkSession)
     table = save(_prefixes(docs, doc_id, text, width, percent), "prefixes")
     full = table.where("id is not null and n > 0")
-    classes = full.groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.first("p").alias("p"), F.first("prefix").alias("prefix"))
-    classes = save(classes, "classes")
-    groups = classes.groupBy("n", "p").agg(F.min("id").alias("g"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    member = classes.join(groups.select("n", "p", "g", "members"), ["n", "p"]).select("g", "id", "n", "members")
+    classes = save(full.groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.first("p").alias("p")), "classes")
+    groups = classes.groupBy("n", "p").agg(F.min("id").alias("g"), F.count("*").alias("members"))
+    member = classes.join(groups, ["n", "p"]).select("g", "id", "n", "members")
+    repeats = table.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count() > 0
+    if repeats:
+        full = full.dropDuplicates(["id", "n", "f1"])
+    few_classes = small(classes, BROADCAST_IDS)
+
+    def only(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+        return rows.join(F.broadcast(keys) if few_classes else keys, on, "left_semi")
+
+    marks = only(full, classes.select("id", "n", "f1"), ["id", "n", "f1"]).select("id", "n", "k")
 
     # group rows by prefix shingle, with the bucket's size
-    listed = groups.select("g", "n", F.posexplode("prefix").alias("pos", "t"))
+    listed = only(full, groups.select(F.col("g").alias("id"), "n", "p"), ["id", "n", "p"]).select(F.col("id").alias("g"), "n", F.posexplode("prefix").alias("pos", "t"))
     bucket = save(listed.withColumn("size", F.count("*").over(Window.partitionBy("t"))).where("size > 1"), "buckets")
     few = bucket.where(F.col("size") <= SMALL_BUCKET)
     one, two = few.alias("one"), few.alias("two")
@@ -279,7 +321,8 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     found = one.join(two, (F.col("one.t") == F.col("two.t")) & (F.col("one.g") < F.col("two.g")) & up & (rest + F.least("one.pos", "two.pos") >= overlap))
     group_pairs = found.select(F.col("one.g").alias("g"), F.col("two.g").alias("h")).distinct()
     inner = member.select("g", F.col("id").alias("a"))
-    pairs = save(group_pairs.join(inner, "g").join(inner.select(F.col("g").alias("h"), F.col("a").alias("b")), "h").select("a", "b"), "pairs")
+    pairs = group_pairs.join(inner, "g").join(inner.select(F.col("g").alias("h"), F.col("a").alias("b")), "h").select("a", "b")
+    pairs = save(_thin_pairs(pairs, marks, percent), "pairs")
 
     # large buckets, each set of groups once, and the members of one group
     many = bucket.where(F.col("size") > SMALL_BUCKET)
@@ -287,10 +330,13 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     alike = alike.groupBy("x", "y", "c").agg(F.min("t").alias("t")).select("t")
     large = many.join(alike, "t").join(member, ["g", "n"]).select(F.struct("t", F.lit(False).alias("own")).alias("bucket"), "id", "n")
     own = member.where("members > 1").select(F.struct(F.col("g").alias("t"), F.lit(True).alias("own")).alias("bucket"), "id", "n")
-    large = save(large.unionAll(own), "blocks")
+    large = save(_thin_blocks(large.unionAll(own), marks, percent), "blocks")
 
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).unionAll(large.select("id")).distinct()
-    sets = save(_sets(docs, save(classes.select("id", "f1").join(ids, "id"), "needed"), doc_id, text, width), "sets")
+    sets = _sets(docs, save(classes.select("id", "f1").join(ids, "id"), "needed"), doc_id, text, width)
+    if repeats:
+        sets = sets.dropDuplicates(["id"])
+    sets = save(sets, "sets")
     links = _verify_pairs(pairs, sets, percent).unionAll(_verify_blocks(large, sets, percent))
     reached = components(links)
     for done in (pairs, large, sets, bucket):
