@@ -1,15 +1,71 @@
-"""The corpus pipeline: stages over the documents table, each on all that its predecessor kept."""
+"""The corpus pipeline: stages over the documents table, each on all that its predecessor kept.
+
+All stages but the last return the columns of documents; the last returns the
+packed pieces of what is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trialframe.llm.decontaminate import decontaminate
+from trialframe.llm.ngram_join import BROADCAST_IDS, ngram_jaccard_join
+from trialframe.llm.packing import pack_documents
+from trialframe.llm.quality import quality_scores
+from trialframe.llm.queries import GOOD, TOXIC, tokenizer_file
+from trialframe.llm.store import save, small
+from trialframe.llm.toxicity import learn_lexicon, toxicity_scores
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is below the threshold; the lexicon is learned from the labels of those given."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity_scores(docs, learn_lexicon(docs, labels), score="_toxicity")
+    return scored.where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of sufficient quality."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_scores(docs, labels).where(F.col("quality_score") >= GOOD).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each component of near copies (five words, 0.8); documents of null id stay."""
+    found = ngram_jaccard_join(docs.select("doc_id", "text"), width=5, percent=80)
+    gone = save(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
+    if small(gone, BROADCAST_IDS):
+        gone = F.broadcast(gone)
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        left = left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return left
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, tokenizer_file())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality classifier", drop_poor),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("best-fit packing", pack),
+]
 
-STAGES: list = []
+#: Fitted scores, connected components and a tokenizer: not for SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
