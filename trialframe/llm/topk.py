@@ -102,8 +102,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
     each row is a candidate. Queries go in blocks of bounded size, so that any
     number of them can be given.
     """
-    queries = queries.select(F.col(vec_id).cast("long").alias("i"), F.col(vector).cast("array<int>").alias("v")).where("i is not null and v is not null")
-    rows = vectors.select(F.col(vec_id).cast("long").alias("i"), F.col(vector).cast("array<int>").alias("v")).where("i is not null and v is not null")
+    queries = queries.select(F.col(vec_id).cast("long").alias("i"), F.col(vector).cast("array<long>").alias("v")).where("i is not null and v is not null")
+    rows = vectors.select(F.col(vec_id).cast("long").alias("i"), F.col(vector).cast("array<long>").alias("v")).where("i is not null and v is not null")
     found = None
     for size, count in sorted(tuple(r) for r in queries.groupBy(F.size("v")).count().collect()):  # a row for each length of vector
         parts = max(1, -(-count // QUERIES))
@@ -161,4 +161,4 @@ def _search(shared, k: int):
 def quantise(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
     """(vec_id, vector): floor(scale * x) of each component as a double; vectors that are null or hold nulls, NaN or infinity are left out."""
     odd = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.where(F.col(embedding).isNotNull()).where(~odd).select(F.col(vec_id), F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("vector"))
+    return vectors.where(F.col(embedding).isNotNull()).where(~odd).select(F.col(vec_id), F.transform(embedding, lambda x: F.floor(x.cast("double") * scale)).alias("vector"))
