@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -119,12 +121,13 @@ def neighbours(df: DataFrame, queries: DataFrame, key: str, array: str, k: int =
 
 def score_rows(df: DataFrame, array: str, scorer, out: str = "bolted_prob") -> DataFrame:
     """A probability for each row by ``scorer``, a function of a batch's matrix; rows in Arrow batches."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(v: pd.Series) -> pd.Series:
-        return pd.Series(np.asarray(scorer(np.stack(v.to_numpy())), float))
+        there = v.notna()
+        out = pd.Series(np.nan, index=v.index)
+        if there.any():
+            out[there] = np.asarray(scorer(np.stack(v[there].to_numpy())), float)
+        return out
 
     return df.withColumn(out, F.when(F.col(array).isNotNull(), score(F.col(array).cast("array<double>"))))
 

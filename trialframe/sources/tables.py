@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,8 +121,6 @@ def image_time(name: Column) -> Column:
 
 def image_quality(df: DataFrame, decode, content: str = "content") -> DataFrame:
     """``brightness`` of each image by ``decode`` (bytes to an array of grey values); -1 where it fails."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def brightness(data: pd.Series) -> pd.Series:
         def one(x):
@@ -162,7 +161,6 @@ def storage_profile(spark: SparkSession, paths: list[str]) -> DataFrame:
     def footers(batches):
         import io
 
-        import pandas as pd
         import pyarrow.parquet as pq
 
         for batch in batches:
