@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.llm.fit import fit_logistic, predict
-from trialframe.llm.store import forget, save
+from trialframe.llm.store import bounded_batches, forget, save
 from trialframe.llm.words import text_column
 
 #: Letters of other alphabets and the Latin letters they look like.
@@ -37,7 +37,7 @@ _BREAK = re.compile(r"[\W\d_]+")
 #: Labelled rows that are used to learn at most; taken by the hash of their id.
 FIT_ROWS = 20_000
 #: Toxic documents in which a lexicon entry must stand, and how many times likelier it must be there.
-LEAST_DOCS, LEAST_RATIO = 5, 8.0
+LEAST_DOCS, LEAST_RATIO = 5, 12.0
 #: Lexicon entries and learned exceptions at most, the best supported first.
 ENTRIES = 5_000
 #: Phrases in which a lexicon word means no harm.
@@ -122,6 +122,24 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def choose_entries(best: list[tuple[str, int, float]]) -> dict[str, float]:
+    """Weights of the entries to keep of (term, toxic documents, log ratio), the best supported first.
+
+    A term adds nothing after its own beginning. A beginning is too wide after
+    terms that account for much of its toxic documents with a larger ratio.
+    """
+    weights: dict[str, float] = {}
+    covered: dict[str, int] = {}
+    for term, docs, ratio in best:
+        begins = [term[:k] for k in range(4, len(term))]
+        if any(b in weights for b in begins) or covered.get(term, 0) >= 0.3 * docs:
+            continue
+        weights[term] = min(8.0, ratio)
+        for b in begins:
+            covered[b] = covered.get(b, 0) + docs
+    return weights
+
+
 def learn_lexicon(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Entries that stand in far more toxic than clean documents, over whole texts of the labelled rows.
 
@@ -145,11 +163,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     totals = counted.where("term = ''").first()
     toxic, clean = (totals["a"], totals["b"]) if totals else (0, 0)
     ratio = ((F.col("a") + 0.5) / (toxic + 1)) / ((F.col("b") + 0.5) / (clean + 1))
-    best = counted.where((F.col("term") != "") & (F.col("a") >= LEAST_DOCS) & (ratio >= LEAST_RATIO)).select("term", "a", "b", F.log(ratio).alias("w")).orderBy(F.desc("a"), F.length("term"), "term").limit(ENTRIES).collect()
-    weights: dict[str, float] = {}
-    for r in best:  # an entry whose own beginning is an entry adds nothing
-        if not any(r["term"][:k] in weights for k in range(4, len(r["term"]))):
-            weights[r["term"]] = min(8.0, float(r["w"]))
+    best = counted.where((F.col("term") != "") & (F.col("a") >= LEAST_DOCS) & (ratio >= LEAST_RATIO)).select("term", "a", F.log(ratio).alias("w")).orderBy(F.desc(F.col("a") * F.col("w")), F.length("term"), "term").limit(ENTRIES).collect()
+    weights = choose_entries([(r["term"], int(r["a"]), float(r["w"])) for r in best])
     spared = {f" {_BREAK.sub(' ', p).strip()} ".replace("l", "i") for p in exceptions}
     if weights:
         begins = [w for w in weights if not w.endswith(" ")]
@@ -178,6 +193,7 @@ def toxicity_scores(docs: DataFrame, lexicon: Lexicon, text: str = "text", score
 
     A column of that name is replaced; all others are kept as they are.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     docs = docs.drop(score)
     names = docs.columns
