@@ -4,25 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.operators.common import whole
+from trialframe.operators.order import global_rank
 
 
 def nearest_rank(df: DataFrame, value: str, q: float) -> DataFrame:
     """One row ``q``: the value of rank round(q (n-1)), counted from 0, of all non-null values.
 
-    Values are counted in ranges first, so that only a range is sorted in one task.
+    Values are ranked in ranges, so that no task holds them all.
     """
-    there = df.where(F.col(value).isNotNull())
+    there = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
     n = there.agg(F.count("*").alias("n"))
-    counted = there.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c")).withColumn("part", F.floor(F.col("v") * 8))
-    sums = counted.groupBy("part").agg(F.sum("c").alias("s"))
-    sums = sums.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = F.sum("c").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    upto = counted.join(sums, "part").withColumn("upto", F.col("before") + own)
-    return upto.crossJoin(F.broadcast(n)).where(F.col("upto") > F.floor(F.lit(q) * (F.col("n") - 1) + 0.5)).agg(F.min("v").alias("q"))
+    return global_rank(there, "v").crossJoin(F.broadcast(n)).where(F.col("_k") == F.floor(F.lit(q) * (F.col("n") - 1) + 0.5)).agg(F.min("v").alias("q"))
 
 
 def nearest_rank_outliers(df: DataFrame, value: str = "reward", area: str = "clean_area", q1: float = 0.01, q2: float = 0.99) -> DataFrame:

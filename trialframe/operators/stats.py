@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.functions.special import p_chi2, p_f, p_normal, p_range, p_t
+from trialframe.operators.order import average_rank, in_ranges
 
 
 def moments(df: DataFrame, value: str, group: str, within: tuple[str, ...] = ()) -> DataFrame:
@@ -106,7 +107,7 @@ def rank_sums(df: DataFrame, value: str, group: str) -> tuple[DataFrame, DataFra
     Distinct values are counted first; only these counts are put in order.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v"), group).agg(F.count("*").alias("_c"))
-    values = counted.groupBy("_v").agg(F.sum("_c").alias("_t")).withColumn("_part", F.floor(F.col("_v") * 8))
+    values = in_ranges(counted.groupBy("_v").agg(F.sum("_c").alias("_t")), "_v")
     parts = values.groupBy("_part").agg(F.sum("_t").alias("_s"))
     parts = parts.select("_part", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = F.coalesce(F.sum("_t").over(Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -218,8 +219,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     """(n, pearson, spearman, pearson_p): over rows with both values; ranks are averages of ties."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
-    out = both.withColumns({"_x": rank(x), "_y": rank(y)}).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_x", "_y").alias("spearman"))
+    out = average_rank(average_rank(both, x, "_x"), y, "_y").agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_x", "_y").alias("spearman"))
     t = F.col("pearson") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("pearson") * F.col("pearson")))
     return out.withColumn("pearson_p", p_t(t, F.col("n") - 2))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.operators.common import DAY_MICROS, PLANT, ZONE, before, micros, over, up_to, whole
+from trialframe.operators.order import global_rank
 
 HOUR_MICROS = DAY_MICROS // 24
 
@@ -166,11 +167,10 @@ def episode_returns(transitions: DataFrame, keys: tuple[str, ...] = PLANT) -> Da
 def episodes_at_percentiles(returns: DataFrame, percentiles: tuple[int, ...] = (10, 50, 90), keys: tuple[str, ...] = PLANT) -> DataFrame:
     """The terminal episodes whose return has rank round(p/100 * (n-1)), halves to even.
 
-    Ordered as a whole: one short row for each terminal episode.
+    Returns are ranked in ranges, so that no task holds all episodes.
     """
     ended = returns.where("is_terminal")
-    order = Window.orderBy("episode_return", *keys, "episode")
-    ranked = ended.withColumn("_k", F.row_number().over(order) - 1).crossJoin(F.broadcast(ended.agg(F.count("*").alias("_n"))))
+    ranked = global_rank(ended, "episode_return", (*keys, "episode")).crossJoin(F.broadcast(ended.agg(F.count("*").alias("_n"))))
     sought = F.explode(F.array(*[F.struct(F.lit(p).cast("long").alias("percentile"), F.bround(F.lit(p / 100.0) * (F.col("_n") - 1), 0).cast("long").alias("at")) for p in percentiles]))
     return ranked.withColumn("_p", sought).where("_k = _p.at").select(F.col("_p.percentile").alias("percentile"), *keys, "episode", "episode_return")
 

@@ -10,7 +10,7 @@ from trialframe.plans.registry import query
 from trialframe.plans.views import DAILY, REWARDED, W, daily, r6, rewarded, s6
 
 _UNTIL = "(PARTITION BY experiment, zone, plant_id ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-EPISODES = f"""{REWARDED}, flagged AS (SELECT *, bolted_prob > 0.9 AND day >= 60 AS terminal, coalesce(epoch_us(lead(time) OVER {W}) - epoch_us(time) <> 86400000000, false) AS truncated FROM rewarded),
+EPISODES = f"""{REWARDED}, flagged AS (SELECT *, bolted_prob > 0.4 AND day >= 20 AS terminal, coalesce(epoch_us(lead(time) OVER {W}) - epoch_us(time) <> 86400000000, false) AS truncated FROM rewarded),
 looked AS (SELECT *, lead(time) OVER {W} AS n1, lead(time, 2) OVER {W} AS n2, coalesce(max(CAST(terminal AS INT)) OVER {_UNTIL}, 0) AS done,
 CAST(coalesce(sum(CAST(truncated AS INT)) OVER {_UNTIL}, 0) AS BIGINT) AS episode, coalesce(lead(reward) OVER {W}, 0) AS step_reward, lead(clean_area) OVER {W} AS next_area FROM flagged),
 steps AS (SELECT experiment, zone, plant_id, time, episode, clean_area, next_area, step_reward, terminal, truncated OR (n2 IS NULL AND NOT terminal) AS truncated,
@@ -19,7 +19,7 @@ returns AS (SELECT experiment, zone, plant_id, episode, round(sum(step_reward),
 
 
 def steps(spark, sf_dir):
-    d = rewarded(spark, sf_dir).withColumn("terminal", (F.col("bolted_prob") > 0.9) & (F.col("day") >= 60))
+    d = rewarded(spark, sf_dir).withColumn("terminal", (F.col("bolted_prob") > 0.4) & (F.col("day") >= 20))
     return trajectory.build_transitions(trajectory.truncated_daily(d))
 
 
