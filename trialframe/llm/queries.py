@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from trialframe.llm import oracles
 from trialframe.llm.chat import chat_digests, format_conversations
 from trialframe.llm.decontaminate import benchmark_overlaps
 from trialframe.llm.html_text import extract_text
@@ -86,4 +87,10 @@ QUERIES = {
     for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_best_fit_packing, op4_quality_classifier, op5_warc, op6_exact_top_k, op7_chat_formatting, op8_license_scan, op9_toxicity, op10_benchmark_decontamination)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others are fitted, need a tokenizer or parse pages: tested against brute force, round trips and held-out rows.
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracles.NGRAM_JOIN,
+    "op5_warc": oracles.WARC,
+    "op6_exact_top_k": oracles.TOP_K,
+    "op7_chat_formatting": oracles.CHAT,
+}
