@@ -43,8 +43,8 @@ CHUNK = 1 << 21
 SMALL_BUCKET = 48
 #: Shingles in one block of a large bucket.
 BLOCK_SHINGLES = 1 << 17
-#: Document ids that may be broadcast (8 bytes each).
-BROADCAST_IDS = 1 << 20
+#: Rows of ids, sizes and fingerprints that may be broadcast (some 30 MB as a hash table).
+BROADCAST_IDS = 1 << 18
 _FP2 = np.uint64(0xA0761D6478BD642F)
 
 
