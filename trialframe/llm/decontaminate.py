@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialframe.llm.store import save
+from trialframe.llm.store import bounded_batches, save
 from trialframe.llm.words import hash_words, mix, slices, text_column
 
 #: Words that a seed takes (1) and passes over (0).
@@ -114,6 +114,7 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     overlap with nothing. Repeated document rows give repeated rows; null ids are
     kept as they are.
     """
+    bounded_batches(docs.sparkSession)
     keys = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     # benchmark rows in blocks of bounded size, whatever their number
     sized = save(keys.withColumn("w", F.size(F.split("text", r"[^\p{L}\p{N}]+"))), "benchmark")

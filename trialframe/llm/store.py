@@ -22,8 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of some megabytes, however long the rows are."""
+    """Arrow batches of some megabytes at most, so that neither side of a task holds much of its input."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:

@@ -13,7 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Bytes that are hashed at once; some ten numbers of eight bytes are held for each.
+HASH_BYTES = 1 << 19
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -34,14 +36,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's first n powers and their inverses modulo 2**64, kept for slices of the usual size."""
     if _kept and len(_kept[0]) >= n:
         return _kept[0][:n], _kept[1][:n]
-    size = max(n, SLICE_BYTES + 1)
+    size = max(n, HASH_BYTES + 1)
     made = []
     with np.errstate(over="ignore"):
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             x = np.full(size, base, np.uint64)
             x[0] = 1
             made.append(np.multiply.accumulate(x))
-    if n <= SLICE_BYTES + 1:
+    if n <= HASH_BYTES + 1:
         _kept[:] = made
     return made[0][:n], made[1][:n]
 
@@ -84,7 +86,7 @@ def hash_words(words: pa.LargeStringArray) -> np.ndarray:
     at = 0
     with np.errstate(over="ignore"):
         while at < len(words):
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + HASH_BYTES, "right")) - 1)
             low, e = ends[at], ends[at : to + 1] - ends[at]
             up, down = _powers(int(e[-1]))
             run = np.zeros(int(e[-1]) + 1, np.uint64)
