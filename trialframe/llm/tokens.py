@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialframe.llm.store import bounded_batches
 from trialframe.llm.words import slices, text_column
 
-#: Words that a worker remembers before it starts anew (some 100 MB).
-REMEMBERED = 500_000
+#: Words that a worker remembers before it starts anew (some 150 MB).
+REMEMBERED = 800_000
+#: Bytes of text whose words are looked up at once; a larger slice repeats fewer words.
+SLICE = 8 << 20
 #: Marks between which a word's letters may stand; each is a token run of its own.
 _MARKS = ".,;:!?\"()[]{}#$%&*|-/+=<>~^_`@\\"
 #: Letters whose lower case depends on their place or is longer than one letter.
@@ -37,7 +41,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.known: dict[str, bytes] = {}  # ids as unsigned 32-bit numbers
 
     @classmethod
     def of(cls, file: str) -> WordIds:
@@ -48,25 +53,24 @@ class WordIds:
     def _parts(self, word: str) -> tuple[str, str, str] | None:
         """Marks before, letters in lower case, marks after; None for any other word."""
         core = word.strip(_MARKS)
-        if not core.isalpha() or not _ODD.isdisjoint(core):
+        if not core.isalpha() or not _ODD.isdisjoint(core) or any(a in word for a in self.added):
             return None
         at = word.find(core)
         return word[:at], core.lower(), word[at + len(core) :]
 
-    def look_up(self, words: list[str]) -> list[tuple[int, ...]]:
+    def look_up(self, words: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         missing = [w for w in words if w not in known]
         if missing:
             parts = [self._parts(w) for w in missing]
-            ask = {x for w, p in zip(missing, parts) for x in ((w,) if p is None else filter(None, p)) if x not in known}
-            ask = list(ask)
+            ask = list({x for w, p in zip(missing, parts) for x in ((w,) if p is None else filter(None, p)) if x not in known})
             for x, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False)):
-                known[x] = tuple(e.ids)
+                known[x] = array("I", e.ids).tobytes()
             for w, p in zip(missing, parts):
                 if p is not None:
-                    known[w] = sum((known[x] for x in p if x), ())
+                    known[w] = b"".join([known[x] for x in p if x])
         return [known[w] for w in words]
 
     def encode(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,16 +80,31 @@ class WordIds:
         at = np.asarray(lists.offsets).astype(np.int64)
         at -= at[0]
         per_word = self.look_up(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, per_word), np.int64, len(per_word))
-        flat = np.fromiter((i for w in per_word for i in w), np.uint32, int(size.sum()))
-        begin = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else np.empty(0, np.int64)
-        which = np.asarray(coded.indices).astype(np.int64)
+        size = np.fromiter(map(len, per_word), np.int64, len(per_word)) >> 2
+        flat = np.frombuffer(b"".join(per_word), np.uint32)
+        begin = (np.cumsum(size) - size).astype(np.int32)
+        which = np.asarray(coded.indices)
         n = size[which]
         ends = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.repeat(begin[which] - ends[:-1], n) + np.arange(int(ends[-1]))] if len(which) else np.empty(0, np.uint32)
+        place = np.repeat(begin[which] - ends[:-1].astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = flat[place] if len(which) else np.empty(0, np.uint32)
         return ids, ends[at]
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together until they have about SLICE bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= SLICE:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def token_pieces(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every row of ``docs``.
 
@@ -97,9 +116,9 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", t
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds.of(tokenizer_file)
-        for batch in batches:
+        for batch in _joined(batches):
             texts, keys = text_column(batch.column(1)), batch.column(0).to_pylist()
-            for at, to in slices(texts):
+            for at, to in slices(texts, SLICE):
                 ids, ends = words.encode(texts.slice(at, to - at))
                 out: list[list] = [[], [], [], [], []]
                 pieces = []
@@ -118,5 +137,6 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", t
                     names.append("ids")
                 yield pa.record_batch(columns, names)
 
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(cut, schema)
