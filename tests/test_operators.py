@@ -185,7 +185,7 @@ def test_nearest_rank(spark, n):
     v = [r.uniform(-5, 5) if r.random() > 0.2 else 1.5 for _ in range(n)]
     df = frame(spark, [(x,) for x in v] + [(None,)], "v double")
     for q in (0.01, 0.5, 0.99):
-        assert quality.nearest_rank(df, "v", q).first()["q"] == sorted(v)[math.floor(q * (n - 1) + 0.5)]
+        assert quality.nearest_ranks(df, "v", q=q).first()["q"] == sorted(v)[math.floor(q * (n - 1) + 0.5)]
 
 
 def test_iqr_and_finite(spark):

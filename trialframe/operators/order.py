@@ -17,16 +17,25 @@ def in_ranges(df: DataFrame, value: str) -> DataFrame:
     return df.crossJoin(F.broadcast(splits)).withColumn("_part", below).drop("_splits")
 
 
-def global_rank(df: DataFrame, value: str, ties: tuple[str, ...] = (), out: str = "_k") -> DataFrame:
-    """``out``: each row's place from 0 by ``value`` and then ``ties``; null values must be left out before."""
+def global_rank(df: DataFrame, value: str, ties: tuple[str, ...] = (), out: str = "_k", total: str | None = None) -> DataFrame:
+    """``out``: each row's place from 0 by ``value`` and then ``ties``; null values must be left out before.
+
+    ``total``, if given, is a column with the number of all rows.
+    """
     parts = in_ranges(df, value)
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("_part", before.alias("_before"))  # RANGES rows at most
+    sizes = _sizes(parts, total)
     own = F.row_number().over(Window.partitionBy("_part").orderBy(value, *ties))
     return parts.join(F.broadcast(sizes), "_part").withColumn(out, F.col("_before") + own - 1).drop("_part", "_before")
 
 
+def _sizes(parts: DataFrame, total: str | None = None) -> DataFrame:
+    """(_part, _before): the rows before each range; RANGES rows at most."""
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = [F.sum("_n").over(Window.partitionBy()).alias(total)] if total else []
+    return sizes.select("_part", before.alias("_before"), *whole)
+
+
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """``out``: each row's rank from 1, the mean of the ranks of equal values; null values must be left out before."""
     parts = in_ranges(df, value)

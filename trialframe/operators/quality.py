@@ -11,19 +11,19 @@ from trialframe.operators.common import whole
 from trialframe.operators.order import global_rank
 
 
-def nearest_rank(df: DataFrame, value: str, q: float) -> DataFrame:
-    """One row ``q``: the value of rank round(q (n-1)), counted from 0, of all non-null values.
+def nearest_ranks(df: DataFrame, value: str, **quantiles: float) -> DataFrame:
+    """One row with a column for each quantile q: the value of rank round(q (n-1)), counted from 0, of all non-null values.
 
-    Values are ranked in ranges, so that no task holds them all.
+    Values are ranked in ranges, once for all quantiles, so that no task holds them all.
     """
-    there = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
-    n = there.agg(F.count("*").alias("n"))
-    return global_rank(there, "v").crossJoin(F.broadcast(n)).where(F.col("_k") == F.floor(F.lit(q) * (F.col("n") - 1) + 0.5)).agg(F.min("v").alias("q"))
+    ranked = global_rank(df.where(F.col(value).isNotNull()).select(F.col(value).alias("v")), "v", total="_n")
+    at = {name: F.col("_k") == F.floor(F.lit(q) * (F.col("_n") - 1) + 0.5) for name, q in quantiles.items()}
+    return ranked.agg(*[F.min(F.when(sought, F.col("v"))).alias(name) for name, sought in at.items()])
 
 
 def nearest_rank_outliers(df: DataFrame, value: str = "reward", area: str = "clean_area", q1: float = 0.01, q2: float = 0.99) -> DataFrame:
     """``nodata`` (no area), ``outlier`` (outside the nearest-rank quantiles; false for null), ``valid`` (neither)."""
-    bounds = nearest_rank(df, value, q1).withColumnRenamed("q", "_low").crossJoin(nearest_rank(df, value, q2).withColumnRenamed("q", "_high"))
+    bounds = nearest_ranks(df, value, _low=q1, _high=q2)
     flagged = df.crossJoin(F.broadcast(bounds)).withColumn("nodata", F.col(area) == 0)
     flagged = flagged.withColumn("outlier", F.coalesce((F.col(value) < F.col("_low")) | (F.col(value) > F.col("_high")), F.lit(False)))
     return flagged.withColumn("valid", ~(F.col("nodata") | F.col("outlier"))).drop("_low", "_high")
