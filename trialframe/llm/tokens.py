@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from trialframe.llm.store import bounded_batches
 from trialframe.llm.words import slices, text_column
 
-#: Words that a worker remembers before it starts anew (some 150 MB).
-REMEMBERED = 800_000
+#: Words that a worker remembers at most, the latest ones (some 100 MB).
+REMEMBERED = 600_000
 #: Bytes of text whose words are looked up at once; a larger slice repeats fewer words.
-SLICE = 8 << 20
+SLICE = 5 << 20
 #: Marks between which a word's letters may stand; each is a token run of its own.
 _MARKS = ".,;:!?\"()[]{}#$%&*|-/+=<>~^_`@\\"
 #: Letters whose lower case depends on their place or is longer than one letter.
@@ -43,6 +43,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(file)
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}  # ids as unsigned 32-bit numbers
+        self.before: dict[str, bytes] = {}  # those of the words before
 
     @classmethod
     def of(cls, file: str) -> WordIds:
@@ -59,16 +60,25 @@ class WordIds:
         return word[:at], core.lower(), word[at + len(core) :]
 
     def look_up(self, words: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.before = {}, self.known  # what is used again moves on
+        known, before = self.known, self.before
         missing = [w for w in words if w not in known]
-        if missing:
-            parts = [self._parts(w) for w in missing]
-            ask = list({x for w, p in zip(missing, parts) for x in ((w,) if p is None else filter(None, p)) if x not in known})
-            for x, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False)):
-                known[x] = array("I", e.ids).tobytes()
-            for w, p in zip(missing, parts):
+        fresh = []
+        for w in missing:
+            ids = before.get(w)
+            if ids is None:
+                fresh.append(w)
+            else:
+                known[w] = ids
+        if fresh:
+            parts = [self._parts(w) for w in fresh]
+            ask = list({x for w, p in zip(fresh, parts) for x in ((w,) if p is None else filter(None, p)) if x not in known})
+            for at in range(0, len(ask), 4096):  # encodings are far larger than their ids
+                some = ask[at : at + 4096]
+                for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                    known[x] = array("I", e.ids).tobytes()
+            for w, p in zip(fresh, parts):
                 if p is not None:
                     known[w] = b"".join([known[x] for x in p if x])
         return [known[w] for w in words]
