@@ -106,6 +106,41 @@ def test_licences_against_brute_force(spark):
     assert licenses.license_scan(docs.where("false")).count() == 0
 
 
+def brute_labels(text):
+    """Each template at each place of the file: at least two words in place, its mandatory phrases around it."""
+    w, found = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", text.lower()), {}
+    for label, template, keys in licenses.TEMPLATES:
+        t = template.split()
+        for shift in range(-len(t), len(w) + 1):
+            votes = sum(0 <= shift + i < len(w) and w[shift + i] == x for i, x in enumerate(t))
+            near = w[max(0, shift - licenses.SLACK) : shift + len(t) + licenses.SLACK] if shift + len(t) + licenses.SLACK > 0 else []
+            if votes >= min(2, len(t)) and all(any(near[i : i + len(k)] == k for i in range(len(near))) for k in (key.split() for key in keys)):
+                found[label] = max(found.get(label, 0.0), votes / len(t))
+    return found
+
+
+def test_licences_in_long_texts_against_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = sorted({x for _, t, _ in licenses.TEMPLATES for x in t.split()})
+    notices = ["licensed under the GNU General Public License version 3", "licensed under the GNU General Public License version 2", "licensed under CC BY 4.0", "released under the MIT license", "CC BY-NC 4.0", "CC BY-SA 4.0", "licensed under the GNU Lesser General Public License", *(t for _, t, _ in licenses.TEMPLATES)]
+    texts = []
+    for k in range(40):
+        filler = rng.sample(vocabulary, len(vocabulary)) if k % 2 else [rng.choice(["plain", "prose", *vocabulary]) for _ in range(300)]
+        for notice in rng.sample(notices, 1 + k % 4):
+            words = notice.split()
+            if k % 5 == 4:
+                words[rng.randrange(len(words))] = "other"
+            at = rng.randrange(len(filler) + 1)
+            filler[at:at] = words
+        texts.append(" ".join(filler[k % 7 :]))
+    texts += [" ".join([*vocabulary, n]) for n in notices] + ["mit license " * 3_000]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        want, (*_, base) = brute_labels(text), brute_licence(text)
+        assert got[i]["labels"] == ",".join(sorted({*want, *filter(None, base.split(","))})), text
+        assert got[i]["score"] == pytest.approx(max([0.0, *([0.5] if base else []), *want.values()])), text
+
+
 # -- toxicity
 
 

@@ -1,9 +1,9 @@
 """Licence scans with a positional rare-token index.
 
-The index holds the words of known licence texts with their places. A file's
-rarest licence words are looked up; postings of a template that agree on the
-distance between file and template vote for that place. A place counts when the
-template's mandatory phrases stand around it.
+The index holds, for each known licence text, its mandatory phrases and the
+rarest word of each with its place. A file's places of these words are looked up,
+all of them, and the phrases verified around them. Every word of the template
+votes for each place that has the mandatory phrases around it.
 """
 
 from __future__ import annotations
@@ -43,8 +43,6 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
 )
 
-#: Rarest licence words of a file that are looked up.
-RARE_WORDS = 16
 #: Words around a place in which a mandatory phrase may stand, beyond the template's own length.
 SLACK = 12
 
@@ -74,45 +72,57 @@ def _hash(phrase: str) -> np.ndarray:
 
 
 class Index:
-    """Postings of the templates' words, and the words' inverse document frequencies among the templates."""
+    """Templates with their mandatory phrases, and the rarest word of each phrase by inverse document frequency among the templates."""
 
     def __init__(self, templates=TEMPLATES, phrases=PHRASES):
         self.phrases = [(_hash(p), label) for p, label in phrases.items()]
-        self.templates = [(label, _hash(text), [_hash(p) for p in keys]) for label, text, keys in templates]
-        places: dict[int, list[tuple[int, int]]] = {}
-        for k, (_, words, _) in enumerate(self.templates):
-            for at, w in enumerate(words.tolist()):
-                places.setdefault(w, []).append((k, at))
-        self.places = places
-        self.idf = {w: float(np.log((1 + len(self.templates)) / len({k for k, _ in p}))) for w, p in places.items()}
-        #: looked up first: a word of every mandatory phrase, the rarest; without one of them no template can match
-        self.anchors = np.unique(np.array([max(p.tolist(), key=lambda w: self.idf[w]) for _, _, keys in self.templates for p in keys[:1]], np.uint64))
-        self.known = np.sort(np.array(list(places), np.uint64))
+        texts = [_hash(text) for _, text, _ in templates]
+        holders: dict[int, int] = {}
+        for words in texts:
+            for w in set(words.tolist()):
+                holders[w] = holders.get(w, 0) + 1
+        idf = {w: float(np.log((1 + len(texts)) / n)) for w, n in holders.items()}
+
+        def key(phrase: str) -> tuple[np.ndarray, np.uint64, int]:
+            words = _hash(phrase)
+            at = max(range(len(words)), key=lambda i: idf.get(int(words[i]), np.inf))
+            return words, words[at], at
+
+        #: label, words, and of each mandatory phrase: words, rarest word, its place in the phrase
+        self.templates = [(label, words, [key(p) for p in keys]) for (label, _, keys), words in zip(templates, texts)]
+        #: looked up first: the rarest word of every first phrase; without one of them no template can match
+        self.anchors = np.unique(np.array([k[1] for _, _, keys in self.templates for k in keys[:1]], np.uint64))
+        self.known = np.unique(np.array([k[1] for _, _, keys in self.templates for k in keys], np.uint64))
 
     def scan(self, words: np.ndarray) -> dict[str, float]:
         """Labels of the templates found among a file's words, with the share of the template's words that stand in place."""
         found: dict[str, float] = {}
         k = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
         at = np.flatnonzero(self.known[k] == words)
-        own: dict[int, list[int]] = {}
-        for p in at.tolist():
-            own.setdefault(int(words[p]), []).append(p)
-        rare = sorted(own, key=lambda w: (-self.idf[w], w))[:RARE_WORDS]
-        votes: dict[tuple[int, int], int] = {}
-        for w in rare:
-            for t, place in self.places[w]:
-                for p in own[w]:
-                    votes[t, p - place] = votes.get((t, p - place), 0) + 1
-        for (t, shift), n in votes.items():
-            label, template, keys = self.templates[t]
-            if n < min(2, len(template)):
-                continue
-            low, high = max(0, shift - SLACK), min(len(words), shift + len(template) + SLACK)
-            near = words[low:high]
-            if all(len(occurrences(near, key)) for key in keys):
-                a, b = max(0, shift), min(len(words), shift + len(template))
-                share = float((words[a:b] == template[a - shift : b - shift]).sum()) / len(template)
-                found[label] = max(found.get(label, 0.0), share)
+        own = words[at]
+        for label, template, keys in self.templates:
+            size = len(template)
+            # shifts (file place less template place) from -size to len(words), with every phrase around them
+            fits = np.ones(len(words) + size + 1, bool)
+            for phrase, rarest, inside in keys:
+                start = at[own == rarest] - inside
+                start = start[(start >= 0) & (start + len(phrase) <= len(words))]
+                for i, w in enumerate(phrase):
+                    start = start[words[start + i] == w]
+                if not len(start):
+                    break
+                low, high = np.maximum(start + len(phrase) - SLACK, 0), np.minimum(start + SLACK + size + 1, len(fits))
+                fits &= np.cumsum(np.bincount(low, minlength=len(fits) + 1) - np.bincount(high, minlength=len(fits) + 1))[:-1] > 0
+            else:
+                shift = np.flatnonzero(fits) - size
+                votes = np.zeros(len(shift), np.int64)
+                for i, w in enumerate(template):
+                    place = shift + i
+                    inside = (place >= 0) & (place < len(words))
+                    votes[inside] += words[place[inside]] == w
+                best = int(votes.max(initial=0))
+                if best >= min(2, size):
+                    found[label] = max(found.get(label, 0.0), best / size)
         return found
 
 
