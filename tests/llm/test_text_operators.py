@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,49 @@ def test_one_substitution_is_always_found(spark):
     assert {r["doc_id"] for r in got} == set(range(15))
 
 
+def replaced(w, places):
+    return ["other" if k in places else x for k, x in enumerate(w)]
+
+
+def test_every_overlap_of_the_threshold_is_found(spark):
+    # all choices of replaced inner words, in items of 5 to 17 words
+    items, docs, want = [], [], set()
+    for n in (*range(5, 14), 15, 16, 17):
+        w = [f"n{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(w)))
+        for k in range(n // 5 + 1):
+            for places in combinations(range(1, n - 1), k):
+                want.add((len(docs), n, n))
+                docs.append((len(docs), " ".join(["before", *replaced(w, places), "after"])))
+        docs.append((len(docs), " ".join(replaced(w, range(1, n // 5 + 2)))))  # one too many
+    got = dc.benchmark_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    whole = {(r["doc_id"], r["item_id"], r["n_words"]) for r in got}
+    assert want <= whole
+    assert {x for x in whole if x not in want} <= {(i, k, n) for i, k, n in whole if n < k}  # shorter runs of long items
+
+
+def test_no_misses_against_brute_force(spark):
+    r = random.Random(10)
+    vocabulary = [f"v{i}" for i in range(300)]
+    items = [(k, " ".join(r.choice(vocabulary) for _ in range(r.choice([5, 7, 9, 11, 12, 13, 15, 20, 24])))) for k in range(40)]
+    docs = []
+    for i in range(400):
+        p = r.choice(items)[1].split()
+        p = replaced(p, r.sample(range(len(p)), (len(p) + 2) // 5))
+        docs.append((i, " ".join([*r.choices(vocabulary, k=20), *p, *r.choices(vocabulary, k=20)])))
+    for least, percent in ((13, 80), (10, 60)):
+        got = dc.benchmark_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), least_words=least, percent=percent).collect()
+        assert {(x["doc_id"], x["item_id"]): x["n_words"] for x in got} == {(i, k): n for i, t in docs for k, u in items if (n := brute_overlap(t, u, least, percent))}
+
+
+def test_masks_are_complete():
+    assert dc.complete(dc.MASKS, 13, 80) and not dc.complete(("11011101", "1101011011", "111001010111"), 13, 80)
+    for n in range(13, 19):
+        for places in combinations(range(1, n - 1), n // 5):
+            run = "".join("01"[k not in places] for k in range(n))
+            assert any(all(m == "0" or c == "1" for m, c in zip(mask, run[at:])) for mask in dc.MASKS for at in range(n - len(mask) + 1)), run
+
+
 def test_decontamination_edges(spark, monkeypatch):
     schema = "doc_id long, text string, item_id string, n_words int"
     text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"

@@ -1,8 +1,9 @@
 """Benchmark decontamination with spaced seeds.
 
 A seed is the hash of the words that a fixed mask selects from a window; the
-words it passes over may differ between the two sides. Hits of test and training
-seeds are looked up in blocks of the benchmark, each of which is bounded and
+words it passes over may differ between the two sides. The masks are complete:
+every overlap that the operator's threshold allows has a seed in common. Hits of
+test and training seeds are looked up in blocks of the benchmark, each of which is bounded and
 broadcast, so the documents are never shuffled. Around each hit the words of both
 sides are compared along the hit's diagonal.
 """
@@ -10,6 +11,7 @@ sides are compared along the hit's diagonal.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from trialframe.llm.store import bounded_batches, save
 from trialframe.llm.words import hash_words, mix, slices, text_column
 
-#: Words that a seed takes (1) and passes over (0).
-MASKS = ("11011101", "1101011011", "111001010111")
+#: Words that a seed takes (1) and passes over (0): complete for 12 words or more with a fifth replaced.
+MASKS = ("11111", "110111")
 #: Benchmark words in one block (the seeds of a block take some 50 MB).
 BLOCK_WORDS = 500_000
 _TABLE_BITS = 22
@@ -54,33 +56,76 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
         return mix(out)
 
 
+def _best_unseen(masks: tuple[str, ...], percent: int, upto: int, ends: bool) -> np.ndarray:
+    """Of each length, the largest score (100 - percent a match, -percent a replaced word) of a run that no mask hits; beginning and ending with a match if ``ends``."""
+    states = np.arange(1 << max(map(len, masks)))  # matches of the last words as bits
+    seen = np.any([(states & int(m, 2)) == int(m, 2) for m in masks], axis=0)
+    none = -(1 << 40)
+    score = np.where(seen | (states > 1) | (ends & (states == 0)), none, np.where(states == 1, 100 - percent, -percent))
+    out = [none]
+    for _ in range(upto):
+        out.append(int((score[1::2] if ends else score).max()))
+        # the two states that differ in the oldest word go on to the same two
+        old = np.maximum(*np.split(score, 2))
+        score = np.stack((old - percent, old + 100 - percent), axis=1).ravel()
+        score[seen] = none
+    return np.array(out)
+
+
+def complete(masks: tuple[str, ...], least: int, percent: int) -> bool:
+    """Whether every run of at least ``least`` words that begins and ends with a match and matches in ``percent`` has a mask's words in a row.
+
+    A long run without a seed falls into shorter ones without: where none of n to
+    2n - 1 words reaches the percentage, no longer one does.
+    """
+    upto = max(64, 2 * least)
+    loose, tight = (_best_unseen(masks, percent, upto, ends) < 0 for ends in (False, True))
+    bound = next((n for n in range(1, upto // 2) if loose[n : 2 * n].all()), None)
+    return bound is not None and bool(tight[least : max(bound, least)].all())
+
+
+def long_masks(least: int, percent: int) -> tuple[str, ...]:
+    """``MASKS``, and where they are not complete, the longest row of words that makes them so; one word always does."""
+    rows = (MASKS, *((*MASKS, "1" * n) for n in (4, 3, 2)))
+    return next((masks for masks in rows if complete(masks, least, percent)), ("1",))
+
+
+def short_masks(n: int, percent: int) -> list[str]:
+    """Masks over all of an item of ``n`` words: the inner words in two parts more than can be replaced, and for each choice of as many parts a mask without them."""
+    inner = max(n - 2, 0)
+    replaced = min(n * (100 - percent) // 100, inner)
+    parts = min(replaced + 2, inner)
+    return ["1" * min(n, 1) + "".join("01"[parts * i // inner not in out] for i in range(inner)) + "1" * (n > 1) for out in combinations(range(parts), replaced)]
+
+
 class _Block:
     """Seeds of some benchmark items, sorted, with a bit table in front."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], short: int):
+    def __init__(self, items: list[tuple[int, np.ndarray]], short: int, least_words: int, percent: int):
         self.ids = np.array([i for i, _ in items], np.int64)
         self.start = np.concatenate(([0], np.cumsum([len(h) for _, h in items]))).astype(np.int64)
         self.words = np.concatenate([h for _, h in items]) if items else np.empty(0, np.uint64)
         self.seeds: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.table: dict[str, np.ndarray] = {}
-        least = min(map(len, MASKS))
+        long = long_masks(least_words, percent)
         kinds: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for k, (_, h) in enumerate(items):
-            for mask in MASKS if len(h) >= least else (["1" * len(h)] if len(h) >= short else []):
+            for mask in () if len(h) < max(short, 1) else long if len(h) >= least_words else short_masks(len(h), percent):
                 s = seeds(h, mask)
                 kinds.setdefault(mask, []).append((s, self.start[k] + np.arange(len(s))))
         for mask, parts in kinds.items():
             s, at = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             order = np.argsort(s, kind="stable")
             self.seeds[mask] = s[order], at[order]
-            self.table[mask] = np.zeros(1 << _TABLE_BITS, bool)
-            self.table[mask][(s >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
+            bits = min(_TABLE_BITS, 3 + len(s).bit_length())
+            self.table[mask] = np.zeros(1 << bits, bool)
+            self.table[mask][(s >> np.uint64(64 - bits)).astype(np.int64)] = True
 
     def hits(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(places in ``h``, places among the block's words) of equal seeds."""
         for mask, (s, at) in self.seeds.items():
-            own = seeds(h, mask)
-            likely = np.flatnonzero(self.table[mask][(own >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
+            own, table = seeds(h, mask), self.table[mask]
+            likely = np.flatnonzero(table[(own >> np.uint64(65 - len(table).bit_length())).astype(np.int64)])
             if not len(likely):
                 continue
             low, high = np.searchsorted(s, own[likely], "left"), np.searchsorted(s, own[likely], "right")
@@ -124,7 +169,7 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     for k in range(blocks):
         rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").orderBy("item_id", "text").toArrow()
         h, at = plain_words(text_column(rows["text"]))
-        block = docs.sparkSession.sparkContext.broadcast(_Block([(i, h[a:b]) for i, a, b in zip(rows["item_id"].to_pylist(), at[:-1].tolist(), at[1:].tolist())], short))
+        block = docs.sparkSession.sparkContext.broadcast(_Block([(i, h[a:b]) for i, a, b in zip(rows["item_id"].to_pylist(), at[:-1].tolist(), at[1:].tolist())], short, least_words, percent))
         part = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scan(block, least_words, percent), "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_matched long")
         found = part if found is None else found.unionAll(part)
     return found
