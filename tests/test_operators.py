@@ -327,3 +327,16 @@ def test_huber_resists_an_outlier(spark):
 
 def test_channels_are_named():
     assert CHANNELS[0] == "action_0" and len(CHANNELS) == 6
+
+
+def test_registered_resampling_is_the_surveys(spark, monkeypatch):
+    from trialframe.plans import comparisons, registry
+
+    rows = [(i, ("Constant", "Ramp")[i % 2], 10.0 * (i % 2) + i / 100, 1.0) for i in range(60)]
+    monkeypatch.setattr(comparisons, "plants", lambda spark, sf_dir: spark.createDataFrame(rows, "plant_id long, agent string, total double, energy double"))
+    assert registry.QUERIES["permutation"](spark, "").first()["p"] == pytest.approx(1 / 10_001)
+    drawn, bootstrap_ci = [], stats.bootstrap_ci
+    monkeypatch.setattr(stats, "bootstrap_ci", lambda *a: drawn.append(a[4]) or bootstrap_ci(*a))
+    for name in ("bootstrap_ci", "policy_summary"):
+        assert registry.QUERIES[name](spark, "").count() == 2
+    assert drawn == [10_000, 10_000]

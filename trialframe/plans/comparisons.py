@@ -116,7 +116,7 @@ def posthoc(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return stats.bootstrap_ci(plants(spark, sf_dir), "total", ("agent",), "plant_id", 500)
+    return stats.bootstrap_ci(plants(spark, sf_dir), "total", ("agent",), "plant_id", 10_000)
 
 
 @query()
@@ -125,12 +125,12 @@ def policy_summary(spark, sf_dir):
 
     p = plants(spark, sf_dir)
     t = trimmed_mean(p, "total", ("agent",), 0.1, 0.99)
-    return t.join(stats.bootstrap_ci(p, "total", ("agent",), "plant_id", 500).drop("n", "mean"), "agent").join(p.groupBy("agent").agg(F.avg("energy").alias("energy")), "agent")
+    return t.join(stats.bootstrap_ci(p, "total", ("agent",), "plant_id", 10_000).drop("n", "mean"), "agent").join(p.groupBy("agent").agg(F.avg("energy").alias("energy")), "agent")
 
 
 @query()
 def permutation(spark, sf_dir):
-    return stats.permutation_test(plants(spark, sf_dir), "total", "agent", "Constant", "Ramp", "plant_id", 200)
+    return stats.permutation_test(plants(spark, sf_dir), "total", "agent", "Constant", "Ramp", "plant_id", 10_000)
 
 
 @query()
