@@ -293,6 +293,10 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     keep their own id. Rows of equal id are joined in one component only where
     their sets link; a row of null id is returned with nulls for class and
     component. Input columns other than the two named take no part.
+
+    Only components are given. Links are neither returned nor counted: in large
+    buckets a pair already connected is not verified, which leaves the components
+    as they are and a spanning forest of the links.
     """
     bounded_batches(docs.sparkSession)
     table = save(_prefixes(docs, doc_id, text, width, percent), "prefixes")
