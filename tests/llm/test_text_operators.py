@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from trialframe.llm import decontaminate as dc
 from trialframe.llm import licenses, quality, toxicity
@@ -277,3 +278,15 @@ def test_logistic_separates():
 def test_logistic_of_one_class_is_the_base_rate(y):
     p = predict(fit_logistic(np.zeros((3, 2)), y), np.zeros((1, 2)))
     assert np.allclose(p, (y.sum() + 0.5) / 4)
+
+
+def test_fits_take_one_row_of_a_repeated_id(spark, monkeypatch):
+    rows = [(i, f"some text number {i}") for i in range(12)] + [(0, f"another row {i}") for i in range(300)] + [(3, "another row 1")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    ids = labels.where(~toxicity.held_out(F.col("doc_id"))).count()
+    fitted = []
+    for module, learn in ((quality, quality.learn_quality), (toxicity, toxicity.learn_lexicon)):
+        monkeypatch.setattr(module, "fit_logistic", lambda x, y: fitted.append(len(x)) or fit_logistic(x, y))
+        learn(docs, labels)
+    assert 0 < ids < 12 and fitted == [ids, ids]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from trialframe.llm.fit import fit_logistic, predict
 from trialframe.llm.store import bounded_batches, forget, save, small
-from trialframe.llm.toxicity import _sample
+from trialframe.llm.toxicity import labelled
 from trialframe.llm.words import hash_words, slices, split_words, text_column
 
 #: Host and path rows that may be broadcast.
@@ -54,8 +54,7 @@ def text_features(texts: pa.LargeStringArray) -> np.ndarray:
 
 def learn_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality"):
     """The classifier, fitted on at most ``toxicity.FIT_ROWS`` labelled rows; without labels it gives one half."""
-    sample = F.broadcast(_sample(labels, doc_id, label))
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text")).join(sample, "_id").select("_y", "text")
+    rows = labelled(docs, labels, doc_id, text, label)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -117,6 +117,13 @@ def _sample(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
     return one.where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id").limit(FIT_ROWS)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
+    """(_y, text) of the sample, one row an id; of a repeated id the text of the smallest hash."""
+    sample = F.broadcast(_sample(labels, doc_id, label))  # FIT_ROWS rows at most
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text")).join(sample, "_id")
+    return rows.groupBy("_id", "_y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("_y", "text")
+
+
 def held_out(doc_id):
     """Whether the crc32 of the id as text leaves 1 when divided by 3; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
@@ -145,9 +152,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
 
     Without usable labels the lexicon is empty and every score the base rate.
     """
-    sample = F.broadcast(_sample(labels, doc_id, label))  # FIT_ROWS rows at most
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text")).join(sample, "_id").select("_y", "text")
-    rows = save(rows, "labelled")
+    rows = save(labelled(docs, labels, doc_id, text, label), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter(), Counter()
@@ -180,7 +185,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
             x = [shared.value.features(t) for t in text_column(batch.column(1)).to_pylist()]
             yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), batch.column(0)], ["x", "y"])
 
-    got = rows.mapInArrow(measure, "x array<double>, y int").toPandas()  # FIT_ROWS rows at most, but for repeated ids
+    got = rows.mapInArrow(measure, "x array<double>, y int").toPandas()  # FIT_ROWS rows at most
     for done in (counted, rows):
         forget(done)
     x = np.stack(got["x"].to_numpy()) if len(got) else np.empty((0, 5))
