@@ -32,15 +32,32 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component of near copies (five words, 0.8); documents of null id stay."""
+    """The document of the smallest id of each component of near copies (five words, 0.8); documents of null id stay.
+
+    Where ids repeat, rows count, not ids: of the rows of the smallest id in a
+    component one stays, and a row of the same id outside of it is untouched.
+    """
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return _drop_near_copies_of_rows(docs)
     found = ngram_jaccard_join(docs.select("doc_id", "text"), width=5, percent=80)
     gone = save(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
     if small(gone, BROADCAST_IDS):
         gone = F.broadcast(gone)
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        left = left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return left
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def _drop_near_copies_of_rows(docs: DataFrame) -> DataFrame:
+    """The same for ids that repeat: id and text make a row's key; of the smallest id of a component the smallest key stays, of equal rows one in the order of their other columns."""
+    rows = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = ngram_jaccard_join(rows.select(F.col("_key").alias("doc_id"), "text"), width=5, percent=80)
+    found = found.select(F.col("doc_id").alias("_key"), "component_id").distinct().join(rows.select("_key", "doc_id").distinct(), "_key")
+    stay = save(found.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("_row")).select("_row._key"), "first-copies")
+    if small(stay, BROADCAST_IDS):
+        stay = F.broadcast(stay)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = rows.join(stay, "_key", "left_semi").groupBy("_key", "doc_id").agg(F.first("text").alias("text"), F.min(F.struct(F.lit(0).alias("_"), *others)).alias("_others"))
+    one = one.select("doc_id", "text", *[F.col("_others")[c].alias(c) for c in others])
+    return docs.where("doc_id is null").unionByName(one.select(*docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,17 @@ def test_near_copies_leave_one_of_each_group(spark):
     rows = [(5, text), (3, text), (3, text), (9, text.replace("w30", "other")), (4, " ".join(f"v{i}" for i in range(60)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [3, 4]
+
+
+def test_near_copies_of_repeated_ids_are_rows(spark):
+    def text(c):
+        return " ".join(f"{c}{i}" for i in range(60))
+
+    # id 2 has a copy of id 1 and a text of its own; id 3 two texts; id 4 equal rows that differ in another column
+    rows = [(1, text("a"), "en"), (2, text("a").replace("a30", "other"), "en"), (2, text("b"), "en"), (3, text("c"), "en"), (3, text("d"), "en"), (3, text("c").upper(), "en"), (4, text("e"), "en"), (4, text("e"), "de"), (None, text("a"), "en"), (5, text("d"), "en"), (6, "", "en"), (6, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for _ in range(2):
+        left = corpus_pipeline.drop_near_copies(spark, docs.repartition(5), SF)
+        got = sorted((r["doc_id"] or 0, r["text"].lower()[:1], r["lang"]) for r in left.collect())
+        assert left.columns == docs.columns
+        assert got == [(0, "a", "en"), (1, "a", "en"), (2, "b", "en"), (3, "c", "en"), (3, "d", "en"), (4, "e", "de"), (6, "", "en")]
