@@ -81,3 +81,16 @@ def nearest_rows(df: DataFrame, targets: DataFrame, value: str, keys: tuple[str,
     row = F.struct(*[c for c in df.columns if c not in keys])
     near = df.crossJoin(F.broadcast(targets)).groupBy(*keys, "target").agg(F.min_by(row, F.struct(F.abs(F.col(value) - F.col("target")), F.col(tie))).alias("_r"))
     return near.select(*keys, "target", "_r.*")
+
+
+def explode_plants(detections: DataFrame, frames: DataFrame, keys: tuple[str, ...] = (*ZONE, "time"), order: tuple[str, ...] = ()) -> DataFrame:
+    """Every detected plant's row with its frame's columns.
+
+    A column of both tables is the detection's; of the frames' columns those that
+    only they have are kept, one row a frame: the first by ``order``, or by all
+    columns where none is given.
+    """
+    own = [c for c in frames.columns if c in keys or c not in detections.columns]
+    first = F.min_by(F.struct(*[c for c in own if c not in keys]), F.struct(*(order or [c for c in frames.columns if c not in keys])))
+    one = frames.groupBy(*keys).agg(first.alias("_frame")).select(*keys, "_frame.*")
+    return detections.join(one, list(keys), "left")

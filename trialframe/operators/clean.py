@@ -126,12 +126,21 @@ def nonzero_actions(df: DataFrame, channels: tuple[str, ...]) -> DataFrame:
     return df.where(reduce(Column.__add__, [F.coalesce(F.col(c), F.lit(0.0)) for c in channels]) > 0)
 
 
-def carry_frames(frames: DataFrame, plants: DataFrame, keys: tuple[str, ...] = ZONE, time: str = "time", values: tuple[str, ...] = ("clean_area",)) -> DataFrame:
-    """A row for each frame and plant of a zone; a frame without the plant's row repeats the last one."""
-    everyone = plants.select(*keys, "plant_id").distinct()
-    grid = frames.select(*keys, time).distinct().join(everyone, list(keys))
-    filled = grid.join(plants.select(*keys, "plant_id", time, *values), [*keys, "plant_id", time], "left")
-    return forward_fill(filled, values, (*keys, "plant_id"), time)
+def carry_frames(frames: DataFrame, plants: DataFrame, keys: tuple[str, ...] = ZONE, time: str = "time", values: tuple[str, ...] = ("clean_area",), brightness: str = "brightness", dark: float = 90.0) -> DataFrame:
+    """The plants' rows of bright frames, and for each dark frame those of the zone's last frame with rows, at the dark frame's time.
+
+    A frame is dark below ``dark``; rows measured in it are replaced. Plants absent
+    from a bright frame stay absent, and dark frames before the first bright one
+    have no rows. ``frames(keys, time, brightness)`` has a row for each frame.
+    """
+    w = up_to(keys, time)
+    dim = F.coalesce(F.col(brightness) < dark, F.lit(False))
+    seen = plants.select(*keys, time).distinct().withColumn("_rows", F.lit(True))
+    shown = frames.groupBy(*keys, time).agg(F.min(dim).alias("_dark")).join(seen, [*keys, time], "left")
+    source = F.last(F.when(~F.col("_dark") & F.col("_rows"), F.col(time)), ignorenulls=True).over(w)
+    shown = shown.withColumn("_from", F.when(F.col("_dark"), source).otherwise(F.col(time))).select(*keys, F.col(time).alias("_at"), "_from", "_dark")
+    rows = plants.select(*keys, "plant_id", F.col(time).alias("_from"), *values)
+    return shown.join(rows, [*keys, "_from"]).select(*keys, "plant_id", F.col("_at").alias(time), *values, F.col("_dark").alias("carried"))
 
 
 def null_audit(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -91,6 +92,18 @@ def pca_project(df: DataFrame, array: str, models, out: str = "pca") -> DataFram
     return pca.transform(centre.transform(v)).withColumn(out, vector_to_array("p")).drop("v", "c", "p")
 
 
+def save_models(models, path: str) -> None:
+    """Writes the models of ``fit_pca`` under ``path``."""
+    for name, model in zip(("centre", "pca"), models):
+        model.write().overwrite().save(f"{path}/{name}")
+
+
+def load_models(path: str):
+    from pyspark.ml.feature import PCAModel, StandardScalerModel
+
+    return StandardScalerModel.load(f"{path}/centre"), PCAModel.load(f"{path}/pca")
+
+
 def pca_variance(df: DataFrame, models) -> DataFrame:
     """(component, ratio, cumulative) of the explained variance."""
     ratio = models[1].explainedVariance.toArray().tolist()
@@ -99,24 +112,55 @@ def pca_variance(df: DataFrame, models) -> DataFrame:
     return out.withColumn("cumulative", F.sum("ratio").over(Window.orderBy("component")))
 
 
+#: Queries whose vectors are compared with a batch of rows at once, and numbers of query vectors that are broadcast.
+QUERY_BLOCK, QUERY_NUMBERS = 1024, 1 << 22
+
+
 def neighbours(df: DataFrame, queries: DataFrame, key: str, array: str, k: int = 15) -> DataFrame:
-    """(query, rank, neighbour, similarity): the ``k`` most cosine-similar rows of each query.
+    """(query, rank, neighbour, similarity): the ``k`` most cosine-similar rows of each query, ties to the smaller key.
 
-    A stated set of queries meets all rows; each partition keeps its own best
-    before anything is shuffled.
+    A stated set of queries meets all rows in products of blocks. Queries are
+    broadcast in batches of bounded size, and each task keeps its own best before
+    anything is shuffled.
     """
     def unit(a):
         norm = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
         return F.transform(a, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
 
-    def rows(d, name, arr):
-        return d.where(F.col(array).isNotNull()).select(F.col(key).alias(name), unit(F.col(array).cast("array<double>")).alias(arr))
-
-    q, c = rows(queries, "query", "a"), rows(df, "neighbour", "b")
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = c.crossJoin(F.broadcast(q)).where("query <> neighbour").select("query", "neighbour", F.round(dot, 6).alias("similarity"))
+    def rows(d):
+        return d.where(F.col(array).isNotNull()).select(F.col(key).cast("long").alias("key"), unit(F.col(array).cast("array<double>")).alias("v"))
+
+    q, c = rows(queries), rows(df)
+    counts = q.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("width")).first()
+    parts = max(1, -(-counts["n"] * counts["width"] // QUERY_NUMBERS))
+    found = None
+    for part in range(parts):
+        table = q.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).toArrow().combine_chunks()
+        held = df.sparkSession.sparkContext.broadcast((table["key"].to_numpy(), np.array(table["v"].to_pylist(), float).reshape(-1, counts["width"])))
+        one = c.mapInArrow(_nearest(held, k), "query long, neighbour long, similarity double")
+        found = one if found is None else found.unionAll(one)
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def _nearest(held, k: int):
+    def search(batches):
+        ids, q = held.value
+        best_s, best_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        for batch in batches:
+            own = np.asarray(batch.column(0))
+            x = np.asarray(batch.column(1).flatten()).reshape(len(own), -1)
+            for at in range(0, len(ids), QUERY_BLOCK):
+                block = slice(at, at + QUERY_BLOCK)
+                score = np.round(q[block] @ x.T, 6)
+                score[ids[block, None] == own[None]] = -np.inf
+                s, i = np.hstack((best_s[block], score)), np.hstack((best_i[block], np.broadcast_to(own, score.shape)))
+                order = np.lexsort((i, -s))[:, :k]
+                best_s[block], best_i[block] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        there = np.isfinite(best_s)
+        yield pa.record_batch([pa.array(np.repeat(ids, there.sum(axis=1))), pa.array(best_i[there]), pa.array(best_s[there])], ["query", "neighbour", "similarity"])
+
+    return search
 
 
 def score_rows(df: DataFrame, array: str, scorer, out: str = "bolted_prob") -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialframe.operators.common import CHANNELS, COEFFICIENTS, ZONE, whole
 
@@ -45,31 +46,45 @@ def intensity(df: DataFrame, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
     return df.withColumn("intensity", reduce(Column.__add__, there) / 100.0).where("intensity > 0")
 
 
-def _fading(beta: float):
-    """A step of a weighted sum and of its weights; a null adds to neither."""
-    return lambda s, x: F.struct((s["n"] * beta + F.coalesce(x, F.lit(0.0))).alias("n"), (s["d"] * beta + F.when(x.isNull(), 0.0).otherwise(1.0)).alias("d"))
+#: Columns whose traces the daily table has.
+TRACED = (*CHANNELS, *COEFFICIENTS)
 
 
-def action_traces(df: DataFrame, columns: tuple[str, ...], betas: tuple[float, ...] = BETAS, keys: tuple[str, ...] = ZONE, time: str = "time", floor: float = 1e-16) -> DataFrame:
-    """Exponentially weighted means of the rows before, per zone, 0 on the first row.
+def trace_names(columns: tuple[str, ...], betas: tuple[float, ...] = BETAS) -> dict[str, tuple[str, float]]:
+    return {f"{c}_trace_{b:g}": (c, b) for c in columns for b in betas}
+
+
+def action_traces(df: DataFrame, columns: tuple[str, ...] = TRACED, betas: tuple[float, ...] = BETAS, keys: tuple[str, ...] = ZONE, time: str = "time") -> DataFrame:
+    """Exponentially weighted means of the rows before, per zone, 0 on the first row and after a null.
 
     The mean at a row weighs a value k rows back by beta**k over the sum of the
     weights; nulls keep their place but carry no weight. Rows that repeat a zone's
-    time (its plants) share one trace. The frame ends where weights fall below
-    ``floor``, so no zone's history is gathered as a whole.
+    time (its plants) share one trace. Each zone's distinct times pass through a
+    task in order, which holds two numbers for each trace and nothing of the past.
     """
+    made = trace_names(columns, betas)
     points = df.select(*keys, time, *columns).dropDuplicates([*keys, time])
-    out = {}
-    for beta in betas:
-        reach = math.ceil(math.log(floor) / math.log(beta))
-        w = Window.partitionBy(*keys).orderBy(time).rowsBetween(-reach - 1, -1)
-        for c in columns:
-            # an absent value is a struct with null, so that collect_list keeps its place
-            held = F.transform(F.collect_list(F.struct(F.col(c).cast("double").alias("x"))).over(w), lambda s: s["x"])
-            start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
-            mean = F.aggregate(held, start, _fading(beta), lambda s: F.try_divide(s["n"], s["d"]))
-            out[f"{c}_trace_{beta:g}"] = F.coalesce(F.when(F.try_element_at(held, F.lit(-1)).isNotNull(), mean), F.lit(0.0))
-    return df.join(points.withColumns(out).select(*keys, time, *[F.col(f"`{n}`") for n in out]), [*keys, time])
+    places = [columns.index(c) for c, _ in made.values()]
+    fade = np.array([b for _, b in made.values()])
+
+    def walk(batches):
+        held, last = None, None
+        for batch in batches:
+            table = batch.select([*keys, time]).to_pydict()
+            zones = list(zip(*(table[k] for k in keys)))
+            x = np.column_stack([batch.column(c).cast("float64").to_numpy(zero_copy_only=False) for c in columns])[:, places]
+            there = ~np.column_stack([batch.column(c).is_null().to_numpy(zero_copy_only=False) for c in columns])[:, places]
+            out = np.zeros(x.shape)
+            for i, zone in enumerate(zones):
+                if zone != held:
+                    held, n, d, last = zone, np.zeros(len(fade)), np.zeros(len(fade)), np.zeros(len(fade), bool)
+                out[i] = np.where(last, n / np.where(d > 0, d, 1), 0.0)
+                n, d, last = n * fade + np.where(there[i], x[i], 0.0), d * fade + there[i], there[i]
+            yield pa.record_batch([*(batch.column(c) for c in (*keys, time)), *(pa.array(out[:, k]) for k in range(len(made)))], [*keys, time, *made])
+
+    schema = T.StructType([*(points.schema[c] for c in (*keys, time)), *(T.StructField(n, T.DoubleType()) for n in made)])
+    traced = points.repartition(*keys).sortWithinPartitions(*keys, time).mapInArrow(walk, schema)
+    return df.join(traced, [*keys, time])
 
 
 def step_coefficients(df: DataFrame, steps: int = 13, keys: tuple[str, ...] = ZONE, columns: tuple[str, ...] = COEFFICIENTS, time: str = "time") -> DataFrame:

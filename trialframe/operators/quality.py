@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from trialframe.operators.common import whole
 from trialframe.operators.order import global_rank
+from trialframe.sources.scratch import saved
 
 
 def nearest_ranks(df: DataFrame, value: str, **quantiles: float) -> DataFrame:
     """One row with a column for each quantile q: the value of rank round(q (n-1)), counted from 0, of all non-null values.
 
-    Values are ranked in ranges, once for all quantiles, so that no task holds them all.
+    Values are written once and ranked in ranges, once for all quantiles, so that no task holds them all.
     """
-    ranked = global_rank(df.where(F.col(value).isNotNull()).select(F.col(value).alias("v")), "v", total="_n")
+    values = saved(df.where(F.col(value).isNotNull()).select(F.col(value).alias("v")), "values")
+    ranked = global_rank(values, "v", total="_n")
     at = {name: F.col("_k") == F.floor(F.lit(q) * (F.col("_n") - 1) + 0.5) for name, q in quantiles.items()}
     return ranked.agg(*[F.min(F.when(sought, F.col("v"))).alias(name) for name, sought in at.items()])
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.operators.clean import drop_gap_anchors
-from trialframe.operators.light import action_traces
+from trialframe.operators.light import TRACED, action_traces
 from trialframe.operators.quality import nearest_rank_outliers
 from trialframe.operators.trajectory import align_energy, daily_reward, interval_energy, log_area, truncated_daily
 
@@ -48,8 +48,13 @@ def combined_reward(df: DataFrame, reward: str = "area_reward", energy_reward: s
     return df.withColumn("reward", F.col(reward) - F.col(energy_reward))
 
 
-def daily_recompute(df: DataFrame, traces: tuple[str, ...] = ()) -> DataFrame:
-    """Everything that depends on the daily grid: energy, gaps, areas, rewards, traces, outliers, truncation, in this order."""
+def daily_recompute(df: DataFrame, traces: tuple[str, ...] | None = None) -> DataFrame:
+    """Everything that depends on the daily grid: energy, gaps, areas, rewards, traces, outliers, truncation, in this order.
+
+    ``traces`` are the columns to trace: all of ``light.TRACED`` that the table has, if not given.
+    """
+    if traces is None:
+        traces = tuple(c for c in TRACED if c in df.columns)
     if "cumulative_energy" in df.columns:
         df = interval_energy(df, only_daily=True)
     df = log_area(drop_gap_anchors(df))

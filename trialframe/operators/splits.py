@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 
 def hash_sample(df: DataFrame, keys: tuple[str, ...], n: int, seed: int = 0) -> DataFrame:
     """Exactly ``n`` rows (all, if fewer), always the same ones for a seed."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return df.orderBy(_order(keys, seed), *keys).limit(n)
+
+
+def _order(keys: tuple[str, ...], seed: int) -> Column:
+    """A random order that depends on the keys and the seed alone: the MD5 of their texts."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed))))
 
 
 def target_sample(df: DataFrame, targets: Column, keys: tuple[str, ...], n: int, seed: int = 0) -> DataFrame:
     """All target rows and a hash sample of the others, ``n`` rows in all if there are as many."""
     wanted = df.where(targets)
-    rank = F.row_number().over(Window.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys))
-    others = df.where(~targets).orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n).withColumn("_k", rank)
+    rank = F.row_number().over(Window.orderBy(_order(keys, seed), *keys))  # of n rows
+    others = df.where(~targets).orderBy(_order(keys, seed), *keys).limit(n).withColumn("_k", rank)
     room = wanted.agg(F.greatest(F.lit(n) - F.count("*"), F.lit(0)).alias("_room"))
     return wanted.unionByName(others.crossJoin(F.broadcast(room)).where("_k <= _room").drop("_k", "_room"))
 

@@ -6,11 +6,15 @@ then expressions over as many rows as there are groups or pairs of groups.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialframe.functions.special import p_chi2, p_f, p_normal, p_range, p_t
 from trialframe.operators.order import average_rank, in_ranges
+from trialframe.sources.scratch import saved
 
 
 def moments(df: DataFrame, value: str, group: str, within: tuple[str, ...] = ()) -> DataFrame:
@@ -101,19 +105,21 @@ def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     return anova(rows.join(medians, group).withColumn("_d", F.abs(F.col(value) - F.col("_m"))), "_d", group)
 
 
-def rank_sums(df: DataFrame, value: str, group: str) -> tuple[DataFrame, DataFrame]:
-    """(group, n, rank_sum) with average ranks for ties, and one row (total, ties): the tie term is the sum of t^3 - t.
+def rank_sums(df: DataFrame, value: str, group: str, within: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(within, group, n, rank_sum) with average ranks for ties, and (within, total, ties): the tie term is the sum of t^3 - t.
 
     Distinct values are counted first; only these counts are put in order.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v"), group).agg(F.count("*").alias("_c"))
-    values = in_ranges(counted.groupBy("_v").agg(F.sum("_c").alias("_t")), "_v")
-    parts = values.groupBy("_part").agg(F.sum("_t").alias("_s"))
-    parts = parts.select("_part", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.coalesce(F.sum("_t").over(Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = values.join(parts, "_part").withColumn("_rank", F.col("_before") + own + (F.col("_t") + 1) / 2)
-    sums = counted.join(ranked.select("_v", "_rank"), "_v").groupBy(group).agg(F.sum("_c").alias("n"), F.sum(F.col("_c") * F.col("_rank")).alias("rank_sum"))
-    ties = values.agg(F.sum("_t").alias("total"), F.sum(F.pow("_t", 3) - F.col("_t")).alias("ties"))
+    by = list(within)
+    counted = saved(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v"), group).agg(F.count("*").alias("_c")), "counted")
+    values = in_ranges(counted.groupBy(*by, "_v").agg(F.sum("_c").alias("_t")), "_v")
+    parts = values.groupBy(*by, "_part").agg(F.sum("_t").alias("_s"))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    parts = parts.select(*by, "_part", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
+    own = F.coalesce(F.sum("_t").over(Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = values.join(parts, [*by, "_part"]).withColumn("_rank", F.col("_before") + own + (F.col("_t") + 1) / 2)
+    sums = counted.join(ranked.select(*by, "_v", "_rank"), [*by, "_v"]).groupBy(*by, group).agg(F.sum("_c").alias("n"), F.sum(F.col("_c") * F.col("_rank")).alias("rank_sum"))
+    ties = values.groupBy(*by).agg(F.sum("_t").alias("total"), F.sum(F.pow("_t", 3) - F.col("_t")).alias("ties"))
     return sums, ties
 
 
@@ -181,7 +187,7 @@ def games_howell(df: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def posthoc(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Pair statistics of four post-hoc tests: Tukey (q), Tamhane T2 (t), Dunn (z), Mann-Whitney (z) with their p-values."""
+    """Pair statistics of four post-hoc tests with their p-values: Tukey (q), Tamhane T2 (t), Dunn (z, also by Holm), Mann-Whitney (u, also by Bonferroni)."""
     stats = moments(df, value, group).where("n > 1")
     pooled = stats.agg((F.sum(F.col("var") * (F.col("n") - 1)) / F.sum(F.col("n") - 1)).alias("mse"), F.sum(F.col("n") - 1).alias("dfw"), F.count("*").alias("k"))
     sums, ties = rank_sums(df, value, group)
@@ -201,7 +207,30 @@ def posthoc(df: DataFrame, value: str, group: str) -> DataFrame:
     m = F.col("k") * (F.col("k") - 1) / 2
     out = out.withColumn("tukey_p", p_range(F.col("tukey_q"), F.col("k"), F.col("dfw")))
     out = out.withColumn("tamhane_p", 1 - F.pow(1 - p_t(F.col("tamhane_t"), F.col("tamhane_dof")), m))
-    return out.withColumn("dunn_p", p_normal(F.col("dunn_z"))).select(f"{group}_a", f"{group}_b", "tukey_q", "tukey_p", "tamhane_t", "tamhane_dof", "tamhane_p", "dunn_z", "dunn_p")
+    out = out.withColumn("dunn_p", p_normal(F.col("dunn_z"))).join(mann_whitney_pairs(df, value, group), [f"{group}_a", f"{group}_b"]).withColumn("mw_p_bonferroni", F.least(F.lit(1.0), F.col("mw_p") * m))
+    names = [f"{group}_a", f"{group}_b", "tukey_q", "tukey_p", "tamhane_t", "tamhane_dof", "tamhane_p", "dunn_z", "dunn_p", "mw_u", "mw_p", "mw_p_bonferroni"]
+    return holm(out.select(*names), "dunn_p", "dunn_p_holm", tie=(f"{group}_a", f"{group}_b"))
+
+
+def mann_whitney_pairs(df: DataFrame, value: str, group: str) -> DataFrame:
+    """(group_a, group_b, mw_u, mw_p) of all pairs: u of the first group, two-sided normal p with ties and continuity correction.
+
+    A row is ranked once for each pair that its group is in, so there are as many
+    copies of the distinct values as groups less one.
+    """
+    rows = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
+    a, b = f"{group}_a", f"{group}_b"
+    pairs = group_pairs(rows.select(group).distinct(), group)
+    counted = rows.join(F.broadcast(pairs), (F.col(group) == F.col(a)) | (F.col(group) == F.col(b)))  # as many pairs as groups have
+    repeated = counted.withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    sums, ties = rank_sums(repeated, value, group, (a, b))
+    own = lambda c, k: F.max(F.when(F.col(group) == F.col(k), F.col(c)))
+    one = sums.groupBy(a, b).agg(own("n", a).alias("_na"), own("n", b).alias("_nb"), own("rank_sum", a).alias("_ra")).join(ties, [a, b])
+    n, na, nb = F.col("total").cast("double"), F.col("_na"), F.col("_nb")
+    u = F.col("_ra") - na * (na + 1) / 2
+    spread = na * nb / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1)))
+    z = F.try_divide(F.greatest(u, na * nb - u) - na * nb / 2 - 0.5, F.sqrt(spread))
+    return one.select(a, b, u.alias("mw_u"), F.least(F.lit(1.0), F.when(z > 0, p_normal(z)).otherwise(1.0)).alias("mw_p"))
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
@@ -218,8 +247,8 @@ def mann_whitney(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     """(n, pearson, spearman, pearson_p): over rows with both values; ranks are averages of ties."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    out = average_rank(average_rank(both, x, "_x"), y, "_y").agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_x", "_y").alias("spearman"))
+    both = saved(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y), "both")
+    out = average_rank(saved(average_rank(both, x, "_x"), "ranked"), y, "_y").agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_x", "_y").alias("spearman"))
     t = F.col("pearson") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("pearson") * F.col("pearson")))
     return out.withColumn("pearson_p", p_t(t, F.col("n") - 2))
 
@@ -251,23 +280,44 @@ def huber_fit(df: DataFrame, x: tuple[str, ...], y: str, intercept: bool = True,
     return LinearRegression(featuresCol="features", labelCol=y, loss="huber", regParam=ridge, standardization=False, fitIntercept=intercept).fit(data)
 
 
-def _unit(*columns: Column) -> Column:
-    """A number in (0, 1) that depends on the columns only."""
-    return (F.pmod(F.xxhash64(*columns), F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
+#: Rows of a permutation test that one task holds, about.
+BUCKET_ROWS = 50_000
+#: Weights that a task draws at once.
+DRAWN = 1 << 20
 
 
 def bootstrap_ci(df: DataFrame, value: str, keys: tuple[str, ...], row_id: str, replicates: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
     """(keys, n, mean, low, high): percentile interval of the mean.
 
     Weights are exponential, a function of seed, row and replicate, so a lost task
-    gives the same numbers again. A row makes its replicates' weights inside one
-    aggregation, map side first; nothing larger than a group's replicates is kept.
-    NaN and infinite values take no part; a single value is its own interval.
+    gives the same numbers again. A task adds up its rows' weights for all
+    replicates and passes on a vector of sums for each group: what is shuffled
+    grows with groups, tasks and replicates, not with rows. NaN and infinite values
+    take no part; a single value is its own interval.
     """
     x = F.col(value).cast("double")
-    rows = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    drawn = rows.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_w", -F.ln(_unit(F.lit(seed), F.col(row_id), F.col("_rep"))))
-    means = drawn.groupBy(*keys, "_rep").agg((F.sum(F.col("_w") * x) / F.sum("_w")).alias("_m"), F.count("*").alias("_n"), F.avg(x).alias("_a"))
+    rows = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(*keys, F.xxhash64(F.lit(seed), F.col(row_id)).alias("_h"), x.alias("_x"))
+
+    def add(batches):
+        for batch in batches:
+            groups = pa.table({k: batch.column(k) for k in keys}) if keys else None
+            names = list(zip(*(groups[k].to_pylist() for k in keys))) if keys else [()] * batch.num_rows
+            place = {g: i for i, g in enumerate(dict.fromkeys(names))}
+            which = np.array([place[g] for g in names])
+            h, v = batch.column("_h").to_numpy(), batch.column("_x").to_numpy()
+            w, wx = np.zeros((len(place), replicates)), np.zeros((len(place), replicates))
+            step = max(1, DRAWN // replicates)
+            for at in range(0, len(h), step):
+                drawn = np.stack([np.random.Generator(np.random.Philox(int(k) & (1 << 64) - 1)).standard_exponential(replicates) for k in h[at : at + step].tolist()])
+                np.add.at(w, which[at : at + step], drawn)
+                np.add.at(wx, which[at : at + step], drawn * v[at : at + step, None])
+            columns = [pa.array([g[i] for g in place], groups.schema.field(k).type) for i, k in enumerate(keys)]
+            n, s = np.bincount(which, minlength=len(place)), np.bincount(which, v, len(place))
+            yield pa.record_batch([*columns, pa.array(n, pa.int64()), pa.array(s), pa.array(list(w), pa.list_(pa.float64())), pa.array(list(wx), pa.list_(pa.float64()))], [*keys, "n", "s", "w", "wx"])
+
+    schema = T.StructType([*(rows.schema[k] for k in keys), *(T.StructField(c, k) for c, k in (("n", T.LongType()), ("s", T.DoubleType()), ("w", T.ArrayType(T.DoubleType())), ("wx", T.ArrayType(T.DoubleType()))))])
+    each = rows.mapInArrow(add, schema).select(*keys, "n", "s", F.posexplode(F.arrays_zip("w", "wx")).alias("_rep", "_z"))
+    means = each.groupBy(*keys, "_rep").agg((F.sum("_z.wx") / F.sum("_z.w")).alias("_m"), F.sum("n").alias("_n"), (F.sum("s") / F.sum("n")).alias("_a"))
     tail = (1 - level) / 2
     out = means.groupBy(*keys).agg(F.first("_n").alias("n"), F.first("_a").alias("mean"), F.percentile("_m", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"))
     return out.select(*keys, "n", "mean", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
@@ -276,17 +326,39 @@ def bootstrap_ci(df: DataFrame, value: str, keys: tuple[str, ...], row_id: str,
 def permutation_test(df: DataFrame, value: str, group: str, a, b, row_id: str, permutations: int = 10_000, seed: int = 0) -> DataFrame:
     """(diff, n, p): how often a random split of the two groups' rows differs in its means as much as the groups do.
 
-    In each permutation a row draws a number; the ``n_a`` smallest are group a. The
-    cut is taken from the sorted numbers of that permutation only.
+    Rows go by their hash to buckets of bounded size. How many rows of each bucket
+    a permutation calls group ``a`` is drawn first, from the sizes of the buckets
+    alone; each bucket then draws that many of its rows. Only a sum for each bucket
+    and permutation is shuffled. Draws depend on the seed, row ids and values only.
     """
-    rows = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
-    real = rows.agg(F.avg(F.when(F.col(group) == a, F.col(value))).alias("_ma"), F.avg(F.when(F.col(group) == b, F.col(value))).alias("_mb"), F.sum((F.col(group) == a).cast("long")).alias("_na"), F.count("*").alias("_n"), F.sum(value).alias("_s"))
-    drawn = rows.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("_u", F.xxhash64(F.lit(seed), F.col(row_id), F.col("_rep")))
-    ranked = drawn.withColumn("_k", F.row_number().over(Window.partitionBy("_rep").orderBy("_u", row_id))).crossJoin(F.broadcast(real))
-    sums = ranked.where("_k <= _na").groupBy("_rep", "_ma", "_mb", "_na", "_n", "_s").agg(F.sum(value).alias("_sa"))
-    moved = F.col("_sa") / F.col("_na") - (F.col("_s") - F.col("_sa")) / (F.col("_n") - F.col("_na"))
-    hit = (F.abs(moved) >= F.abs(F.col("_ma") - F.col("_mb")) - 1e-12).cast("long")
-    return sums.agg(F.first(F.col("_ma") - F.col("_mb")).alias("diff"), F.first("_n").alias("n"), ((F.sum(hit) + 1) / (F.count("*") + 1)).alias("p"))
+    rows = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).select((F.col(group) == a).alias("a"), F.col(value).cast("double").alias("v"), F.xxhash64(F.lit(seed), F.col(row_id)).alias("h"))
+    rows = saved(rows, "rows")
+    real = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("a").cast("long")), F.lit(0)).alias("na"), F.sum("v").alias("s"), F.sum(F.when(F.col("a"), F.col("v"))).alias("sa")).first()
+    n, na = real["n"], real["na"]
+    if not 0 < na < n:
+        return df.sparkSession.createDataFrame([(None, n, None)], "diff double, n long, p double")
+    buckets = -(-n // BUCKET_ROWS)
+    dealt = rows.withColumn("bucket", F.pmod(F.shiftright("h", 8), F.lit(buckets)))
+    sizes = dict(tuple(r) for r in dealt.groupBy("bucket").count().collect())  # a row for each bucket
+    order = sorted(sizes)
+    drawn = np.random.default_rng(seed).multivariate_hypergeometric([sizes[k] for k in order], na, size=permutations, method="marginals")
+    shared = df.sparkSession.sparkContext.broadcast({k: drawn[:, i] for i, k in enumerate(order)})
+
+    def draw(key, table):
+        bucket = key[0].as_py()
+        place = np.lexsort((table["v"].to_numpy(), table["h"].to_numpy()))
+        v = table["v"].to_numpy()[place]
+        rng = np.random.default_rng((seed, bucket))
+        sums = np.empty(permutations)
+        for i, k in enumerate(shared.value[bucket].tolist()):
+            sums[i] = v[rng.permutation(len(v))[:k]].sum() if 2 * k <= len(v) else v.sum() - v[rng.permutation(len(v))[: len(v) - k]].sum()
+        return pa.table({"rep": np.arange(permutations), "sa": sums})
+
+    sums = dealt.groupBy("bucket").applyInArrow(draw, "rep long, sa double").groupBy("rep").agg(F.sum("sa").alias("sa"))
+    diff = real["sa"] / na - (real["s"] - real["sa"]) / (n - na)
+    moved = F.col("sa") / na - (real["s"] - F.col("sa")) / (n - na)
+    hit = (F.abs(moved) >= abs(diff) - 1e-12).cast("long")
+    return sums.agg(F.lit(diff).alias("diff"), F.lit(n).cast("long").alias("n"), ((F.sum(hit) + 1) / (F.count("*") + 1)).alias("p"))
 
 
 def jarque_bera(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -298,6 +370,7 @@ def jarque_bera(df: DataFrame, value: str, group: str) -> DataFrame:
 
 def choose_test(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> DataFrame:
     """One row: normality and equal variances, the test they call for, its p-value, and whether pairs should be compared."""
+    df = saved(df.select(value, group), "rows")
     normal = jarque_bera(df, value, group).agg(F.min("p").alias("least_normal_p"))
     equal = levene(df, value, group).select(F.col("p").alias("levene_p"))
     a, k = anova(df, value, group).select(F.col("p").alias("anova_p")), kruskal(df, value, group).select(F.col("p").alias("kruskal_p"))
@@ -305,3 +378,12 @@ def choose_test(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> D
     plain = (F.coalesce("least_normal_p", F.lit(1.0)) > alpha) & (F.col("levene_p") > alpha)
     one = one.withColumn("chosen", F.when(plain, "anova").otherwise("kruskal")).withColumn("p", F.when(plain, F.col("anova_p")).otherwise(F.col("kruskal_p")))
     return one.withColumn("compare_pairs", F.col("p") < alpha)
+
+
+def chosen_pairs(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> DataFrame:
+    """(group_a, group_b, test, p, significant) of the post-hoc test that follows the chosen one: Tukey after ANOVA, Dunn by Holm after Kruskal-Wallis; no rows where that finds no difference."""
+    df = saved(df.select(value, group), "rows")
+    pairs = posthoc(df, value, group).crossJoin(F.broadcast(choose_test(df, value, group, alpha).select("chosen", "compare_pairs"))).where("compare_pairs")
+    tukey = F.col("chosen") == "anova"
+    out = pairs.select(f"{group}_a", f"{group}_b", F.when(tukey, "tukey").otherwise("dunn").alias("test"), F.when(tukey, F.col("tukey_p")).otherwise(F.col("dunn_p_holm")).alias("p"))
+    return out.withColumn("significant", F.col("p") < alpha)

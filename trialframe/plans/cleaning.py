@@ -121,7 +121,9 @@ x AS (SELECT g.*, d.clean_area AS a FROM grid g LEFT JOIN daily d USING (experim
 SELECT experiment, zone, plant_id, CAST(time AS VARCHAR) AS time, last_value(a IGNORE NULLS) OVER (PARTITION BY experiment, zone, plant_id ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS clean_area FROM x""")
 def carry_forward(spark, sf_dir):
     d = daily(spark, sf_dir)
-    return clean.carry_frames(d, d).select(*PLANT, text("time"), "clean_area")
+    grid = d.select(*ZONE, "time").distinct().join(d.select(*PLANT).distinct(), list(ZONE))
+    filled = clean.forward_fill(grid.join(d.select(*PLANT, "time", "clean_area"), [*PLANT, "time"], "left"), ("clean_area",), PLANT, "time")
+    return filled.select(*PLANT, text("time"), "clean_area")
 
 
 @query(f"""WITH {DAILY} SELECT experiment, zone, plant_id, CAST(time AS VARCHAR) AS time, {s6("avg(clean_area) OVER (PARTITION BY experiment, zone, day)")} AS mean_area FROM daily""")
@@ -129,10 +131,10 @@ def daily_group_mean(spark, sf_dir):
     return clean.group_mean(daily(spark, sf_dir), ("clean_area",), (*ZONE, "day")).select(*PLANT, text("time"), r6("clean_area").alias("mean_area"))
 
 
-@query(f"""WITH {DAILY}, n AS (SELECT *, concat('cam_', strftime(time, '%Y-%m-%dT%H%M%S'), '+0000.png') AS image_name FROM daily)
+@query(f"""WITH {DAILY}, n AS (SELECT * REPLACE (time - to_hours(CAST(o AS BIGINT)) AS time), concat('cam_', strftime(time, '%Y-%m-%dT%H%M%S'), CASE o WHEN 0 THEN '+0000' WHEN -7 THEN '-0700' ELSE '+0500' END, '_left.png') AS image_name FROM (SELECT *, CASE day % 3 WHEN 0 THEN 0 WHEN 1 THEN -7 ELSE 5 END AS o FROM daily))
 SELECT experiment, zone, plant_id, image_name, CAST(time AS VARCHAR) AS time, strftime(time, '%d/%m %H:%M') AS shown,
 CAST(date_diff('day', CAST(min(time) OVER (PARTITION BY experiment, zone, plant_id) AS DATE), CAST(time AS DATE)) AS BIGINT) AS day_number FROM n""")
 def name_to_day(spark, sf_dir):
-    named = daily(spark, sf_dir).select(*PLANT, F.concat(F.lit("cam_"), F.date_format("time", "yyyy-MM-dd'T'HHmmss"), F.lit("+0000.png")).alias("image_name"))
+    named = daily(spark, sf_dir).select(*PLANT, F.concat(F.lit("cam_"), F.date_format("time", "yyyy-MM-dd'T'HHmmss"), F.when(F.col("day") % 3 == 0, "+0000").when(F.col("day") % 3 == 1, "-0700").otherwise("+0500"), F.lit("_left.png")).alias("image_name"))
     timed = clean.day_index(named.withColumn("time", image_time(F.col("image_name"))), PLANT, out="day_number")
     return timed.select(*PLANT, "image_name", text("time"), F.date_format("time", "dd/MM HH:mm").alias("shown"), F.col("day_number").cast("long").alias("day_number"))

@@ -47,17 +47,25 @@ def episode_steps(spark, sf_dir):
     return trajectory.spaced_steps(steps(spark, sf_dir)).select(*PLANT, "episode", "step")
 
 
-@query()
+@query(f"""WITH RECURSIVE {DAILY}, g AS (SELECT experiment, zone, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, experiment, zone) AS k FROM daily GROUP BY 1, 2),
+deal AS (SELECT CAST(0 AS BIGINT) AS k, [CAST(0 AS BIGINT), 0, 0, 0, 0] AS load, CAST(-1 AS BIGINT) AS fold
+UNION ALL SELECT g.k, list_transform(load, lambda x, i: x + CASE WHEN i = list_position(load, list_min(load)) THEN g.n ELSE 0 END), CAST(list_position(load, list_min(load)) - 1 AS BIGINT) FROM deal JOIN g ON g.k = deal.k + 1)
+SELECT experiment, zone, n, fold FROM g JOIN deal USING (k)""")
 def group_kfold(spark, sf_dir):
     return splits.group_folds(daily(spark, sf_dir), ZONE)
 
 
-@query()
+def _md5(seed: int) -> str:
+    return f"md5(concat_ws('|', experiment, zone, plant_id, CAST(time AS VARCHAR), '{seed}'))"
+
+
+@query(f"WITH {DAILY} SELECT experiment, zone, plant_id, CAST(time AS VARCHAR) AS time, clean_area FROM daily ORDER BY {_md5(7)} LIMIT 200")
 def hash_sample(spark, sf_dir):
     return splits.hash_sample(daily(spark, sf_dir), (*PLANT, "time"), 200, 7).select(*PLANT, text("time"), "clean_area")
 
 
-@query()
+@query(f"""WITH {DAILY}, r AS (SELECT *, row_number() OVER (PARTITION BY zone = 11 ORDER BY {_md5(7)}) AS k, count(*) FILTER (zone = 11) OVER () AS wanted FROM daily)
+SELECT experiment, zone, plant_id, CAST(time AS VARCHAR) AS time, clean_area FROM r WHERE zone = 11 OR k <= greatest(500 - wanted, 0)""")
 def target_sample(spark, sf_dir):
     d = daily(spark, sf_dir)
     return splits.target_sample(d, F.col("zone") == 11, (*PLANT, "time"), 500, 7).select(*PLANT, text("time"), "clean_area")

@@ -95,15 +95,24 @@ def zone_energy_max(spark, sf_dir):
     return points.groupBy(*ZONE).agg(r6(F.max("c")).alias("energy"), F.count("*").alias("n_times"))
 
 
-POINTS = f"{DAILY}, points AS (SELECT experiment, zone, time, avg(action_0) AS x FROM daily GROUP BY 1, 2, 3)"
-_TRACE = "coalesce(list_reduce(list_transform(list(x) OVER w, lambda v: {'n': v, 'd': CAST(1 AS DOUBLE)}), lambda a, b: {'n': a.n * 0.7 + b.n, 'd': a.d * 0.7 + 1}), {'n': CAST(0 AS DOUBLE), 'd': CAST(1 AS DOUBLE)})"
+#: A zone's mean settings at each time, null on every fifth day, and their traces.
+TRACE_POINTS = f"""{DAILY}, {COEF}, points AS (SELECT experiment, zone, time, {', '.join(f'CASE WHEN any_value(day) % 5 <> 4 THEN avg({c}) END AS {c}' for c in light.TRACED)} FROM mixed GROUP BY 1, 2, 3)"""
 
 
-@query(f"""WITH {POINTS}, t AS (SELECT *, {_TRACE} AS s FROM points WINDOW w AS (PARTITION BY experiment, zone ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT experiment, zone, CAST(time AS VARCHAR) AS time, {s6("s['n'] / s['d']")} AS trace FROM t""")
+def trace_sql(column: str, beta: float) -> str:
+    walked = f"list_reduce(list_transform(list({column}) OVER w, lambda v: {{'n': CAST(coalesce(v, 0) AS DOUBLE), 'd': CAST(CASE WHEN v IS NULL THEN 0 ELSE 1 END AS DOUBLE)}}), lambda a, b: {{'n': a.n * CAST({beta} AS DOUBLE) + b.n, 'd': a.d * CAST({beta} AS DOUBLE) + b.d}})"
+    return f"(CASE WHEN lag({column}) OVER (PARTITION BY experiment, zone ORDER BY time) IS NULL THEN 0.0 ELSE {walked}['n'] / {walked}['d'] END)"
+
+
+def trace_points(spark, sf_dir):
+    return mixed(spark, sf_dir).groupBy(*ZONE, "time").agg(*[F.when(F.first("day") % 5 != 4, F.avg(c)).alias(c) for c in light.TRACED])
+
+
+@query(f"""WITH {TRACE_POINTS} SELECT experiment, zone, CAST(time AS VARCHAR) AS time, {', '.join(f'{s6(trace_sql(c, b))} AS t_{c}_{int(10 * b)}' for c, b in light.trace_names(light.TRACED).values())}
+FROM points WINDOW w AS (PARTITION BY experiment, zone ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def action_trace(spark, sf_dir):
-    points = daily(spark, sf_dir).groupBy(*ZONE, "time").agg(F.avg("action_0").alias("x"))
-    return light.action_traces(points, ("x",), (0.7,)).select(*ZONE, text("time"), r6(F.col("`x_trace_0.7`")).alias("trace"))
+    traced = light.action_traces(trace_points(spark, sf_dir))
+    return traced.select(*ZONE, text("time"), *[r6(F.col(f"`{n}`")).alias(f"t_{c}_{int(10 * b)}") for n, (c, b) in light.trace_names(light.TRACED).items()])
 
 
 ZONE_COEF = f"""{DAILY}, {COEF}, zpoints AS (SELECT experiment, zone, time, {', '.join(f'avg({c}) AS {c}' for c in COEFFICIENTS)} FROM mixed GROUP BY 1, 2, 3),
@@ -146,10 +155,13 @@ def weighted_spectrum(spark, sf_dir):
     return spectrum(spark, sf_dir).select(*ZONE, "wavelength", r6("intensity").alias("intensity"))
 
 
-@query(f"WITH {_WEIGHTED} SELECT experiment, zone, wavelength, {s6('intensity - avg(intensity) OVER (PARTITION BY experiment, wavelength)')} AS difference FROM weighted")
+@query(f"""WITH {_WEIGHTED}, days AS (SELECT w.*, d AS day, intensity * (1 + d / 10.0) AS lit FROM weighted w, range(0, 4) t(d) WHERE d <= 1 + zone % 3),
+last AS (SELECT experiment, min(m) AS m FROM (SELECT experiment, zone, max(day) AS m FROM days GROUP BY 1, 2) GROUP BY 1)
+SELECT experiment, zone, day, wavelength, {s6('lit - avg(lit) OVER (PARTITION BY experiment, day, wavelength)')} AS difference FROM days JOIN last USING (experiment) WHERE day <= m""")
 def spectrum_diff(spark, sf_dir):
-    s = spectrum(spark, sf_dir).withColumn("day", F.lit(0)).withColumn("agent", F.col("experiment"))
-    return light.spectrum_difference(s).select(*ZONE, "wavelength", r6("difference").alias("difference"))
+    s = spectrum(spark, sf_dir).withColumn("day", F.explode(F.sequence(F.lit(0), (1 + F.col("zone") % 3).cast("int")))).withColumn("agent", F.col("experiment"))
+    s = s.withColumn("intensity", F.col("intensity") * (1 + F.col("day") / 10))
+    return light.spectrum_difference(s).select(*ZONE, F.col("day").cast("long").alias("day"), "wavelength", r6("difference").alias("difference"))
 
 
 @query(f"WITH {DAILY}, {CALIBRATION}, t AS (SELECT experiment, zone, avg(clean_area) AS m FROM daily GROUP BY 1, 2) SELECT experiment, zone, {s6('m')} AS mean_area, R AS dose FROM t JOIN calibration USING (zone)")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from trialframe.operators import rewards, trajectory
+from trialframe.operators import light, rewards, trajectory
 from trialframe.operators.common import PLANT, ZONE, text
+from trialframe.plans.lighting import COEF, trace_sql
 from trialframe.plans.registry import query
 from trialframe.plans.views import PLANTS, REWARDED, W, logged, plants, r6, s6
 from trialframe.operators.quality import trimmed_mean
@@ -51,14 +54,26 @@ def combined_reward(spark, sf_dir):
     return rewards.energy_rewards(metered(spark, sf_dir)).select(*PLANT, text("time"), r6("area_reward").alias("area_reward"), r6("reward").alias("reward"))
 
 
-@query(f"""WITH {RECOMPUTED}, n AS (SELECT *, row_number() OVER (ORDER BY reward) - 1 AS k, count(*) OVER () AS n FROM metered WHERE reward IS NOT NULL),
+#: Per beta, the sum of the nine traces.
+_TRACED = {f"traces_{int(10 * b)}": b for b in light.BETAS}
+TRACED = f"""{COEF}, zone_points AS (SELECT experiment, zone, time, {', '.join(f'avg({c}) AS {c}' for c in light.TRACED)} FROM mixed GROUP BY 1, 2, 3),
+traced AS (SELECT experiment, zone, time, {', '.join(f"{s6(' + '.join(trace_sql(c, b) for c in light.TRACED))} AS {n}" for n, b in _TRACED.items())}
+FROM zone_points WINDOW w AS (PARTITION BY experiment, zone ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query(f"""WITH {RECOMPUTED}, {TRACED}, n AS (SELECT *, row_number() OVER (ORDER BY reward) - 1 AS k, count(*) OVER () AS n FROM metered WHERE reward IS NOT NULL),
 b AS (SELECT max(reward) FILTER (k = CAST(floor(0.01 * (n - 1) + 0.5) AS BIGINT)) AS lo, max(reward) FILTER (k = CAST(floor(0.99 * (n - 1) + 0.5) AS BIGINT)) AS hi FROM n)
-SELECT {KEY}, {s6('energy')} AS energy, {s6('reward')} AS reward, clean_area = 0 AS nodata, coalesce(reward < lo OR reward > hi, false) AS outlier,
-NOT (clean_area = 0 OR coalesce(reward < lo OR reward > hi, false)) AS valid, truncated FROM metered CROSS JOIN b""")
+SELECT m.experiment, m.zone, m.plant_id, CAST(m.time AS VARCHAR) AS time, {s6('energy')} AS energy, {s6('reward')} AS reward, clean_area = 0 AS nodata, coalesce(reward < lo OR reward > hi, false) AS outlier,
+NOT (clean_area = 0 OR coalesce(reward < lo OR reward > hi, false)) AS valid, truncated, {', '.join(f't.{n}' for n in _TRACED)}
+FROM metered m CROSS JOIN b JOIN traced t ON t.experiment = m.experiment AND t.zone = m.zone AND t.time = m.time""")
 def daily_recompute(spark, sf_dir):
     d = logged(spark, sf_dir).drop("log_clean_area").withColumn("_e", F.col("action_0") + F.col("action_1"))
-    d = rewards.daily_recompute(trajectory.cumulative(d, "_e", "cumulative_energy").drop("_e"))
-    return d.select(*PLANT, text("time"), r6("energy").alias("energy"), r6("reward").alias("reward"), "nodata", "outlier", "valid", "truncated")
+    d = light.action_coefficients(trajectory.cumulative(d, "_e", "cumulative_energy").drop("_e"))
+    d = d.withColumns({c: F.avg(c).over(Window.partitionBy(*ZONE, "time")) for c in light.TRACED})  # a zone's plants share its light
+    d = rewards.daily_recompute(d)
+    traces = light.trace_names(light.TRACED)
+    sums = {name: reduce(Column.__add__, [F.col(f"`{n}`") for n, (_, b) in traces.items() if b == beta]) for name, beta in _TRACED.items()}
+    return d.select(*PLANT, text("time"), r6("energy").alias("energy"), r6("reward").alias("reward"), "nodata", "outlier", "valid", "truncated", *[r6(x).alias(n) for n, x in sums.items()])
 
 
 @query(f"""WITH {RECOMPUTED} SELECT experiment, zone, plant_id, {s6('sum(reward)')} AS area, {', '.join(f'{s6(f'sum(reward - ({_GAP}) * {b} / 14)')} AS a{i}' for i, b in enumerate(rewards.BETAS))}, {s6(f'sum(reward - {_B})')} AS b

@@ -24,6 +24,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from trialframe.plans import attributes, cleaning, comparisons, embeddings, episodes, files, lighting, paying, summaries, tracks  # noqa: E402,F401
+from trialframe.plans import attributes, cleaning, comparisons, embeddings, episodes, files, lighting, paying, storage, summaries, tracks  # noqa: E402,F401
 
 QUERIES, ORACLE_SQL = _queries, _sql

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The columns of the input format.
 TELEMETRY = "time timestamp, image_name string, `action.0` double, `action.1` double, `action.2` double, `action.3` double, `action.4` double, `action.5` double"
 _WIDER = {("int", "bigint"): "bigint", ("int", "double"): "double", ("bigint", "double"): "double", ("float", "double"): "double", ("int", "float"): "double", ("bigint", "float"): "double"}
 
@@ -24,26 +25,14 @@ def zone_of(path: str | Column) -> Column:
     return F.regexp_extract(p, r"zone(\d+)", 1).try_cast("long")
 
 
-def read_telemetry(spark: SparkSession, paths: str | list[str], power: bool | None = None) -> DataFrame:
+def read_telemetry(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Raw telemetry of any number of zones, with experiment and zone of each file's path.
 
-    Columns go by the files' header; a power column that only some files have is
-    null in the others.
+    The columns stand in the order of the schema; files without the last one, power,
+    have nulls there. Files of both kinds are read in one pass.
     """
-    schema = f"{TELEMETRY}, power double"
-    raw = spark.read.option("header", True).option("enforceSchema", False).schema(schema if power is not False else TELEMETRY)
-    paths = [paths] if isinstance(paths, str) else paths
-    if power is None:  # headers differ: each file by the columns that it has
-        heads = spark.read.text(paths).select("value", F.input_file_name().alias("f")).where(F.col("value").startswith("time,"))
-        with_power = {r["f"] for r in heads.where(F.col("value").contains("power")).select("f").distinct().collect()}
-        without = {r["f"] for r in heads.where(~F.col("value").contains("power")).select("f").distinct().collect()}
-        parts = [read_telemetry(spark, sorted(files), has) for files, has in ((with_power, True), (without, False)) if files]
-        return union_relaxed(*parts)
-    df = raw.csv(paths).withColumn("_path", F.col("_metadata.file_path"))
-    if not power:
-        df = df.withColumn("power", F.lit(None).cast("double"))
-    names = {f"action.{i}": f"action_{i}" for i in range(6)}
-    df = df.withColumnsRenamed(names)
+    raw = spark.read.option("header", True).schema(f"{TELEMETRY}, power double").csv(paths)
+    df = raw.withColumnsRenamed({f"action.{i}": f"action_{i}" for i in range(6)}).withColumn("_path", F.col("_metadata.file_path"))
     return df.withColumns({"experiment": experiment_of("_path"), "zone": zone_of("_path"), "directory": F.regexp_replace("_path", "/[^/]*$", "")}).drop("_path")
 
 
@@ -107,16 +96,23 @@ def harvest_long(df: DataFrame, key: str) -> DataFrame:
 
 
 def image_manifest(spark: SparkSession, paths: str) -> DataFrame:
-    """(path, name, digest, n_bytes, time) of image files; names give the time, unreadable ones null."""
+    """(path, image_name, image_hash, n_bytes, time, side) of image files; names give the time and the camera's side, null where they do not."""
     files = spark.read.format("binaryFile").load(paths)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", name.alias("image_name"), F.md5("content").alias("image_hash"), F.col("length").alias("n_bytes"), image_time(name).alias("time"))
+    return files.select("path", name.alias("image_name"), F.md5("content").alias("image_hash"), F.col("length").alias("n_bytes"), image_time(name).alias("time"), image_side(name).alias("side"))
 
 
 def image_time(name: Column) -> Column:
-    """The instant in a name like ..._2025-01-31T093000+0000.png; null where there is none."""
+    """The instant in a name like 2025-01-31T093000-0700_left.png; without an offset it is UTC, without a time null."""
     stamp = F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2}T\d{6})", 1)
-    return F.try_to_timestamp(F.when(stamp != "", stamp), F.lit("yyyy-MM-dd'T'HHmmss"))
+    offset = F.regexp_extract(name, r"\d{4}-\d{2}-\d{2}T\d{6}([+-]\d{4}|Z)", 1)
+    return F.try_to_timestamp(F.when(stamp != "", F.concat(stamp, F.when(offset == "", F.lit("Z")).otherwise(offset))), F.lit("yyyy-MM-dd'T'HHmmssXX"))
+
+
+def image_side(name: Column) -> Column:
+    """``left`` or ``right``, as the name ends; else null."""
+    side = F.lower(F.regexp_extract(name, r"(?i)[_-](left|right)\.\w+$", 1))
+    return F.when(side != "", side)
 
 
 def image_quality(df: DataFrame, decode, content: str = "content") -> DataFrame:
@@ -155,17 +151,18 @@ def stale_zones(wanted: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("ex
 
 
 def storage_profile(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(column_name, compressed, uncompressed, ratio, share) over the footers of Parquet files; each file's footer is read by a task."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    """(column_name, compressed, uncompressed, ratio, share) over the footers of Parquet files; tasks read each file's end only."""
+    files = spark.read.format("binaryFile").load(paths).select("path")  # without the content, which is then not read
 
     def footers(batches):
-        import io
-
         import pyarrow.parquet as pq
+        from pyarrow import fs
 
         for batch in batches:
-            for content in batch["content"]:
-                meta = pq.ParquetFile(io.BytesIO(content)).metadata
+            for path in batch["path"]:
+                store, at = fs.FileSystem.from_uri(path)
+                with store.open_input_file(at) as f:
+                    meta = pq.ParquetFile(f).metadata
                 yield pd.DataFrame([(c.path_in_schema, c.total_compressed_size, c.total_uncompressed_size) for g in range(meta.num_row_groups) for c in (meta.row_group(g).column(i) for i in range(meta.num_columns))], columns=["column_name", "c", "u"])
 
     sums = files.mapInPandas(footers, "column_name string, c long, u long").groupBy("column_name").agg(F.sum("c").alias("compressed"), F.sum("u").alias("uncompressed"))
