@@ -76,8 +76,31 @@ def asof_join(left: DataFrame, right: DataFrame, by: tuple[str, ...], left_on: s
     return found.select("_l.*", F.when(keep, F.col("_m._at")).alias(f"{right_on}_asof"), *[F.when(keep, F.col(f"_m.{v}")).alias(v) for v in values])
 
 
+#: Rows of a calendar that may be gathered and broadcast.
+CALENDAR_ROWS = 10_000
+
+
+def asof_calendar(left: DataFrame, calendar: DataFrame, by: tuple[str, ...], left_on: str, right_on: str, values: tuple[str, ...], order: tuple[str, ...] = ()) -> DataFrame:
+    """``asof_join`` with a small right side: each key's events as one sorted array, broadcast, so that the rows stay where they are.
+
+    A calendar of more than ``CALENDAR_ROWS`` rows takes the other way.
+    """
+    if calendar.limit(CALENDAR_ROWS + 1).count() > CALENDAR_ROWS:
+        return asof_join(left, calendar, by, left_on, right_on, values, order)
+    event = F.struct(F.col(right_on).alias("at"), F.struct(*[F.col(o) for o in order or values]).alias("o"), *[F.col(v).alias(f"v_{v}") for v in values])
+    events = calendar.groupBy(*by).agg(F.array_sort(F.collect_list(event)).alias("_events"))
+    met = left.join(F.broadcast(events), list(by), "left").withColumn("_m", F.try_element_at(F.filter("_events", lambda e: e["at"] <= F.col(left_on)), F.lit(-1)))
+    return met.select(*left.columns, F.col("_m.at").alias(f"{right_on}_asof"), *[F.col(f"_m.v_{v}").alias(v) for v in values])
+
+
+#: Targets that may be broadcast.
+TARGETS = 1_000
+
+
 def nearest_rows(df: DataFrame, targets: DataFrame, value: str, keys: tuple[str, ...], tie: str) -> DataFrame:
     """For each key and target of ``targets(target)``, the row whose ``value`` is nearest; ties to the smaller ``tie``. Targets are a short list."""
+    if targets.limit(TARGETS + 1).count() > TARGETS:
+        raise ValueError(f"more than {TARGETS} targets")
     row = F.struct(*[c for c in df.columns if c not in keys])
     near = df.crossJoin(F.broadcast(targets)).groupBy(*keys, "target").agg(F.min_by(row, F.struct(F.abs(F.col(value) - F.col("target")), F.col(tie))).alias("_r"))
     return near.select(*keys, "target", "_r.*")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.operators.common import DAY_MICROS, PLANT, ZONE, before, micros, over, up_to, whole
+from trialframe.operators.order import in_ranges
 from trialframe.operators.order import global_rank
 
 HOUR_MICROS = DAY_MICROS // 24
@@ -125,7 +126,7 @@ def pareto_frontier(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
     Meant for aggregated rows. Ranges of ``x`` are scanned apart and meet in their
     maxima only: a row is compared with its range so far and the ranges before.
     """
-    ordered = df.withColumn("_r", F.floor(F.col(x)))
+    ordered = in_ranges(df.where(F.col(x).isNotNull()), x).withColumnRenamed("_part", "_r")
     w = Window.partitionBy("_r").orderBy(F.col(x), F.desc(y), F.col(tie)).rowsBetween(Window.unboundedPreceding, -1)
     tops = ordered.groupBy("_r").agg(F.max(y).alias("_top"))
     earlier = tops.withColumn("_before", F.max("_top").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))).select("_r", "_before")

@@ -49,7 +49,7 @@ FROM daily d ASOF LEFT JOIN watering w ON d.experiment = w.experiment AND CAST(d
 def asof_watering(spark, sf_dir):
     d = daily(spark, sf_dir).withColumn("_date", F.to_date("time"))
     water = d.where("day % 6 = 2").select("experiment", F.col("_date").alias("watering_date"), ((F.col("day") % 5 + 1).cast("double") / 18).alias("liters")).distinct()
-    found = ops.asof_join(d, water, ("experiment",), "_date", "watering_date", ("liters",))
+    found = ops.asof_calendar(d, water, ("experiment",), "_date", "watering_date", ("liters",))
     return found.select(*PLANT, text("time"), F.datediff("_date", "watering_date_asof").cast("long").alias("days_since_watering"), r6("liters").alias("liters"))
 
 
