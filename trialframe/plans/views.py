@@ -16,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(x: str | Column) -> Column:
-    return F.round(F.col(x) if isinstance(x, str) else x, 6) + F.lit(0.0)
+    """Six digits; a little is added first, so that a mean halfway between two goes the same way in any order of summing."""
+    return F.round((F.col(x) if isinstance(x, str) else x) + 1e-9, 6) + F.lit(0.0)
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def rewarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s6(x: str) -> str:
-    return f"(round({x}, 6) + CAST(0 AS DOUBLE))"
+    return f"(round(({x}) + CAST(1e-9 AS DOUBLE), 6) + CAST(0 AS DOUBLE))"
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
