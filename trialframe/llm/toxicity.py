@@ -1,14 +1,16 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
 Folding undoes the usual disguises: compatibility forms, letters of other
-alphabets that look Latin, digits and signs that stand for letters. The lexicon
-(words and beginnings of words, with weights) is learned from labels; phrases
-that are mostly seen in clean documents are exceptions. Matches are normalised by
-the text's length and calibrated to a probability.
+alphabets that look Latin, digits and signs that stand for letters. The lexicon is
+learned from labels: whole words, and long beginnings of words where most that
+begins so is toxic, whatever follows. Words and phrases around an entry that are
+mostly seen in clean documents are exceptions. Matches are normalised by the
+text's length and calibrated to a probability.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.llm.fit import fit_logistic, predict
-from trialframe.llm.store import bounded_batches, forget, save
+from trialframe.llm.store import bounded_batches, forget, lightly, save
 from trialframe.llm.words import text_column
 
 #: Letters of other alphabets and the Latin letters they look like.
@@ -34,14 +36,19 @@ _SIGN = re.compile(r"(?<=[^\W\d_])[$!|](?=[^\W\d_])")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _BREAK = re.compile(r"[\W\d_]+")
 
+_PLAIN = {i: " " for i in range(128) if not chr(i).isalpha()} | {k: v for k, v in _FOLD.items() if k < 128}
+
 #: Labelled rows that are used to learn at most; taken by the hash of their id.
 FIT_ROWS = 20_000
-#: Toxic documents in which a lexicon entry must stand, and how many times likelier it must be there.
-LEAST_DOCS, LEAST_RATIO = 5, 12.0
-#: Lexicon entries and learned exceptions at most, the best supported first.
-ENTRIES = 5_000
-#: Phrases in which a lexicon word means no harm.
-EXCEPTIONS = ("trash can", "trash bin", "trash collection", "class clown", "clown fish", "pond scum", "idiot proof", "sore loser")
+#: A document uses a term that makes up this share of its words.
+SHARE = 0.005
+#: Toxic documents that must use a lexicon entry, and how many times likelier its use must be there.
+LEAST_DOCS, LEAST_RATIO = 3, 12.0
+#: Letters of a beginning of a word, at least and at most.
+BEGINNING = 5, 9
+#: Terms that one task counts at once.
+HELD_TERMS = 200_000
+_WIDTH = 5  # features
 
 
 def fold(text: str) -> str:
@@ -49,17 +56,23 @@ def fold(text: str) -> str:
     if not text.isascii():
         text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
     text = text.lower()
-    text = _SIGN.sub(lambda m: "s" if m[0] == "$" else "i", text).translate(_FOLD)
-    return f" {_BREAK.sub(' ', text).strip()} "
+    if "$" in text or "!" in text or "|" in text:
+        text = _SIGN.sub(lambda m: "s" if m[0] == "$" else "i", text)
+    if text.isascii():
+        return f" {' '.join(text.translate(_PLAIN).split())} "
+    return f" {_BREAK.sub(' ', text.translate(_FOLD)).strip()} "
 
 
-def _terms(folded: str) -> set[str]:
-    """The text's distinct words (with both spaces) and beginnings of three to eight letters (with the space before)."""
-    out = set()
-    for w in set(folded.split()):
-        out.add(f" {w} ")
-        out.update(f" {w[:k]}" for k in range(3, min(9, len(w))))
-    return out
+def _used_terms(folded: str) -> list[str]:
+    """Words (with both spaces) and beginnings (with the space before) that make up SHARE of the text's words."""
+    counts = Counter(folded.split())
+    least = SHARE * sum(counts.values())
+    terms: Counter[str] = Counter()
+    for w, n in counts.items():
+        terms[f" {w} "] += n
+        for k in range(BEGINNING[0], min(BEGINNING[1], len(w)) + 1):
+            terms[f" {w[:k]}"] += n
+    return [t for t, n in terms.items() if n >= least]
 
 
 @dataclass
@@ -104,11 +117,26 @@ class Lexicon:
         return found
 
     def features(self, text: str) -> list[float]:
+        """Whether anything matches, the share of words that do, their mean weight, their number, their weight in all."""
         folded = fold(text)
         found = self.matches(folded)
-        words = max(1, folded.count(" ") - 1)
-        total = sum(found.values())
-        return [float(np.log1p(total)), total / words, min(total, 6.0), float(bool(found)), float(np.log(words)) * bool(found)]
+        if not found:
+            return [0.0] * _WIDTH
+        words, hits, total = max(1, folded.count(" ") - 1), len(found), sum(found.values())
+        return [1.0, math.log(max(100 * hits / words, 0.01)), total / hits, math.log1p(hits), min(total, 6.0)]
+
+    def surroundings(self, text: str) -> set[str]:
+        """Each matched word, and it with the word before and the word after."""
+        folded = fold(text)
+        out = set()
+        for at in self.matches(folded):
+            end = folded.index(" ", at + 1)
+            out.add(folded[at : end + 1])
+            if end + 1 < len(folded):
+                out.add(folded[at : folded.index(" ", end + 1) + 1])
+            if at:
+                out.add(folded[folded.rindex(" ", 0, at) : end + 1])
+        return out
 
 
 def _sample(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
@@ -136,48 +164,66 @@ def choose_entries(best: list[tuple[str, int, float]]) -> dict[str, float]:
     terms that account for much of its toxic documents with a larger ratio.
     """
     weights: dict[str, float] = {}
-    covered: dict[str, int] = {}
+    covered: Counter[str] = Counter()
     for term, docs, ratio in best:
-        begins = [term[:k] for k in range(4, len(term))]
-        if any(b in weights for b in begins) or covered.get(term, 0) >= 0.3 * docs:
+        begins = [term[:k] for k in range(1 + BEGINNING[0], len(term))]
+        if any(b in weights for b in begins) or (not term.endswith(" ") and covered[term] >= 0.3 * docs):
             continue
         weights[term] = min(8.0, ratio)
         for b in begins:
-            covered[b] = covered.get(b, 0) + docs
+            covered[b] += docs
     return weights
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Entries that stand in far more toxic than clean documents, over whole texts of the labelled rows.
-
-    Without usable labels the lexicon is empty and every score the base rate.
-    """
-    rows = save(labelled(docs, labels, doc_id, text, label), "labelled")
+def _counted(rows: DataFrame, terms) -> DataFrame:
+    """(term, a, b): toxic and clean documents of ``rows(y, text)`` for each of a document's ``terms``; the empty term counts them all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter(), Counter()
-        for batch in batches:
+
+        def flush():
+            for y, own in enumerate(seen):
+                yield pa.record_batch([pa.array(list(own), pa.string()), pa.array([y] * len(own), pa.int32()), pa.array(list(own.values()), pa.int64())], ["term", "y", "n"])
+                own.clear()
+
+        for batch in lightly(batches):
             for y, t in zip(batch.column(0).to_pylist(), text_column(batch.column(1)).to_pylist()):
-                seen[y].update(_terms(fold(t)))
+                seen[y].update(terms(t))
                 seen[y][""] += 1
-        for y in (0, 1):
-            yield pa.record_batch([pa.array(list(seen[y]), pa.string()), pa.array([y] * len(seen[y]), pa.int32()), pa.array(list(seen[y].values()), pa.int64())], ["term", "y", "n"])
+                if len(seen[0]) + len(seen[1]) > HELD_TERMS:
+                    yield from flush()
+        yield from flush()
+
+    a, b = (F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0)) for y in (1, 0))
+    return rows.mapInArrow(count, "term string, y int, n long").groupBy("term").agg(a.alias("a"), b.alias("b"))
+
+
+def learn_lexicon(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """Entries that far more toxic than clean documents use, over whole texts of the labelled rows.
 
-    counted = rows.mapInArrow(count, "term string, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
-    counted = save(counted, "terms")
+    A term is kept if its likelihood ratio exceeds the number of terms tried, so
+    that chance leaves about one at most. ``exceptions`` are phrases that are
+    spared whatever the labels say. Without usable labels the lexicon is empty and
+    every score the base rate.
+    """
+    rows = save(labelled(docs, labels, doc_id, text, label), "labelled")
+    counted = save(_counted(rows, lambda t: _used_terms(fold(t))), "terms")
     totals = counted.where("term = ''").first()
     toxic, clean = (totals["a"], totals["b"]) if totals else (0, 0)
-    ratio = ((F.col("a") + 0.5) / (toxic + 1)) / ((F.col("b") + 0.5) / (clean + 1))
-    best = counted.where((F.col("term") != "") & (F.col("a") >= LEAST_DOCS) & (ratio >= LEAST_RATIO)).select("term", "a", F.log(ratio).alias("w")).orderBy(F.desc(F.col("a") * F.col("w")), F.length("term"), "term").limit(ENTRIES).collect()
-    weights = choose_entries([(r["term"], int(r["a"]), float(r["w"])) for r in best])
-    spared = {f" {_BREAK.sub(' ', p).strip()} ".replace("l", "i") for p in exceptions}
-    if weights:
-        begins = [w for w in weights if not w.endswith(" ")]
-        harmless = (F.col("a") * (clean + 1.0) <= F.col("b") * (toxic + 1.0)) & (F.col("b") >= 2) & F.col("term").endswith(" ")
-        if begins:
-            some = counted.where(harmless & F.substring("term", 1, 4).isin(sorted({b[:4] for b in begins}))).orderBy(F.desc("b"), "term").limit(ENTRIES).collect()
-            spared |= {r["term"] for r in some if any(r["term"].startswith(b) for b in begins)}
-    found = Lexicon(weights, spared)
+    a, b = F.col("a"), F.col("b")
+    tried = counted.where((F.col("term") != "") & (a >= LEAST_DOCS))
+    share = (toxic + 0.5) / (toxic + clean + 1)
+    surprise = a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0)
+    ratio = ((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (clean + 1))
+    best = tried.where((ratio >= LEAST_RATIO) & (surprise >= math.log(max(2, tried.count())))).select("term", "a", F.log(ratio).alias("w")).collect()  # terms of FIT_ROWS rows
+    best.sort(key=lambda r: (-r["a"] * r["w"], -len(r["term"]), r["term"]))
+    spared = {fold(p) for p in exceptions}
+    found = Lexicon(choose_entries([(r["term"], int(r["a"]), float(r["w"])) for r in best]), spared)
+    if found.weights:
+        first = docs.sparkSession.sparkContext.broadcast(found)
+        around = _counted(rows, lambda t: first.value.surroundings(t))
+        harmless = around.where((F.col("term") != "") & (b >= 2) & (a * (clean + 1.0) <= b * (toxic + 1.0))).collect()  # of FIT_ROWS rows
+        found = Lexicon(found.weights, spared | {r["term"] for r in harmless} - set(found.weights))
     shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +234,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     got = rows.mapInArrow(measure, "x array<double>, y int").toPandas()  # FIT_ROWS rows at most
     for done in (counted, rows):
         forget(done)
-    x = np.stack(got["x"].to_numpy()) if len(got) else np.empty((0, 5))
+    x = np.stack(got["x"].to_numpy()) if len(got) else np.empty((0, _WIDTH))
     found.model = fit_logistic(x, got["y"].to_numpy(np.float64) if len(got) else np.empty(0))
     return found
 
@@ -196,7 +242,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
 def toxicity_scores(docs: DataFrame, lexicon: Lexicon, text: str = "text", score: str = "toxicity") -> DataFrame:
     """``docs`` with a column ``score`` from 0 to 1; null and empty texts get the score of a text without matches.
 
-    A column of that name is replaced; all others are kept as they are.
+    A column of that name is replaced; all others are kept as they are. Texts of any
+    length are read whole; ties, repeated rows and null ids are scored like others;
+    no rows give no rows.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
@@ -206,8 +254,8 @@ def toxicity_scores(docs: DataFrame, lexicon: Lexicon, text: str = "text", score
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        for batch in batches:
-            x = np.array([held.features(t) for t in text_column(batch.column(at)).to_pylist()]).reshape(-1, 5)
+        for batch in lightly(batches):
+            x = np.array([held.features(t) for t in text_column(batch.column(at)).to_pylist()]).reshape(-1, _WIDTH)
             yield pa.record_batch([*batch.columns, pa.array(predict(held.model, x))], [*names, score])
 
     return docs.mapInArrow(measure, docs.withColumn(score, F.lit(0.0)).schema)
