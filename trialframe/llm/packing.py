@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialframe.llm.store import save
+from trialframe.llm.store import save, small, unused
 
-#: Parts into which the rows of one length are dealt for ranking.
-RANK_PARTS = 512
+#: Rows of one length that are ranked in one part, about.
+RANK_ROWS = 100_000
+#: Rows of counts by length and part that may be broadcast.
+BROADCAST_COUNTS = 1 << 18
 
 
 def _pairs(there: np.ndarray, top: int, total: int) -> list[int]:
@@ -117,25 +119,28 @@ def best_fit_packing(pieces: DataFrame, capacity: int = 2048, length: str = "len
     """``pieces`` with ``sequence_id`` and ``offset`` in place of columns of those names.
 
     No sequence exceeds ``capacity`` and offsets leave no gap. ``length`` must be
-    1 to ``capacity``; rows that tie on all of ``order`` may change places. No rows
-    give no rows.
+    1 to ``capacity``, others and nulls are an error. Rows that tie on all of
+    ``order``, such as repeated rows, are packed each for itself and may change
+    places; nulls in other columns do no harm. No rows give no rows.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    counts = {int(r[0]): int(r[1]) for r in pieces.groupBy(length).count().collect()}  # at most ``capacity`` rows
-    wrong = [x for x in counts if not 1 <= x <= capacity]
+    names = pieces.columns
+    counts = {r[0]: int(r[1]) for r in pieces.groupBy(length).count().limit(capacity + 1).collect()}
+    wrong = [x for x in counts if x is None or not 1 <= x <= capacity]
     if wrong:
         raise ValueError(f"lengths outside 1..{capacity}: {wrong[:5]}")
-    slots = pieces.sparkSession.sparkContext.broadcast(_slots(plan_bins(counts, capacity)))
-
-    part = F.pmod(F.xxhash64(*order), F.lit(RANK_PARTS))
-    dealt = pieces.withColumn("_part", part)
-    sizes = dealt.groupBy(length, "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(length).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(length, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy(length, "_part").orderBy(*order)
-    ranked = dealt.withColumn("_rank", F.row_number().over(own)).join(F.broadcast(sizes), [length, "_part"])  # capacity * RANK_PARTS rows at most
-    ranked = ranked.select(*[pieces[c] for c in pieces.columns], (F.col("_rank") - 1 + F.col("_before")).alias("_rank"))
-    names = pieces.columns
+    slots = pieces.sparkSession.sparkContext.broadcast(_slots(plan_bins({int(x): n for x, n in counts.items()}, capacity)))
+
+    # the rows of a length go by their hash to parts of bounded size, each ranked for itself after those before it
+    size, parts, part, n, rank, before = unused(names, "size", "parts", "part", "n", "rank", "before")
+    many = pieces.sparkSession.createDataFrame([(int(x), -(-c // RANK_ROWS)) for x, c in counts.items()], f"{size} long, {parts} long")  # at most ``capacity`` rows
+    dealt = pieces.join(F.broadcast(many), F.col(length).cast("long") == F.col(size)).withColumn(part, F.pmod(F.xxhash64(*order), F.col(parts)))
+    sizes = dealt.groupBy(size, part).agg(F.count("*").alias(n))
+    earlier = Window.partitionBy(size).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = save(sizes.select(size, part, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before)), "sizes")
+    own = Window.partitionBy(size, part).orderBy(*order)
+    ranked = dealt.withColumn(rank, F.row_number().over(own)).join(F.broadcast(sizes) if small(sizes, BROADCAST_COUNTS) else sizes, [size, part])
+    ranked = ranked.select(*names, (F.col(rank) - 1 + F.col(before)).alias(rank))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = slots.value

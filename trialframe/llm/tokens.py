@@ -2,7 +2,8 @@
 
 White space always separates tokens in the vocabularies used here, so a text's
 ids are the ids of its words one after another. Each distinct word of a slice is
-looked up in the worker's table and goes to the tokenizer only when it is new.
+looked up in the worker's table, by its 64-bit hash, and goes to the tokenizer only
+when it is new. The table is a few numpy arrays, some 30 bytes a word.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialframe.llm.store import bounded_batches
-from trialframe.llm.words import slices, text_column
+from trialframe.llm.store import bounded_batches, lightly
+from trialframe.llm.words import hash_words, slices, text_column
 
-#: Words that a worker remembers at most, the latest ones (some 100 MB).
-REMEMBERED = 600_000
+#: Words that a worker remembers at most, the latest used ones.
+REMEMBERED = 1_000_000
+#: New words that go to the tokenizer at once.
+NEW_WORDS = 8_192
 #: Bytes of text whose words are looked up at once; a larger slice repeats fewer words.
-SLICE = 5 << 20
+SLICE = 2 << 20
 #: Marks between which a word's letters may stand; each is a token run of its own.
 _MARKS = ".,;:!?\"()[]{}#$%&*|-/+=<>~^_`@\\"
 #: Letters whose lower case depends on their place or is longer than one letter.
@@ -42,8 +45,10 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {}  # ids as unsigned 32-bit numbers
-        self.before: dict[str, bytes] = {}  # those of the words before
+        self.flat = np.empty(0, np.uint32)  # ids of all words
+        self.keys = np.empty(0, np.uint64)  # sorted hashes; of each, its place and number of ids, and when it was last used
+        self.start, self.size, self.used = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.now = 0
 
     @classmethod
     def of(cls, file: str) -> WordIds:
@@ -51,37 +56,68 @@ class WordIds:
             cls._open[file] = cls(file)
         return cls._open[file]
 
-    def _parts(self, word: str) -> tuple[str, str, str] | None:
-        """Marks before, letters in lower case, marks after; None for any other word."""
+    def _parts(self, word: str) -> tuple[str, ...]:
+        """Marks before, letters in lower case, marks after; any other word is one part."""
         core = word.strip(_MARKS)
         if not core.isalpha() or not _ODD.isdisjoint(core) or any(a in word for a in self.added):
-            return None
+            return (word,)
         at = word.find(core)
-        return word[:at], core.lower(), word[at + len(core) :]
-
-    def look_up(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED // 2:
-            self.known, self.before = {}, self.known  # what is used again moves on
-        known, before = self.known, self.before
-        missing = [w for w in words if w not in known]
-        fresh = []
-        for w in missing:
-            ids = before.get(w)
-            if ids is None:
-                fresh.append(w)
-            else:
-                known[w] = ids
-        if fresh:
-            parts = [self._parts(w) for w in fresh]
-            ask = list({x for w, p in zip(fresh, parts) for x in ((w,) if p is None else filter(None, p)) if x not in known})
-            for at in range(0, len(ask), 4096):  # encodings are far larger than their ids
-                some = ask[at : at + 4096]
-                for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    known[x] = array("I", e.ids).tobytes()
-            for w, p in zip(fresh, parts):
-                if p is not None:
-                    known[w] = b"".join([known[x] for x in p if x])
-        return [known[w] for w in words]
+        return tuple(x for x in (word[:at], core.lower(), word[at + len(core) :]) if x)
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the table, whether it is there) of each hash."""
+        if not len(self.keys):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return at, self.keys[at] == h
+
+    def _add(self, h: np.ndarray, ids: list[bytes]) -> None:
+        h, first = np.unique(h, return_index=True)
+        ids = [ids[i] for i in first.tolist()]
+        size = np.fromiter((len(x) >> 2 for x in ids), np.int32, len(ids))
+        start = (len(self.flat) + np.cumsum(size) - size).astype(np.int32)
+        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(ids), np.uint32)))
+        at = np.searchsorted(self.keys, h)
+        self.keys, self.start, self.size = np.insert(self.keys, at, h), np.insert(self.start, at, start), np.insert(self.size, at, size)
+        self.used = np.insert(self.used, at, self.now)
+
+    def _learn(self, words: list[str], h: np.ndarray) -> None:
+        parts = [self._parts(w) for w in words]
+        pieces = list({x for p in parts for x in p})
+        hashes = hash_words(pa.array(pieces, pa.large_string()))
+        at, there = self._find(hashes)
+        ids: dict[str, bytes] = {pieces[i]: self.flat[self.start[k] : self.start[k] + self.size[k]].tobytes() for i, k in zip(np.flatnonzero(there).tolist(), at[there].tolist())}
+        ask = np.flatnonzero(~there)
+        some = [pieces[i] for i in ask.tolist()]
+        for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+            ids[x] = array("I", e.ids).tobytes()
+        new = np.concatenate((hashes[ask], h))
+        made = [ids[pieces[i]] for i in ask.tolist()] + [b"".join([ids[x] for x in p]) for p in parts]
+        self._add(new, made)
+
+    def _forget(self) -> None:
+        """Leaves the half of the table that was used last."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: REMEMBERED // 2])
+        self.keys, self.size, self.used, start = self.keys[keep], self.size[keep], self.used[keep], self.start[keep]
+        end = np.cumsum(self.size, dtype=np.int64)
+        place = np.repeat(start - (end - self.size), self.size) + np.arange(int(end[-1]) if len(end) else 0)
+        self.flat, self.start = self.flat[place], (end - self.size).astype(np.int32)
+
+    def look_up(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``flat``, number of ids) of each of the distinct ``words``."""
+        self.now += 1
+        if len(self.keys) > REMEMBERED:
+            self._forget()
+        h = hash_words(words)
+        at, there = self._find(h)
+        if not there.all():
+            new = np.flatnonzero(~there)
+            for begin in range(0, len(new), NEW_WORDS):  # strings and encodings are far larger than ids
+                some = new[begin : begin + NEW_WORDS]
+                self._learn(words.take(pa.array(some)).to_pylist(), h[some])
+            at, _ = self._find(h)
+        self.used[at] = self.now
+        return self.start[at], self.size[at]
 
     def encode(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each text's offsets among them)."""
@@ -89,16 +125,13 @@ class WordIds:
         coded = lists.flatten().dictionary_encode()
         at = np.asarray(lists.offsets).astype(np.int64)
         at -= at[0]
-        per_word = self.look_up(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, per_word), np.int64, len(per_word)) >> 2
-        flat = np.frombuffer(b"".join(per_word), np.uint32)
-        begin = (np.cumsum(size) - size).astype(np.int32)
+        begin, size = self.look_up(coded.dictionary)
         which = np.asarray(coded.indices)
         n = size[which]
         ends = np.concatenate(([0], np.cumsum(n)))
         place = np.repeat(begin[which] - ends[:-1].astype(np.int32), n)
         place += np.arange(len(place), dtype=np.int32)
-        ids = flat[place] if len(which) else np.empty(0, np.uint32)
+        ids = self.flat[place] if len(which) else np.empty(0, np.uint32)
         return ids, ends[at]
 
 
@@ -126,7 +159,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", t
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds.of(tokenizer_file)
-        for batch in _joined(batches):
+        for batch in lightly(_joined(batches), WordIds):
             texts, keys = text_column(batch.column(1)), batch.column(0).to_pylist()
             for at, to in slices(texts, SLICE):
                 ids, ends = words.encode(texts.slice(at, to - at))
