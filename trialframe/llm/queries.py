@@ -46,8 +46,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "evidence", "host_posterior", "path_posterior", "quality_score", (F.col("quality_score") >= GOOD).alias("keep"))
+    scored = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=("doc_id",))
+    return scored.select("*", (F.col("quality_score") >= GOOD).alias("keep"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
