@@ -1,10 +1,11 @@
 """WARC archives: one gzip member per record, written in parallel and read back sequentially.
 
 An archive is a table of numbered byte chunks, so that writing and reading need
-nothing but Spark's own readers and writers, on any store. A reader gets an
-archive's chunks in order and holds one record at a time: it feeds zlib as bytes
-come, starts anew at each member's end, frames records by their content length
-and verifies their digests.
+nothing but Spark's own readers and writers, on any store. A task writes as many
+archives of bounded size as its pages need. A reader gets an archive's chunks in
+order and holds one record at a time: it feeds zlib as bytes come, starts anew at
+each member's end, frames records by their content length and verifies their
+digests.
 """
 
 from __future__ import annotations
@@ -22,8 +23,12 @@ from trialframe.llm.store import bounded_batches, save, small
 
 #: Bytes in one chunk of an archive; records run over chunk ends.
 CHUNK = 1 << 20
-#: Duplicate payloads whose digests may be broadcast.
-BROADCAST_DIGESTS = 200_000
+#: Bytes of an archive after which the next record begins another.
+ARCHIVE = 64 << 20
+#: Bytes that zlib is fed with at once; no more is copied when a member ends.
+FED = 1 << 14
+#: Duplicate payloads whose digests may be broadcast, and rows of a payload that make its digest be broadcast whatever their number.
+BROADCAST_DIGESTS, HOT_ROWS = 1 << 18, 100_000
 _DATE = "2000-01-01T00:00:00Z"
 
 
@@ -58,15 +63,18 @@ def members(chunks: Iterable[bytes]) -> Iterator[bytes]:
     """The gzip members of a byte stream, each decompressed as its bytes come; a stream cut short is an error."""
     unpack, parts, begun = zlib.decompressobj(31), [], False
     for chunk in chunks:
-        while chunk:
+        view, at = memoryview(chunk), 0
+        while at < len(view):
             begun = True
-            parts.append(unpack.decompress(chunk))
-            chunk = unpack.unused_data
+            fed = view[at : at + FED]
+            at += len(fed)
+            while len(fed):
+                parts.append(unpack.decompress(fed, CHUNK))
+                fed = unpack.unconsumed_tail
             if unpack.eof:
+                at -= len(unpack.unused_data)
                 yield b"".join(parts)
                 unpack, parts, begun = zlib.decompressobj(31), [], False
-            else:
-                chunk = b""
     if begun:
         raise ValueError("the archive ends inside a member")
 
@@ -91,26 +99,34 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 
 def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
-    """(archive, chunk, data): an archive for each partition of ``pages``, saved in the shared folder.
+    """(archive, chunk, data): archives of some ``ARCHIVE`` bytes, saved in the shared folder.
 
     Of records with equal payloads of at least ``least_bytes``, those with the
     largest page id are responses and the others revisit them. A null html is an
     empty payload; a null page id is smaller than all others; rows that repeat the
-    largest id are all responses.
+    largest id are all responses. No rows give no archive; other columns take no
+    part.
     """
     bounded_batches(pages.sparkSession)
     base = pages.select(F.col(page_id).cast("long").alias("p"), F.col(url).cast("string").alias("u"), F.encode(F.coalesce(html, F.lit("")), "utf-8").alias("b"))
-    known = base.select("p", F.sha1("b").alias("d"), F.octet_length("b").alias("l")).where(F.col("l") >= least_bytes)
-    twice = known.groupBy("d").agg(F.max("p").alias("m"), F.count("*").alias("n")).where("n > 1 and m is not null").select("d", "m")
+    digest = F.unhex(F.sha1("b"))
+    known = base.select("p", digest.alias("d"), F.octet_length("b").alias("l")).where(F.col("l") >= least_bytes)
+    twice = known.groupBy("d").agg(F.max("p").alias("m"), F.count("*").alias("n")).where("n > 1 and m is not null")
     twice = save(twice, "digests")
+    rows = base.withColumn("d", digest)
     if small(twice, BROADCAST_DIGESTS):
-        twice = F.broadcast(twice)
-    rows = base.withColumn("_d", F.sha1("b")).join(twice, F.col("_d") == F.col("d"), "left").select("p", "u", "b", "m")
+        rows = rows.join(F.broadcast(twice), "d", "left")
+    else:  # many payloads repeat: those of many rows are still broadcast (their number is bounded), so no task gets all rows of one
+        hot = twice.where(F.col("n") >= HOT_ROWS).select("d", F.col("m").alias("hot"))
+        rows = rows.join(F.broadcast(hot), "d", "left")
+        light = twice.where(F.col("n") < HOT_ROWS).select("d", "m")
+        rows = rows.where("hot is null").join(light, "d", "left").drop("hot").unionByName(rows.where("hot is not null").withColumnRenamed("hot", "m"))
+    rows = rows.select("p", "u", "b", "m")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        archive, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        archive, number, written, held, size = TaskContext.get().partitionId() << 32, 0, 0, [], 0
 
         def flush(whole: bytes):
             nonlocal number
@@ -124,12 +140,18 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
                 one = record(p, u.as_py(), b.as_py(), m, m is not None and p != m)
                 held.append(one)
                 size += len(one)
-                if size >= CHUNK:
-                    whole = b"".join(held)
-                    while len(whole) >= CHUNK:
-                        yield flush(whole[:CHUNK])
-                        whole = whole[CHUNK:]
-                    held, size = [whole], len(whole)
+                written += len(one)
+                if size >= CHUNK or written >= ARCHIVE:
+                    whole, at = b"".join(held), 0
+                    while at + CHUNK <= len(whole):
+                        yield flush(whole[at : at + CHUNK])
+                        at += CHUNK
+                    held = [whole[at:]]
+                    size = len(held[0])
+                if written >= ARCHIVE:
+                    if size:
+                        yield flush(held[0])
+                    archive, number, written, held, size = archive + 1, 0, 0, [], 0
         if size:
             yield flush(b"".join(held))
 
@@ -140,7 +162,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload) of all records.
 
     ``payload_bytes`` and ``payload_digest`` are those of the full payload, also
-    where a revisit leaves it out (its ``payload`` is then null).
+    where a revisit leaves it out (its ``payload`` is then null). A missing chunk, a
+    member cut short, a wrong length or a wrong digest is an error.
     """
     bounded_batches(archives.sparkSession)
 
