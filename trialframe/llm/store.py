@@ -34,8 +34,8 @@ def bounded_batches(spark: SparkSession) -> None:
 
     Set for the session, as plans are made when results are asked for.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
