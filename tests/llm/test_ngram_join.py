@@ -67,12 +67,41 @@ def test_against_brute_force(spark, width, percent):
 
 def test_large_buckets_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(nj, "SMALL_BUCKET", 3)
-    monkeypatch.setattr(nj, "BLOCK_SHINGLES", 200)
+    monkeypatch.setattr(nj, "BLOCK_COST", 900)
     rows = made(11, 120)
     want = sorted((i, c, n) for (i, _), (c, n) in zip(rows, brute(rows, 3, 90)))
     assert sorted(run(spark, rows, width=3, percent=90)) == want
 
 
+@pytest.mark.parametrize("n,cost", [(5_000, 1 << 19), (900, 30_000)])
+def test_thousands_of_short_near_copies(spark, monkeypatch, n, cost):
+    monkeypatch.setattr(nj, "BLOCK_COST", cost)
+    r = random.Random(2)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(n):  # every one has two words of its own
+        w = list(common)
+        for at in r.sample(range(60), 2):
+            w[at] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(9_000 + i, " ".join([*common[:30], *(f"far{i}x{k}" for k in range(30))])) for i in range(50)]  # half the same
+    got = run(spark, rows, width=5, percent=70)
+    s = sets_of([t for _, t in rows], 5)
+    first = [i for i in range(1, n) if 100 * len(s[0] & s[i]) >= 70 * len(s[0] | s[i])]
+    component = {i: c for i, c, _ in got}
+    assert len(first) > n / 50 and all(component[i] == 0 for i in first)
+    assert all(component[9_000 + i] == 9_000 + i for i in range(50))
+    for i in r.sample(range(n), 30):  # alone only where no text is near
+        near = [j for j in range(n) if j != i and 100 * len(s[i] & s[j]) >= 70 * len(s[i] | s[j])]
+        assert all(component[j] == component[i] for j in near)
+
+
+def test_one_id_with_several_texts(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(2, text("a")), (2, text("b")), (1, text("a")), (3, text("b").replace("b7", "q")), (4, text("c"))]
+    assert sorted((i, c) for i, c, _ in run(spark, rows, width=3, percent=80)) == [(1, 1), (2, 1), (2, 2), (3, 2), (4, 4)]
+
+
 def test_repeated_rows_and_empty_table(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "q r s t u v")]
     assert sorted(run(spark, rows)) == [(1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 3, 2)]

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from trialframe.llm import tokens
+from trialframe.llm import packing, tokens
 from trialframe.llm.packing import best_fit_packing, pack_documents, plan_bins
 from trialframe.llm.queries import tokenizer_file
 
@@ -57,12 +57,14 @@ def test_ids_equal_the_tokenizer(spark):
 
 
 def test_table_of_words_may_start_anew(monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
     w = tokens.WordIds(tokenizer_file())
-    texts = pa.array(["one two three four five", "five, four! three two one"], pa.large_string())
-    a, _ = w.encode(texts)
-    b, _ = w.encode(texts)
-    assert a.tolist() == b.tolist()
+    r = random.Random(1)
+    vocabulary = ["one", "two", "Three", "four!", "(five)", "six-seven", "8nine", "été", "x" * 50, "..."]
+    for _ in range(60):
+        texts = [" ".join(r.choices(vocabulary, k=r.randint(0, 6))) for _ in range(3)]
+        ids, ends = w.encode(pa.array(texts, pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [w.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_pack_documents(spark):
@@ -84,11 +86,47 @@ def test_pack_documents(spark):
     assert len({p["doc_id"] for p in out}) == len(texts) + 1
 
 
-def test_packing_edges(spark):
+def test_packing_edges(spark, monkeypatch):
     schema = "doc_id long, piece int, length long, ids_crc32 long, offset string"
     assert best_fit_packing(spark.createDataFrame([], schema), 10).count() == 0
     same = spark.createDataFrame([(1, 0, 4, 9, "z")] * 5, schema)
     out = best_fit_packing(same, 10).collect()
     assert len(out) == 5 and len({(r["sequence_id"], r["offset"]) for r in out}) == 5 and len({r["sequence_id"] for r in out}) == 3
+    for parts in (1, 2, 3):
+        monkeypatch.setattr(packing, "RANK_ROWS", parts)
+        r = random.Random(parts)
+        rows = [(i if i % 7 else None, 0, r.choice((1, 2, 3, 7, 10)), 9, "z", i, 1, "p") for i in range(200)]
+        out = best_fit_packing(spark.createDataFrame(rows, f"{schema}, rank int, size int, before string"), 10).collect()
+        assert sorted(x["rank"] for x in out) == list(range(200)) and len({(x["sequence_id"], x["offset"]) for x in out}) == 200
+        filled = defaultdict(list)
+        for x in out:
+            filled[x["sequence_id"]].append((x["offset"], x["length"]))
+        for own in filled.values():
+            at = 0
+            for offset, n in sorted(own):
+                assert offset == at
+                at += n
+            assert at <= 10
+    with pytest.raises(ValueError):
+        best_fit_packing(spark.createDataFrame([(1, 0, None, 9, "z")], schema), 10)
     with pytest.raises(ValueError):
         best_fit_packing(spark.createDataFrame([(1, 0, 11, 9, "z")], schema), 10)
+
+
+def test_packing_query_against_the_tokenizer_and_the_bound(spark):
+    from tokenizers import Tokenizer
+
+    from trialframe.llm.queries import op3_best_fit_packing
+
+    sf = "/root/testdata/sf0.001"
+    t = Tokenizer.from_file(tokenizer_file())
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
+        for k in range(0, len(ids), 2048):
+            want[r["doc_id"], k // 2048] = (k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes()))
+    got = op3_best_fit_packing(spark, sf).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
+    # no packing has fewer sequences than the tokens fill, or than there are pieces over half a sequence
+    bound = max(-(-sum(n for _, n, _ in want.values()) // 2048), sum(n > 1024 for _, n, _ in want.values()))
+    assert len({r["sequence_id"] for r in got}) <= bound + 1

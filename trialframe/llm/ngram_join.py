@@ -9,14 +9,15 @@ within their prefixes. The steps:
 2. A second pass gives each document its size, fingerprint and prefix.
    Documents of equal sets become one class; classes of equal size and prefix
    become one group.
-3. Groups meet in the buckets of their prefix shingles and are filtered by size
-   and by position. Small buckets give group pairs; a large bucket is cut into
-   blocks and dealt out as pairs of blocks, so that no task holds a bucket and
-   no row is made for each pair of its members.
-4. Group pairs are expanded to member pairs, thinned by parity sketches (their
-   differing bits are a lower bound of the symmetric difference, so nothing that
-   reaches the threshold is lost) and verified exactly on the whole sets.
-   Members of one group are verified as a bucket of their own.
+3. Groups meet in the buckets of their prefix shingles; pairs of groups are
+   filtered by size and by position, then expanded to pairs of members. Buckets
+   of few members do so in a join. A bucket of many is cut into blocks and dealt
+   out as pairs of blocks, each of which filters its groups and expands them
+   alike, so that no task holds a bucket and no row is made for each pair.
+4. Member pairs are thinned by parity sketches (their differing bits are a lower
+   bound of the symmetric difference, so nothing that reaches the threshold is
+   lost) and verified exactly on the whole sets. Members of one group are
+   verified as a bucket of their own.
 5. Links become connected components.
 
 Whatever the order, the result is exact: it moves only the work.
@@ -32,17 +33,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.llm.components import components
-from trialframe.llm.store import bounded_batches, forget, save, small
+from trialframe.llm.store import bounded_batches, forget, lightly, save, small
 from trialframe.llm.words import mix, shingle_sets, slices, text_column
 
-#: At most so many shingles get a counted rank (16 bytes each where they are broadcast).
-HEAVY = 1 << 22
+#: At most so many shingles get a counted rank (9 bytes each where they are broadcast).
+HEAVY = 1 << 20
 #: Shingles that one task counts at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: A bucket of more members is dealt out in pairs of blocks.
 SMALL_BUCKET = 48
-#: Shingles in one block of a large bucket.
-BLOCK_SHINGLES = 1 << 17
+#: What a block of a large bucket may cost: a member costs its shingles and EACH, so a block has 2,700 members at most and sets of 4 MB.
+#: Every block is sent once for each block that it meets: smaller ones spread better, larger ones are sent less often.
+BLOCK_COST, EACH = 1 << 19, 192
 #: Rows of ids, sizes and fingerprints that may be broadcast (some 30 MB as a hash table).
 BROADCAST_IDS = 1 << 18
 _FP2 = np.uint64(0xA0761D6478BD642F)
@@ -53,7 +55,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def heavy_shingles(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the frequent shingles of all documents.
+    """Sorted hashes and ranks (four times the binary logarithm of their counts) of the frequent shingles of all documents.
 
     A task reports the shingles that make up a ``HEAVY``-th of those it has
     counted. Whatever makes up two ``HEAVY``-ths of the whole is reported and
@@ -69,7 +71,7 @@ def heavy_shingles(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray,
             yield pa.record_batch([pa.array(h[often].view(np.int64)), pa.array(c[often].astype(np.int64))], ["h", "c"])
             yield pa.record_batch([pa.array([None], pa.int64()), pa.array([size], pa.int64())], ["h", "c"])
 
-        for batch in batches:
+        for batch in lightly(batches):
             for one in shingle_sets(text_column(batch.column(0)), width):
                 held.append(one)
                 size += len(one)
@@ -84,7 +86,7 @@ def heavy_shingles(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray,
     forget(counted)
     h, c = kept["h"].to_numpy(np.int64).view(np.uint64), kept["c"].to_numpy(np.int64)
     order = np.argsort(h)
-    return h[order], c[order]
+    return h[order], np.rint(4 * np.log2(c[order])).astype(np.uint8)
 
 
 def _fingerprint(one: np.ndarray) -> tuple[int, int]:
@@ -97,8 +99,8 @@ def _prefixes(docs: DataFrame, doc_id: str, text: str, width: int, percent: int)
     frequent = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, text, width))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, counts = frequent.value
-        for batch in batches:
+        heavy, ranks = frequent.value
+        for batch in lightly(batches):
             texts, ids = text_column(batch.column(1)), batch.column(0)
             for at, to in slices(texts):
                 n, f1, f2, p, prefix, k = [], [], [], [], [], []
@@ -107,10 +109,10 @@ def _prefixes(docs: DataFrame, doc_id: str, text: str, width: int, percent: int)
                     if not len(one):
                         f1.append(0), f2.append(0), p.append(0), prefix.append(one.view(np.int64)), k.append(b"")
                         continue
-                    rank = np.zeros(len(one), np.int64)
+                    rank = np.zeros(len(one), np.uint8)
                     if len(heavy):
                         at_ = np.minimum(np.searchsorted(heavy, one), len(heavy) - 1)
-                        rank = np.where(heavy[at_] == one, counts[at_], 0)
+                        rank = np.where(heavy[at_] == one, ranks[at_], 0)
                     first = one[np.lexsort((one, rank))[: prefix_length(len(one), percent)]]
                     a, b = _fingerprint(one)
                     f1.append(a), f2.append(b), p.append(_fingerprint(first)[0]), prefix.append(first.view(np.int64)), k.append(sketch(one).tobytes())
@@ -154,10 +156,10 @@ def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _sets(docs: DataFrame, needed: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(id, s): sets of the class representatives in ``needed(id, f1)``; a repeated row gives a repeated set."""
+    """(id, s): sets of the classes in ``needed(class, id, f1)``, ``id`` being a document's; a repeated row gives a repeated set."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lightly(batches):
             texts, ids, want = text_column(batch.column(1)), batch.column(0), batch.column(2).to_pylist()
             for at, to in slices(texts, 1 << 20):
                 keep, s = [], []
@@ -169,7 +171,7 @@ def _sets(docs: DataFrame, needed: DataFrame, doc_id: str, text: str, width: int
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     if small(needed, BROADCAST_IDS):
         needed = F.broadcast(needed)
-    return rows.join(needed, "id").select("id", "text", "f1").mapInArrow(of, "id long, s binary")
+    return rows.join(needed, "id").select("class", "text", "f1").mapInArrow(of, "id long, s binary")
 
 
 def _thin_pairs(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
@@ -202,84 +204,106 @@ def _verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _deal_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """(bucket, x, y, block, id, n): the ``members(bucket, id, n)`` of each pair of blocks whose sizes allow a link."""
-    order = Window.partitionBy("bucket").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = members.withColumn("block", F.floor((F.sum("n").over(order) - F.col("n")) / BLOCK_SHINGLES))
-    span = blocks.groupBy("bucket", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    one, two = span.alias("one"), span.alias("two")
-    paired = one.join(two, (F.col("one.bucket") == F.col("two.bucket")) & (F.col("one.block") <= F.col("two.block")) & (F.col("one.most") * 100 >= F.col("two.least") * percent))
-    paired = paired.select(F.col("one.bucket").alias("bucket"), F.col("one.block").alias("x"), F.col("two.block").alias("y"))
-    dealt = paired.select("bucket", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    return blocks.join(dealt, ["bucket", "block"]).select("bucket", "x", "y", "block", "id", "n")
-
-
-def _partners(n: np.ndarray, marks: list[np.ndarray], left: int, apart: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each of the ``left`` first members, the later ones (of the other block, if ``apart``) that sizes and sketches leave possible, the likest first."""
-    narrow = min(map(len, marks))
-    folded = np.stack([_fold(m, narrow) for m in marks])
-    for i in range(left):
-        after = np.arange(left if apart else i + 1, len(n))
-        after = after[np.minimum(n[after], n[i]) * 100 >= np.maximum(n[after], n[i]) * percent]
-        if not len(after):
-            continue
-        differ = np.bitwise_count(folded[after] ^ folded[i]).sum(axis=1, dtype=np.int64)
-        possible = differ * (100 + percent) <= (n[after] + n[i]) * (100 - percent)
-        after = after[possible][np.argsort(differ[possible], kind="stable")]
-        if narrow < len(marks[i]):
-            after = np.array([j for j in after.tolist() if may_reach(marks[i], marks[j], int(n[i]), int(n[j]), percent)], np.int64)
-        if len(after):
-            yield i, after
-
-
-def _in_order(key, table: pa.Table, value: str):
-    """(ids, n, values, size of the first block, whether there are two) of a pair of blocks."""
-    block, ids, n = table["block"].to_numpy(), table["id"].to_numpy(), table["n"].to_numpy()
-    order = np.lexsort((ids, n, block))
-    values = [table[value][int(i)].as_buffer() for i in order]
-    apart = key[1].as_py() != key[2].as_py()
-    return ids[order], n[order], values, int((block == key[1].as_py()).sum()) if apart else len(ids), apart
+    """``members(t, own, g, n, pos, id)`` with (x, y, block): each of a bucket's pairs of blocks whose sizes allow a link.
+
+    Blocks are laid out on the members' counts by (bucket, size); a size of many
+    members is spread over several blocks by the hash of their id.
+    """
+    cost = F.col("m") * (F.col("n") + EACH)
+    up = F.sum(cost).over(Window.partitionBy("t", "own").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    laid = members.groupBy("t", "own", "n").agg(F.count("*").alias("m"))
+    laid = laid.select("t", "own", "n", F.floor((up - cost) / BLOCK_COST).alias("first"), F.floor((up - 1) / BLOCK_COST).alias("last"))
+    laid = save(laid, "layout")
+    blocks = members.join(F.broadcast(laid) if small(laid, BROADCAST_IDS) else laid, ["t", "own", "n"])
+    blocks = blocks.withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("last") - F.col("first") + 1)).drop("first", "last")
+    span = laid.select("t", "own", "n", F.explode(F.sequence("first", "last")).alias("block")).groupBy("t", "own", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    one, two = (span.select("t", "own", F.col("block").alias(b), F.col("least").alias(f"least_{b}"), F.col("most").alias(f"most_{b}")) for b in "xy")
+    paired = one.join(two, ["t", "own"]).where((F.col("x") <= F.col("y")) & (F.col("most_x") * 100 >= F.col("least_y") * percent))
+    dealt = paired.select("t", "own", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    return blocks.join(dealt, ["t", "own", "block"])
+
+
+class _Pair:
+    """A pair of blocks (or one block twice), sorted by block, size, group and id."""
+
+    def __init__(self, key: tuple[pa.Scalar, ...], table: pa.Table, value: str, percent: int):
+        self.own, self.apart, self.percent = key[1].as_py(), key[2].as_py() != key[3].as_py(), percent
+        columns = {c: table[c].to_numpy() for c in ("block", "n", "g", "id")}
+        order = np.lexsort((columns["id"], columns["g"], columns["n"], columns["block"]))
+        self.rows = table.drop_columns(["block", "x", "y", value]).take(pa.array(order))
+        self.n, self.group, self.ids = (columns[c][order] for c in ("n", "g", "id"))
+        self.pos = table["pos"].to_numpy()[order]
+        self.values = [table[value][int(i)].as_buffer() for i in order]
+        self.left = int((columns["block"] == key[2].as_py()).sum()) if self.apart else len(order)
+
+    def partners(self, marks: list[np.ndarray], label: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """Members of the first block, each with the later ones that size, position and sketches leave possible, the likest first.
+
+        Groups are filtered once for all their members. Members of equal ``label``
+        (which may change meanwhile) are left out.
+        """
+        n, percent = self.n, self.percent
+        narrow = min(map(len, marks))
+        folded = np.stack([_fold(m, narrow) for m in marks])
+        runs = np.flatnonzero(np.diff(self.group[: self.left], prepend=self.group[0] - 1)) if self.left else []
+        for at, to in zip(runs, [*runs[1:], self.left]):
+            group = np.arange(self.left if self.apart else at if self.own else to, len(n))
+            a, b = n[at], n[group]
+            rest = np.minimum(a - self.pos[at], b - self.pos[group]) + np.minimum(self.pos[at], self.pos[group])
+            fits = (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (rest * (100 + percent) >= (a + b) * percent)
+            group = group[fits if self.own else fits & (self.group[group] != self.group[at])]
+            for i in range(at, to if len(group) else at):
+                after = group if self.apart else group[group > i]
+                if label is not None:
+                    after = after[label[after] != label[i]]
+                if not len(after):
+                    continue
+                differ = np.bitwise_count(folded[after] ^ folded[i]).sum(axis=1, dtype=np.int64)
+                possible = differ * (100 + percent) <= (n[after] + n[i]) * (100 - percent)
+                after = after[possible][np.argsort(differ[possible], kind="stable")]
+                if narrow < len(marks[i]):
+                    after = np.array([j for j in after.tolist() if may_reach(marks[i], marks[j], int(n[i]), int(n[j]), percent)], np.int64)
+                if len(after):
+                    yield i, after
 
 
 def _thin_blocks(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """The ``members`` to whom the sketches leave a partner in their bucket; a row for each at most, not for each pair."""
+    """The ``members`` to whom size, position and sketches leave a partner in their bucket; a row for each at most, not for each pair."""
 
     def thin(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids, n, k, left, apart = _in_order(key, table, "k")
-        kept = np.zeros(len(ids), bool)
-        for i, after in _partners(n, [np.frombuffer(x, np.uint8) for x in k], left, apart, percent):
+        pair = _Pair(key, table, "k", percent)
+        kept = np.zeros(len(pair.ids), bool)
+        for i, after in pair.partners([np.frombuffer(x, np.uint8) for x in pair.values]):
             kept[i] = True
             kept[after] = True
-        return pa.table({"bucket": pa.array([key[0].as_py()] * int(kept.sum()), table.schema.field("bucket").type), "id": ids[kept], "n": n[kept]})
+            if kept.all():
+                break
+        return pair.rows.filter(pa.array(kept)).select(names)
 
-    rows = _deal_blocks(members, percent).join(marks.select("id", "k"), "id").select("bucket", "x", "y", "block", "id", "n", "k")
-    return rows.groupBy("bucket", "x", "y").applyInArrow(thin, members.schema).distinct()
+    names = ["t", "own", "g", "n", "pos", "id"]
+    rows = _deal_blocks(members, percent).join(marks.select("id", "k"), "id").select(*names, "block", "x", "y", "k")
+    return rows.groupBy("t", "own", "x", "y").applyInArrow(thin, members.select(*names).schema).distinct()
 
 
 def _verify_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the ``members(bucket, id, n)`` of large buckets, a spanning forest for each pair of blocks."""
+    """Links among the ``members`` of large buckets, a spanning forest for each pair of blocks."""
 
     def verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids, n, s, left, apart = _in_order(key, table, "s")
-        held = [np.frombuffer(x, np.uint64) for x in s]
-        root = list(range(len(ids)))
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
+        pair = _Pair(key, table, "s", percent)
+        held = [np.frombuffer(x, np.uint64) for x in pair.values]
+        label = np.arange(len(held))
         u, w = [], []
-        for i, after in _partners(n, [sketch(one) for one in held], left, apart, percent):
+        for i, after in pair.partners([sketch(one) for one in held], label):
             for j in after.tolist():
-                a, b = find(i), find(j)
-                if a != b and reaches(held[i], held[j], percent):
-                    root[max(a, b)] = min(a, b)
-                    u.append(int(ids[i])), w.append(int(ids[j]))
+                if label[j] != label[i] and reaches(held[i], held[j], percent):
+                    label[label == label[j]] = label[i]
+                    u.append(int(pair.ids[i])), w.append(int(pair.ids[j]))
+            if (label == label[0]).all():
+                break
         return pa.table({"u": pa.array(u, pa.int64()), "w": pa.array(w, pa.int64())})
 
-    rows = _deal_blocks(members, percent).join(sets, "id").select("bucket", "x", "y", "block", "id", "n", "s")
-    return rows.groupBy("bucket", "x", "y").applyInArrow(verify, "u long, w long")
+    rows = _deal_blocks(members, percent).join(sets, "id").select("t", "own", "g", "n", "pos", "id", "block", "x", "y", "s")
+    return rows.groupBy("t", "own", "x", "y").applyInArrow(verify, "u long, w long")
 
 
 def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -301,28 +325,34 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     bounded_batches(docs.sparkSession)
     table = save(_prefixes(docs, doc_id, text, width, percent), "prefixes")
     full = table.where("id is not null and n > 0")
-    classes = save(full.groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.first("p").alias("p")), "classes")
+    repeats = table.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count() > 0
+    classes = full.groupBy("n", "f1", "f2").agg(F.min("id").alias("doc"), F.first("p").alias("p"))
+    # a class is known by its document; only where ids repeat, and so may stand for several sets, by a hash
+    classes = save(classes.withColumn("id", F.xxhash64("doc", "n", "f1", "f2") if repeats else F.col("doc")), "classes")
     groups = classes.groupBy("n", "p").agg(F.min("id").alias("g"), F.count("*").alias("members"))
     member = classes.join(groups, ["n", "p"]).select("g", "id", "n", "members")
-    repeats = table.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count() > 0
-    if repeats:
-        full = full.dropDuplicates(["id", "n", "f1"])
     few_classes = small(classes, BROADCAST_IDS)
 
-    def only(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-        return rows.join(F.broadcast(keys) if few_classes else keys, on, "left_semi")
+    def bounded(rows: DataFrame, few: bool) -> DataFrame:
+        return F.broadcast(rows) if few else rows
 
-    marks = only(full, classes.select("id", "n", "f1"), ["id", "n", "f1"]).select("id", "n", "k")
+    own_row = classes.select(F.col("id").alias("class"), F.col("doc").alias("id"), "n", "f1", "f2")
+    reps = full.join(bounded(own_row, few_classes), ["id", "n", "f1", "f2"]).select(F.col("class").alias("id"), "n", "p", "prefix", "k")
+    reps = reps.dropDuplicates(["id"]) if repeats else reps
+    marks = reps.select("id", "n", "k")
 
-    # group rows by prefix shingle, with the bucket's size
-    listed = only(full, groups.select(F.col("g").alias("id"), "n", "p"), ["id", "n", "p"]).select(F.col("id").alias("g"), "n", F.posexplode("prefix").alias("pos", "t"))
-    bucket = save(listed.withColumn("size", F.count("*").over(Window.partitionBy("t"))).where("size > 1"), "buckets")
+    # group rows by prefix shingle, with the bucket's number of members; counted first, so that no task needs a whole bucket
+    listed = reps.join(bounded(groups.withColumnRenamed("g", "id"), few_classes), ["id", "n", "p"])
+    listed = listed.select(F.col("id").alias("g"), "n", "members", F.posexplode("prefix").alias("pos", "t"))
+    counts = save(listed.groupBy("t").agg(F.count("*").alias("groups"), F.sum("members").alias("size")).where("groups > 1").select("t", "size"), "counts")
+    bucket = save(listed.join(counts, "t"), "buckets")
+    forget(counts)
     few = bucket.where(F.col("size") <= SMALL_BUCKET)
     one, two = few.alias("one"), few.alias("two")
     up = F.least("one.n", "two.n") * 100 >= F.greatest("one.n", "two.n") * percent
-    overlap = F.ceil((F.col("one.n") + F.col("two.n")) * percent / (100 + percent) - 1e-6)
-    rest = F.least(F.col("one.n") - F.col("one.pos"), F.col("two.n") - F.col("two.pos"))
-    found = one.join(two, (F.col("one.t") == F.col("two.t")) & (F.col("one.g") < F.col("two.g")) & up & (rest + F.least("one.pos", "two.pos") >= overlap))
+    rest = F.least(F.col("one.n") - F.col("one.pos"), F.col("two.n") - F.col("two.pos")) + F.least("one.pos", "two.pos")
+    near = rest * (100 + percent) >= (F.col("one.n") + F.col("two.n")) * percent
+    found = one.join(two, (F.col("one.t") == F.col("two.t")) & (F.col("one.g") < F.col("two.g")) & up & near)
     group_pairs = found.select(F.col("one.g").alias("g"), F.col("two.g").alias("h")).distinct()
     inner = member.select("g", F.col("id").alias("a"))
     pairs = group_pairs.join(inner, "g").join(inner.select(F.col("g").alias("h"), F.col("a").alias("b")), "h").select("a", "b")
@@ -331,21 +361,25 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # large buckets, each set of groups once, and the members of one group
     many = bucket.where(F.col("size") > SMALL_BUCKET)
     alike = many.groupBy("t").agg(F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("y"), F.count("*").alias("c"))
-    alike = alike.groupBy("x", "y", "c").agg(F.min("t").alias("t")).select("t")
-    large = many.join(alike, "t").join(member, ["g", "n"]).select(F.struct("t", F.lit(False).alias("own")).alias("bucket"), "id", "n")
-    own = member.where("members > 1").select(F.struct(F.col("g").alias("t"), F.lit(True).alias("own")).alias("bucket"), "id", "n")
-    large = save(_thin_blocks(large.unionAll(own), marks, percent), "blocks")
+    alike = save(alike.groupBy("x", "y", "c").agg(F.min("t").alias("t")).select("t"), "alike")
+    many = many.join(bounded(alike, small(alike, BROADCAST_IDS)), "t")
+    large = many.drop("members").join(member, ["g", "n"]).select("t", F.lit(False).alias("own"), "g", "n", "pos", "id")
+    own = member.where("members > 1").select(F.col("g").alias("t"), F.lit(True).alias("own"), "g", "n", F.lit(0).alias("pos"), "id")
+    members = save(large.unionAll(own), "members")
+    large = save(_thin_blocks(members, marks, percent), "blocks")
 
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).unionAll(large.select("id")).distinct()
-    sets = _sets(docs, save(classes.select("id", "f1").join(ids, "id"), "needed"), doc_id, text, width)
-    if repeats:
-        sets = sets.dropDuplicates(["id"])
-    sets = save(sets, "sets")
+    needed = save(classes.join(ids, "id").select(F.col("id").alias("class"), F.col("doc").alias("id"), "f1"), "needed")
+    sets = _sets(docs, needed, doc_id, text, width)
+    sets = save(sets.dropDuplicates(["id"]) if repeats else sets, "sets")
     links = _verify_pairs(pairs, sets, percent).unionAll(_verify_blocks(large, sets, percent))
     reached = components(links)
-    for done in (pairs, large, sets, bucket):
+    for done in (alike, members, pairs, large, needed, sets, bucket):
         forget(done)
-    label = classes.join(reached, "id", "left").select("n", "f1", "f2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
+    label = classes.join(reached, "id", "left").select("n", "f1", "f2", F.col("doc").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
+    if repeats:
+        least = label.groupBy("component_id").agg(F.min("class_id").alias("least"))
+        label = label.join(least, "component_id").withColumn("component_id", F.col("least")).drop("least")
     some = table.where("n > 0").select("id", "n", "f1", "f2").join(label, ["n", "f1", "f2"], "left")
     alone = table.where("n = 0").select("n", "f1", "f2", "id", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     out = some.select("n", "f1", "f2", "id", "class_id", "component_id").unionAll(alone)
