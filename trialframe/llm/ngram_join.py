@@ -366,7 +366,11 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     large = many.drop("members").join(member, ["g", "n"]).select("t", F.lit(False).alias("own"), "g", "n", "pos", "id")
     own = member.where("members > 1").select(F.col("g").alias("t"), F.lit(True).alias("own"), "g", "n", F.lit(0).alias("pos"), "id")
     members = save(large.unionAll(own), "members")
-    large = save(_thin_blocks(members, marks, percent), "blocks")
+    thinned = save(_thin_blocks(members, marks, percent), "thinned")
+    # what is left of the buckets of near copies is the same members again and again: each set of them once
+    same = thinned.groupBy("t", "own").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.count("*").alias("c"))
+    once = same.groupBy("own", "x", "y", "c").agg(F.min("t").alias("t")).select("t", "own")
+    large = save(thinned.join(once, ["t", "own"]).select(*thinned.columns), "blocks")
 
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).unionAll(large.select("id")).distinct()
     needed = save(classes.join(ids, "id").select(F.col("id").alias("class"), F.col("doc").alias("id"), "f1"), "needed")
@@ -374,7 +378,7 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sets = save(sets.dropDuplicates(["id"]) if repeats else sets, "sets")
     links = _verify_pairs(pairs, sets, percent).unionAll(_verify_blocks(large, sets, percent))
     reached = components(links)
-    for done in (alike, members, pairs, large, needed, sets, bucket):
+    for done in (alike, members, thinned, pairs, large, needed, sets, bucket):
         forget(done)
     label = classes.join(reached, "id", "left").select("n", "f1", "f2", F.col("doc").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
     if repeats:
