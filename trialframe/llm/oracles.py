@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from trialframe.llm.chat import END, START
+from trialframe.llm.repair import CUT_OFF, DELETE, INSERT, REROLE
+from trialframe.llm.sharding import ROUNDS, round_keys
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -42,3 +44,97 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(
 CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
 sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
 CAST(sum({len(START) + len(END) + 2} + length(replace({_escaped('r')}, chr(10), '\\n')) + length({_escaped('x')})) AS BIGINT) AS formatted_chars FROM t GROUP BY 1"""
+
+
+#: The table of CRC-32, made bit by bit.
+_CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([CAST(i AS UBIGINT)], list_transform(range(8), lambda k: CAST(k AS UBIGINT))),
+  lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS UBIGINT)) ELSE a >> 1 END)) AS crc)"""
+
+
+def _crc(data: str) -> str:
+    """CRC-32 of the bytes that the hexadecimal column ``data`` stands for."""
+    octets = f"list_transform(regexp_extract_all({data}, '..'), lambda o: CAST('0x' || o AS UBIGINT))"
+    return f"CAST(xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], {octets}), lambda a, v: xor(crc[CAST(xor(a & 255, v) AS BIGINT) + 1], a >> 8)), CAST(4294967295 AS UBIGINT)) AS BIGINT)"
+
+
+def _way(before: str, cost: str, edit: str, turn: str | None = None) -> str:
+    """``before``, a list of (cost and edits) and (repaired turns), with one more edit; the least of such lists is the cheapest way, ties by edits."""
+    turns = f"{before}[2]" if turn is None else f"{before}[2] || CASE WHEN {before}[2] = '' THEN '' ELSE chr(10) END || {turn}"
+    return f"[printf('%09d', CAST(substr({before}[1], 1, 9) AS BIGINT) + {cost}) || substr({before}[1], 10) || '{edit}', {turns}]"
+
+
+def _least(ways: list[str]) -> str:
+    return f"list_min(list_filter([{', '.join(ways)}], lambda w: w[1] IS NOT NULL))"
+
+
+def _insertion() -> str:
+    """The columns v0 to v3 once one turn may be inserted."""
+    user, assistant = (lambda v: _way(v, str(INSERT), "I", "'user:'")), (lambda v: _way(v, str(INSERT), "I", "'assistant:'"))
+    return f"v0, v1, {_least(['v2', user('v0'), user('v1'), user('v3')])} AS v2, {_least(['v3', assistant('v2')])} AS v3"
+
+
+def _row() -> str:
+    """The columns v0 to v3 behind one more row (role r, text x, fault)."""
+    cut = f"(CASE WHEN fault = 'truncated' THEN {CUT_OFF} ELSE 0 END)"
+    delete = lambda v: _way(v, str(DELETE), "D")
+    keep = lambda v, initial: f"CASE WHEN fault NOT IN ('blank', 'duplicate') AND left(r, 1) = '{initial}' THEN {_way(v, cut, 'K', chr(39).join(['r || ', ':', ' || x']))} END"
+    rerole = lambda v, role: f"CASE WHEN fault NOT IN ('blank', 'duplicate') THEN {_way(v, f'{REROLE} + {cut}', 'R', chr(39).join(['', f'{role}:', ' || x']))} END"
+    to_user = [f(v, x) for v in ("v0", "v1", "v3") for f, x in ((keep, "u"), (rerole, "user"))]
+    return f"{delete('v0')} AS v0, {_least([delete('v1'), keep('v0', 's')])} AS v1, {_least([delete('v2'), *to_user])} AS v2, {_least([delete('v3'), keep('v2', 'a'), rerole('v2', 'assistant')])} AS v3"
+
+
+#: The four states' cheapest ways, a row of the conversation after another.
+REPAIR = rf"""WITH RECURSIVE {_CRC_TABLE},
+source AS (SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x, hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS h FROM conversations),
+hashed AS (SELECT conv_id, turn, r, x, {_crc('h')} % 20 AS k FROM source, crc_table),
+damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE r END AS r, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(x, '[.!?]', '', 'g') ELSE x END AS x
+  FROM (SELECT *, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) FROM hashed WHERE k <> 0)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x) AS i FROM damaged),
+judged AS (SELECT *, CASE WHEN NOT regexp_matches(x, '[^ 	-
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, r, x ORDER BY i) > 1 THEN 'duplicate'
+  WHEN NOT regexp_matches(x, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault, lag(left(r, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(r, 1) AS pair FROM placed),
+ways AS (SELECT conv_id, 0 AS i, {_insertion()} FROM (SELECT conv_id, {_insertion()} FROM (SELECT DISTINCT conv_id, ['000000000', ''] AS v0, CAST(NULL AS VARCHAR[]) AS v1, CAST(NULL AS VARCHAR[]) AS v2, CAST(NULL AS VARCHAR[]) AS v3 FROM conversations))
+  UNION ALL SELECT conv_id, i, {_insertion()} FROM (SELECT conv_id, i, {_insertion()} FROM (SELECT j.conv_id, j.i, {_row()} FROM ways w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1))),
+ends AS (SELECT conv_id, {_least(['v0', 'v3'])} AS best FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS back FROM ways) WHERE back = 1),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY 1)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+CAST(substr(best[1], 1, 9) AS BIGINT) AS cost, substr(best[1], 10) AS audit, sha256(best[2]) AS repaired_sha256 FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+_MASK = "CAST(18446744073709551616 AS UHUGEINT)"
+
+
+def _mixed(x: str) -> str:
+    """The 64-bit finalizer of the permutation's rounds, of an unsigned expression."""
+    times = lambda a, c: f"CAST((CAST({a} AS UHUGEINT) * CAST({c} AS UHUGEINT)) % {_MASK} AS UBIGINT)"
+    a = f"list_transform([{x}], lambda x: {times('xor(x, x >> 30)', 0xBF58476D1CE4E5B9)})"
+    b = f"list_transform({a}, lambda x: {times('xor(x, x >> 27)', 0x94D049BB133111EB)})"
+    return f"list_transform({b}, lambda x: xor(x, x >> 31))[1]"
+
+
+def _round(k: int, key: int) -> str:
+    """Left and right half after a round; lb and rb are their bits."""
+    changed, other, bits = (("l", "r", "lb"), ("r", "l", "rb"))[k % 2]
+    mixed = _mixed(f"CAST((CAST({other} AS UHUGEINT) + CAST({key} AS UHUGEINT)) % {_MASK} AS UBIGINT)")
+    now = f"xor({changed}, {mixed} & ((CAST(1 AS UBIGINT) << {bits}) - 1)) AS {changed}"
+    return f"{now}, {other}" if changed == "l" else f"{other}, {now}"
+
+
+def _walked(rows: str, seed: int) -> str:
+    """``rows`` (k, n, lb, rb, p) with p sent once through the network."""
+    out = f"SELECT k, n, lb, rb, p >> rb AS l, p & ((CAST(1 AS UBIGINT) << rb) - 1) AS r FROM ({rows})"
+    for k, key in enumerate(round_keys(seed).tolist()[:ROUNDS]):
+        out = f"SELECT k, n, lb, rb, {_round(k, key)} FROM ({out})"
+    return f"SELECT k, n, lb, rb, (l << rb) | r AS p FROM ({out})"
+
+
+def sharding(shards: int, seed: int = 0) -> str:
+    """Row numbers by id and text, sent through the network until they are below the number of rows."""
+    bits = "greatest(2, CASE WHEN n < 2 THEN 0 ELSE length(ltrim(bin(n - 1), '0')) END)"
+    first = f"SELECT CAST(row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(x)) - 1 AS UBIGINT) AS k, n, CAST({bits} // 2 AS BIGINT) AS lb, CAST({bits} - {bits} // 2 AS BIGINT) AS rb FROM rows"
+    return f"""WITH RECURSIVE {_CRC_TABLE}, rows AS (SELECT doc_id, coalesce(text, '') AS x, hex(encode(coalesce(text, ''))) AS h, count(*) OVER () AS n FROM documents),
+numbered AS (SELECT doc_id, CAST(strlen(x) + 8 AS BIGINT) AS size, {_crc('h')} AS text_crc32, CAST(row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(x)) - 1 AS UBIGINT) AS k FROM rows, crc_table),
+walk AS ({_walked(f'SELECT *, k AS p FROM ({first})', seed)} UNION ALL {_walked('SELECT * FROM walk WHERE p >= n', seed)})
+SELECT doc_id, size, text_crc32, CAST(k AS BIGINT) AS row_number, 'rows' AS law, CAST(p % {shards} AS INT) AS shard, CAST(p // {shards} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM numbered JOIN walk USING (k) WHERE p < n"""

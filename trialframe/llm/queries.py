@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.llm import oracles
@@ -14,6 +15,8 @@ from trialframe.llm.licenses import license_scan
 from trialframe.llm.ngram_join import ngram_jaccard_join
 from trialframe.llm.packing import pack_documents
 from trialframe.llm.quality import quality_scores
+from trialframe.llm.repair import repair_digests
+from trialframe.llm.sharding import shard_rows
 from trialframe.llm.topk import quantise, top_k
 from trialframe.llm.toxicity import held_out, learn_lexicon, toxicity_scores
 from trialframe.llm.warc import read_archives, write_archives
@@ -82,9 +85,36 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return benchmark_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def _damaged(turns: DataFrame) -> DataFrame:
+    """Turns with faults, by a checksum of conversation and turn: dropped, emptied, cut off, repeated, of another role."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), (F.crc32(key.cast("binary")) % 20).alias("k")).where("k <> 0")
+    text = F.when(F.col("k") == 1, "").when(F.col("k") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("k") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", F.when(F.col("k") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    empty = {"gaps": 0, "blank": 0, "duplicate": 0, "truncated": 0, "illegal": 0, "cost": 0, "audit": "", "repaired_sha256": hashlib.sha256().hexdigest()}
+    found = repair_digests(_damaged(turns)).withColumnRenamed("conv_id", "c")
+    every = turns.select("conv_id").distinct()
+    joined = every.join(found, every.conv_id.eqNullSafe(found.c), "left")
+    return joined.select("conv_id", *[F.coalesce(c, F.lit(x)).alias(c) for c, x in empty.items()])
+
+
+#: Shards that documents are dealt to.
+SHARDS = 24
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = shard_rows(_table(spark, sf_dir, "documents"), SHARDS)
+    return dealt.select("doc_id", "size", "text_crc32", "row_number", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_best_fit_packing, op4_quality_classifier, op5_warc, op6_exact_top_k, op7_chat_formatting, op8_license_scan, op9_toxicity, op10_benchmark_decontamination)
+    for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_best_fit_packing, op4_quality_classifier, op5_warc, op6_exact_top_k, op7_chat_formatting, op8_license_scan, op9_toxicity, op10_benchmark_decontamination, op11_conversation_repair, op13_sharding)
 }
 
 #: The others are fitted, need a tokenizer or parse pages: tested against brute force, round trips and held-out rows.
@@ -93,4 +123,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc": oracles.WARC,
     "op6_exact_top_k": oracles.TOP_K,
     "op7_chat_formatting": oracles.CHAT,
+    "op11_conversation_repair": oracles.REPAIR,
+    "op13_sharding": oracles.sharding(SHARDS),
 }
