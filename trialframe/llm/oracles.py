@@ -102,6 +102,20 @@ counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT t
 SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
 CAST(substr(best[1], 1, 9) AS BIGINT) AS cost, substr(best[1], 10) AS audit, sha256(best[2]) AS repaired_sha256 FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
 
+#: All phrases of one to three words, counted one by one.
+COLLOCATIONS = rf"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, m, unnest(list_transform(range(1, greatest(1, len(w) - m + 2)), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS g FROM words, (VALUES (1), (2), (3)) AS sizes(m)),
+counts AS (SELECT lang, m, g, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE m = 1 GROUP BY 1),
+candidates AS (SELECT lang, m, g, f AS a, string_split(g, ' ') AS w FROM counts WHERE m > 1 AND f >= 10),
+cuts AS (SELECT c.lang, c.g, c.a, k, l.f AS l, r.f AS r, CAST(CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score FROM candidates c, (VALUES (1), (2)) AS places(k)
+  JOIN counts l ON l.lang = c.lang AND l.g = array_to_string(c.w[1:k], ' ') JOIN counts r ON r.lang = c.lang AND r.g = array_to_string(c.w[k + 1:c.m], ' ') WHERE k < c.m),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+kept AS (SELECT * FROM scored s WHERE NOT EXISTS (SELECT 1 FROM candidates c WHERE c.lang = s.lang AND c.m > len(string_split(s.g, ' ')) AND strpos(' ' || c.g || ' ', ' ' || s.g || ' ') > 0 AND 100 * c.a >= 50 * s.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank FROM kept)
+SELECT r.lang, rank, g AS phrase, a, l, r, n, score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000"""
+
 _MASK = "CAST(18446744073709551616 AS UHUGEINT)"
 
 

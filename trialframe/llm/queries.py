@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialframe.llm import oracles
 from trialframe.llm.chat import chat_digests, format_conversations
+from trialframe.llm.collocations import collocations
 from trialframe.llm.decontaminate import benchmark_overlaps
 from trialframe.llm.html_text import extract_text
 from trialframe.llm.licenses import license_scan
@@ -103,6 +104,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("conv_id", *[F.coalesce(c, F.lit(x)).alias(c) for c, x in empty.items()])
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 #: Shards that documents are dealt to.
 SHARDS = 24
 
@@ -114,7 +119,7 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_best_fit_packing, op4_quality_classifier, op5_warc, op6_exact_top_k, op7_chat_formatting, op8_license_scan, op9_toxicity, op10_benchmark_decontamination, op11_conversation_repair, op13_sharding)
+    for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_best_fit_packing, op4_quality_classifier, op5_warc, op6_exact_top_k, op7_chat_formatting, op8_license_scan, op9_toxicity, op10_benchmark_decontamination, op11_conversation_repair, op12_phrase_collocations, op13_sharding)
 }
 
 #: The others are fitted, need a tokenizer or parse pages: tested against brute force, round trips and held-out rows.
@@ -124,5 +129,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_exact_top_k": oracles.TOP_K,
     "op7_chat_formatting": oracles.CHAT,
     "op11_conversation_repair": oracles.REPAIR,
+    "op12_phrase_collocations": oracles.COLLOCATIONS,
     "op13_sharding": oracles.sharding(SHARDS),
 }
