@@ -116,25 +116,25 @@ def tables(size: int = BLOCK) -> Tables:
 
 
 def _boundaries(groups: np.ndarray, symbols: np.ndarray, held: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """For rows that come last first: (vector behind the row's block, what is paid behind it, row's place in its block) and what the next batch goes on with.
+    """For rows that come last first: (vector behind the row's block, what is paid behind it, row's place from the end) and what the next batch goes on with.
 
     ``groups`` is true on the first row of a conversation. Whole blocks are one look-up each.
     """
     t = tables()
-    n = len(symbols)
-    vector, paid, place = np.empty(n, np.int32), np.empty(n, np.int64), np.empty(n, np.int32)
-    v, cost, code, filled = held
+    rows = len(symbols)
+    vector, paid, place = np.empty(rows, np.int32), np.empty(rows, np.int64), np.empty(rows, np.int64)
+    v, cost, code, n = held
     weight = [SYMBOLS**k for k in range(t.size)]
     for i, (new, s) in enumerate(zip(groups.tolist(), symbols.tolist())):
         if new:
-            v, cost, code, filled = 0, t.end_paid, 0, 0
-        vector[i], paid[i], place[i] = v, cost, filled
-        code += s * weight[filled]
-        filled += 1
-        if filled == t.size:
+            v, cost, code, n = 0, t.end_paid, 0, 0
+        vector[i], paid[i], place[i] = v, cost, n
+        code += s * weight[n % t.size]
+        n += 1
+        if n % t.size == 0:
             cost += t.block_paid[v][code]
-            v, code, filled = t.block[v][code], 0, 0
-    return vector, paid, place, (v, cost, code, filled)
+            v, code = t.block[v][code], 0
+    return vector, paid, place, (v, cost, code, n)
 
 
 def _expand(symbols: list[int], vector: int, paid: int) -> tuple[list[int], list[int]]:
@@ -189,7 +189,7 @@ def least_edits(symbols: list[int]) -> tuple[int, str]:
     audit, state, at, cost = [], 0, 0, None
     while at < len(symbols):
         last = len(symbols) - 1 - at  # the row's place from the end
-        size = int(place[last]) + 1
+        size = int(place[last]) % t.size + 1
         edits, state = _trace(symbols[at : at + size], int(vector[last]), int(paid[last]), state)
         cost = edits[0][3] if cost is None else cost
         audit += edits
@@ -272,7 +272,7 @@ def _edits(turns: DataFrame, conv_id: str, turn: str, role: str, text: str) -> D
                     state, n = 0, 0
                 last, begun = c, True
                 held.append((t, r, x, f, s))
-                if p:  # more rows of the block follow
+                if p % BLOCK:  # more rows of the block follow
                     continue
                 edits, state = _trace([h[4] for h in held], v, g, state)
                 for edit, i, made, cost in edits:
@@ -289,8 +289,8 @@ def _edits(turns: DataFrame, conv_id: str, turn: str, role: str, text: str) -> D
                 yield flush()
 
     fields = rows.schema.simpleString()[7:-1].replace(":", " ")
-    marked = rows.sortWithinPartitions("c", *[F.col(k).desc_nulls_last() for k in order]).mapInArrow(backward, f"{fields}, v int, g long, p int")
-    return marked.sortWithinPartitions("c", *[F.col(k).asc_nulls_first() for k in order]).mapInArrow(forward, _FIELDS.format(kind=kind, turn=when))
+    marked = rows.sortWithinPartitions("c", *[F.col(k).desc_nulls_last() for k in order]).mapInArrow(backward, f"{fields}, v int, g long, p long")
+    return marked.sortWithinPartitions("c", F.desc("p")).mapInArrow(forward, _FIELDS.format(kind=kind, turn=when))
 
 
 def _first_rows(ids: pa.Array, last, begun: bool) -> tuple[np.ndarray, object, bool]:
