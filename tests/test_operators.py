@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trialframe.functions import special
+from trialframe.functions.draws import exponentials
 from trialframe.operators import attributes, clean, features, labels, light, quality, splits, stats, trajectory
 from trialframe.operators.common import CHANNELS
 
@@ -320,6 +321,48 @@ def test_bootstrap_and_permutation(spark):
     assert stats.permutation_test(same, "v", "g", "x", "y", "i", 200).first()["p"] > 0.02
 
 
+def weighted_interval(rows, replicates):
+    """The interval of (id, value) rows by plain numpy."""
+    if len(rows) == 1:
+        return rows[0][1], rows[0][1]
+    w = exponentials(np.array([i for i, _ in rows], np.int64), replicates)
+    m = (w * np.array([v for _, v in rows])[:, None]).sum(axis=0) / w.sum(axis=0)
+    return np.quantile(m, 0.025), np.quantile(m, 0.975)
+
+
+@pytest.mark.parametrize("held,large", [(1 << 26, 1 << 20), (1, 1 << 20), (16 * 50 * 3, 7), (1, 2)])
+def test_bootstrap_of_many_and_large_groups(spark, monkeypatch, held, large):
+    monkeypatch.setattr(stats, "HELD_BYTES", held)
+    monkeypatch.setattr(stats, "GROUP_ROWS", large)
+    rng = random.Random(2)
+    rows = [(i, None if g == 0 else f"g{g}", g % 3, rng.gauss(g, 1)) for i, g in enumerate([rng.choice([0, 1, 1, 1, 1, *range(30)]) for _ in range(600)])]
+    df = frame(spark, [*rows, (9999, "g1", 1, float("nan")), (9998, "g1", 1, None)], "i int, g string, h int, v double")
+    got = stats.bootstrap_ci(df.repartition(5), "v", ("g", "h"), "i", 50).collect()
+    groups = {}
+    for i, g, h, v in rows:
+        groups.setdefault((g, h), []).append((i, v))
+    assert {(r.g, r.h): r.n for r in got} == {k: len(v) for k, v in groups.items()} and len(got) == len(groups)
+    for r in got:
+        own = groups[r.g, r.h]
+        assert (r.low, r.high) == pytest.approx(weighted_interval(own, 50)) and r["mean"] == pytest.approx(np.mean([v for _, v in own]))
+    one = stats.bootstrap_ci(df, "v", (), "i", 600).first()
+    assert (one.low, one.high) == pytest.approx(weighted_interval([(i, v) for i, _, _, v in rows], 600))
+    assert stats.bootstrap_ci(df.limit(0), "v", ("g",), "i", 50).count() == 0
+
+
+def test_what_resampling_passes_on_grows_with_tasks_and_not_batches(spark):
+    rows = frame(spark, [(i, "ab"[i % 2], float(i)) for i in range(500)], "i int, g string, v double").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        found = stats.bootstrap_ci(rows, "v", ("g",), "i", 600)
+        found.collect()
+        each = rows.select("g", F.col("i").cast("long").alias("_h"), F.col("v").alias("_x"), F.lit(0).alias("_parts"))
+        passed = each.mapInArrow(stats._sums_of_replicates(("g",), 600, 0.95, 0, 9), stats._replicate_schema(each, ("g",)))
+        assert passed.count() == 2 * 2 * 3  # tasks, groups, pieces
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_huber_resists_an_outlier(spark):
     df = frame(spark, [(float(i), 2.0 * i + 1 + (500.0 if i == 7 else 0.01 * (-1) ** i)) for i in range(40)], "x double, y double")
     assert stats.huber_fit(df, ("x",), "y").coefficients[0] == pytest.approx(2, abs=0.05)

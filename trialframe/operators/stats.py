@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trialframe.functions.draws import exponentials
 from trialframe.functions.special import p_chi2, p_f, p_normal, p_range, p_t
 from trialframe.operators.order import average_rank, in_ranges
 from trialframe.sources.scratch import saved
@@ -282,45 +283,151 @@ def huber_fit(df: DataFrame, x: tuple[str, ...], y: str, intercept: bool = True,
 
 #: Rows of a permutation test that one task holds, about.
 BUCKET_ROWS = 50_000
-#: Weights that a task draws at once.
-DRAWN = 1 << 20
+#: Weights that a task draws at once, and bytes of sums that it holds.
+DRAWN, HELD_BYTES = 1 << 20, 64 << 20
+#: Rows of one group that one task adds up where there are many groups; a larger group is dealt to several.
+GROUP_ROWS = 1 << 20
+#: Replicates in one row on their way to where a group's sums meet.
+PIECE = 256
+#: Rows of a table of large groups up to which it is broadcast.
+BROADCAST_GROUPS = 100_000
 
 
 def bootstrap_ci(df: DataFrame, value: str, keys: tuple[str, ...], row_id: str, replicates: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
     """(keys, n, mean, low, high): percentile interval of the mean.
 
     Weights are exponential, a function of seed, row and replicate, so a lost task
-    gives the same numbers again. A task adds up its rows' weights for all
-    replicates and passes on a vector of sums for each group: what is shuffled
-    grows with groups, tasks and replicates, not with rows. NaN and infinite values
-    take no part; a single value is its own interval.
+    gives the same numbers again; rows of a group should differ in ``row_id``. No row
+    is copied for a replicate. Few groups: a task holds their sums for all its rows and
+    passes each on once, whatever the size of its batches. More groups than
+    ``HELD_BYTES`` of sums: rows are sorted by group first, a task holds some groups and
+    finishes those that it has whole; only groups of more than ``GROUP_ROWS`` rows are
+    dealt to several tasks, whose sums then meet. NaN and infinite values take no part;
+    a single value is its own interval; null keys are a group.
     """
     x = F.col(value).cast("double")
-    rows = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(*keys, F.xxhash64(F.lit(seed), F.col(row_id)).alias("_h"), x.alias("_x"))
+    key = F.col(row_id).cast("long") if df.schema[row_id].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(row_id)
+    rows = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(*keys, key.alias("_h"), x.alias("_x"))
+    room = max(1, HELD_BYTES // (16 * replicates))
+    few = not keys or rows.select(*keys).distinct().limit(room + 1).count() <= room
+    if few:
+        rows = rows.withColumn("_parts", F.lit(0))
+    else:
+        large = saved(rows.groupBy(*keys).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("_parts")).where("_parts > 1"), "large-groups")
+        rows = _with_parts(rows, large, keys)
+        rows = rows.repartition(*keys, F.pmod("_h", "_parts")).sortWithinPartitions(*keys)
+    sums = rows.mapInArrow(_sums_of_replicates(keys, replicates, level, seed, room), _replicate_schema(rows, keys))
+    together = sums.repartition(*keys) if keys else sums.repartition(1)  # one vector a task
+    schema = T.StructType([*(rows.schema[k] for k in keys), *_INTERVAL])
+    return together.sortWithinPartitions(*keys, "piece").mapInArrow(_merged_replicates(keys, replicates, level), schema)
+
+
+_INTERVAL = [T.StructField("n", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("mean", "low", "high"))]
+
+
+def _replicate_schema(rows: DataFrame, keys: tuple[str, ...]) -> T.StructType:
+    vectors = (T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("w", "wx"))
+    return T.StructType([*(rows.schema[k] for k in keys), *_INTERVAL, T.StructField("piece", T.IntegerType()), *vectors])
+
+
+def _with_parts(rows: DataFrame, large: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``_parts``: how many tasks share the row's group."""
+    if not large.limit(1).count():
+        return rows.withColumn("_parts", F.lit(1))
+    other = large.withColumnsRenamed({k: f"_large_{k}" for k in keys})
+    if large.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        other = F.broadcast(other)
+    same = [F.col(k).eqNullSafe(F.col(f"_large_{k}")) for k in keys]
+    return rows.join(other, same, "left").select(*rows.columns, F.coalesce("_parts", F.lit(1)).alias("_parts"))
+
+
+def _interval(w: np.ndarray, wx: np.ndarray, n: int, s: float, level: float) -> tuple[int, float, float, float]:
+    low, high = np.quantile(wx / w, [(1 - level) / 2, (1 + level) / 2]).tolist() if n > 1 else (s, s)
+    return n, s / n, low, high
+
+
+def _sums_of_replicates(keys: tuple[str, ...], replicates: int, level: float, seed: int, room: int):
+    """A function for mapInArrow: the groups' intervals where the task has all their rows, else their sums in pieces."""
 
     def add(batches):
+        held: dict[tuple, list] = {}
+        last, kinds = None, None
+
+        def give(groups):
+            rows = []
+            for g in groups:
+                n, s, w, wx, parts = held.pop(g)
+                if parts == 1:
+                    rows.append((*g, *_interval(w, wx, n, s, level), 0, None, None))
+                else:
+                    rows += [(*g, n if at == 0 else 0, s if at == 0 else 0.0, None, None, at, w[at : at + PIECE], wx[at : at + PIECE]) for at in range(0, replicates, PIECE)]
+            for at in range(0, len(rows), 1000):
+                yield pa.record_batch([pa.array([r[i] for r in rows[at : at + 1000]], k) for i, k in enumerate(kinds)], [*keys, "n", "mean", "low", "high", "piece", "w", "wx"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = kinds or [*(batch.schema.field(k).type for k in keys), pa.int64(), *[pa.float64()] * 3, pa.int32(), *[pa.list_(pa.float64())] * 2]
+            names = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * batch.num_rows
+            code: dict[tuple, int] = {}
+            which = np.array([code.setdefault(g, len(code)) for g in names])
+            order = np.argsort(which, kind="stable")
+            ends = np.cumsum(np.bincount(which))
+            h, v, parts = batch.column("_h").to_numpy()[order], batch.column("_x").to_numpy()[order], batch.column("_parts").to_numpy()[order]
+            for g, a, b in zip(code, [0, *ends[:-1].tolist()], ends.tolist()):
+                if g not in held:
+                    if len(held) >= room:  # only where rows come group by group, or where vectors meet again later
+                        yield from give([k for k in held if k != last])
+                    held[g] = [0, 0.0, np.zeros(replicates), np.zeros(replicates), int(parts[a])]
+                last, own = g, held[g]
+                own[0] += b - a
+                own[1] += float(v[a:b].sum())
+                step = max(1, DRAWN // replicates)
+                for at in range(a, b, step):
+                    drawn = exponentials(h[at : min(b, at + step)], replicates, seed)
+                    own[2] += drawn.sum(axis=0)
+                    own[3] += v[at : min(b, at + step)] @ drawn
+        if held:
+            yield from give(list(held))
+
+    return add
+
+
+def _merged_replicates(keys: tuple[str, ...], replicates: int, level: float):
+    """A function for mapInArrow over rows sorted by group and piece: finished groups as they are, the others' sums added up."""
+
+    def merge(batches):
+        held, n, s, w, wx, out, kinds = None, 0, 0.0, None, None, [], None
+
+        def close():
+            if held is not None and w is not None:
+                out.append((*held, *_interval(w, wx, n, s, level)))
+
         for batch in batches:
-            groups = pa.table({k: batch.column(k) for k in keys}) if keys else None
-            names = list(zip(*(groups[k].to_pylist() for k in keys))) if keys else [()] * batch.num_rows
-            place = {g: i for i, g in enumerate(dict.fromkeys(names))}
-            which = np.array([place[g] for g in names])
-            h, v = batch.column("_h").to_numpy(), batch.column("_x").to_numpy()
-            w, wx = np.zeros((len(place), replicates)), np.zeros((len(place), replicates))
-            step = max(1, DRAWN // replicates)
-            for at in range(0, len(h), step):
-                drawn = np.stack([np.random.Generator(np.random.Philox(int(k) & (1 << 64) - 1)).standard_exponential(replicates) for k in h[at : at + step].tolist()])
-                np.add.at(w, which[at : at + step], drawn)
-                np.add.at(wx, which[at : at + step], drawn * v[at : at + step, None])
-            columns = [pa.array([g[i] for g in place], groups.schema.field(k).type) for i, k in enumerate(keys)]
-            n, s = np.bincount(which, minlength=len(place)), np.bincount(which, v, len(place))
-            yield pa.record_batch([*columns, pa.array(n, pa.int64()), pa.array(s), pa.array(list(w), pa.list_(pa.float64())), pa.array(list(wx), pa.list_(pa.float64()))], [*keys, "n", "s", "w", "wx"])
-
-    schema = T.StructType([*(rows.schema[k] for k in keys), *(T.StructField(c, k) for c, k in (("n", T.LongType()), ("s", T.DoubleType()), ("w", T.ArrayType(T.DoubleType())), ("wx", T.ArrayType(T.DoubleType()))))])
-    each = rows.mapInArrow(add, schema).select(*keys, "n", "s", F.posexplode(F.arrays_zip("w", "wx")).alias("_rep", "_z"))
-    means = each.groupBy(*keys, "_rep").agg((F.sum("_z.wx") / F.sum("_z.w")).alias("_m"), F.sum("n").alias("_n"), (F.sum("s") / F.sum("n")).alias("_a"))
-    tail = (1 - level) / 2
-    out = means.groupBy(*keys).agg(F.first("_n").alias("n"), F.first("_a").alias("mean"), F.percentile("_m", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"))
-    return out.select(*keys, "n", "mean", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+            kinds = kinds or [*(batch.schema.field(k).type for k in keys), pa.int64(), *[pa.float64()] * 3]
+            names = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * batch.num_rows
+            plain = list(zip(*(batch.column(c).to_pylist() for c in ("n", "mean", "low", "high", "piece"))))
+            sums, sums_x = batch.column("w"), batch.column("wx")
+            for i, (g, (count, mean, low, high, piece)) in enumerate(zip(names, plain)):
+                if g != held:
+                    close()
+                    held, n, s, w, wx = g, 0, 0.0, None, None
+                if low is not None:
+                    out.append((*g, count, mean, low, high))
+                    continue
+                if w is None:
+                    w, wx = np.zeros(replicates), np.zeros(replicates)
+                n, s = n + count, s + mean
+                w[piece : piece + PIECE] += sums[i].values.to_numpy()
+                wx[piece : piece + PIECE] += sums_x[i].values.to_numpy()
+            if out:
+                yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [*keys, "n", "mean", "low", "high"])
+                out = []
+        close()
+        if out:
+            yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [*keys, "n", "mean", "low", "high"])
+
+    return merge
 
 
 def permutation_test(df: DataFrame, value: str, group: str, a, b, row_id: str, permutations: int = 10_000, seed: int = 0) -> DataFrame:

@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from trialframe.functions.draws import exponential_sql, start_sql
 from trialframe.operators import stats
 from trialframe.operators.common import ZONE
 from trialframe.plans.registry import query
 from trialframe.plans.views import PLANTS, plants, r6, s6
 
 
-
 def _integral(f: str, to: str, panels: int = 2000) -> str:
     """The integral of ``f``, an expression in s, from 0 to ``to``."""
     at = f"(i * ({to}) / {panels}.0)"
@@ -158,18 +158,26 @@ def posthoc(spark, sf_dir):
     return stats.posthoc(plants(spark, sf_dir), "total", "agent").select("agent_a", "agent_b", *[r6(c).alias(c) for c in _POSTHOC])
 
 
-@query()
+#: Means of all agents under each of the replicates' weights, and the interval that holds 95 of 100.
+_RESAMPLED = f"""states AS (SELECT agent, total, {start_sql('plant_id')} AS start FROM plants), replicates AS (SELECT agent, r, sum(w * total) / sum(w) AS m FROM (SELECT agent, total, r, {exponential_sql('start', 'r')} AS w FROM states, range(10000) t(r)) GROUP BY 1, 2),
+intervals AS (SELECT agent, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM replicates GROUP BY 1), sizes AS (SELECT agent, count(*) AS n, avg(total) AS mean FROM plants GROUP BY 1)"""
+
+
+@query(f"WITH {PLANTS}, {_RESAMPLED} SELECT agent, n, {s6('mean')} AS mean, {s6('low')} AS low, {s6('high')} AS high FROM sizes JOIN intervals USING (agent)")
 def bootstrap_ci(spark, sf_dir):
-    return stats.bootstrap_ci(plants(spark, sf_dir), "total", ("agent",), "plant_id", 10_000)
+    return stats.bootstrap_ci(plants(spark, sf_dir), "total", ("agent",), "plant_id", 10_000).select("agent", "n", *[r6(c).alias(c) for c in ("mean", "low", "high")])
 
 
-@query()
+@query(f"""WITH {PLANTS}, {_RESAMPLED}, q AS (SELECT agent, quantile_cont(total, 0.1) AS a, quantile_cont(total, 0.99) AS b FROM plants GROUP BY 1),
+t AS (SELECT agent, avg(total) FILTER (total BETWEEN a AND b) AS trimmed_mean, count(*) FILTER (total BETWEEN a AND b) AS n_inside, avg(energy) AS energy FROM plants JOIN q USING (agent) GROUP BY 1)
+SELECT agent, {s6('trimmed_mean')} AS trimmed_mean, n_inside, n, {s6('low')} AS low, {s6('high')} AS high, {s6('energy')} AS energy FROM t JOIN sizes USING (agent) JOIN intervals USING (agent)""")
 def policy_summary(spark, sf_dir):
     from trialframe.operators.quality import trimmed_mean
 
     p = plants(spark, sf_dir)
     t = trimmed_mean(p, "total", ("agent",), 0.1, 0.99)
-    return t.join(stats.bootstrap_ci(p, "total", ("agent",), "plant_id", 10_000).drop("n", "mean"), "agent").join(p.groupBy("agent").agg(F.avg("energy").alias("energy")), "agent")
+    whole = t.join(stats.bootstrap_ci(p, "total", ("agent",), "plant_id", 10_000).drop("n", "mean"), "agent").join(p.groupBy("agent").agg(F.avg("energy").alias("energy")), "agent")
+    return whole.select("agent", r6("trimmed_mean").alias("trimmed_mean"), "n_inside", "n", *[r6(c).alias(c) for c in ("low", "high", "energy")])
 
 
 @query()

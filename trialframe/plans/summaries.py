@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trialframe.functions.draws import exponential_sql, start_sql
 from trialframe.operators import quality, trajectory
 from trialframe.operators.common import PLANT, ZONE, text, up_to
 from trialframe.plans.registry import query
@@ -117,11 +118,17 @@ def final_state(spark, sf_dir):
     return f.join(t, list(ZONE)).select(*ZONE, r6("a").alias("mean_area"), r6("m").alias("mean_return"))
 
 
-@query(f"""WITH {DAILY}, u AS (UNPIVOT (SELECT experiment, zone, day, clean_area, action_0 FROM daily) ON clean_area, action_0 INTO NAME metric VALUE v)
-SELECT experiment, zone, day, metric, {s6('avg(v)')} AS mean, count(*) AS n FROM u GROUP BY 1, 2, 3, 4""")
+@query(f"""WITH {DAILY}, u AS (UNPIVOT (SELECT experiment, zone, day, plant_id, clean_area, action_0 FROM daily) ON clean_area, action_0 INTO NAME metric VALUE v),
+g AS (SELECT experiment, zone, day, metric, avg(v) AS mean, count(*) AS n FROM u GROUP BY 1, 2, 3, 4), states AS (SELECT u.*, {start_sql('plant_id')} AS start FROM u JOIN g USING (experiment, zone, day, metric) WHERE n > 1),
+replicates AS (SELECT experiment, zone, day, metric, sum(w * v) / sum(w) AS m FROM (SELECT *, {exponential_sql('start', 'r')} AS w FROM states, range(1000) t(r)) GROUP BY experiment, zone, day, metric, r),
+i AS (SELECT experiment, zone, day, metric, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM replicates GROUP BY 1, 2, 3, 4)
+SELECT experiment, zone, day, metric, {s6('mean')} AS mean, {s6('coalesce(low, mean)')} AS low, {s6('coalesce(high, mean)')} AS high, n FROM g LEFT JOIN i USING (experiment, zone, day, metric)""")
 def metric_long(spark, sf_dir):
-    long = daily(spark, sf_dir).unpivot([*ZONE, "day"], ["clean_area", "action_0"], "metric", "v")
-    return long.groupBy(*ZONE, "day", "metric").agg(r6(F.avg("v")).alias("mean"), F.count("*").alias("n"))
+    from trialframe.operators.stats import bootstrap_ci
+
+    long = daily(spark, sf_dir).unpivot([*ZONE, "day", "plant_id"], ["clean_area", "action_0"], "metric", "v")
+    found = bootstrap_ci(long, "v", (*ZONE, "day", "metric"), "plant_id", 1000)
+    return found.select(*ZONE, "day", "metric", *[r6(c).alias(c) for c in ("mean", "low", "high")], "n")
 
 
 @query(f"""WITH {DAILY}, p AS (SELECT *, lead(clean_area) OVER {W} AS nxt FROM daily), v AS (SELECT * FROM p WHERE clean_area > 0 AND nxt > 0)
