@@ -34,6 +34,62 @@ def test_telemetry_with_and_without_power(spark, raw):
     assert zoned == {1: "America/Edmonton", 2: "America/Toronto"}
 
 
+VALUES = {"time": "2024-01-01T09:00:00Z", "image_name": "a, b.png", "power": "7.5", "note": "x", "action.6": "99"} | {f"action.{i}": f"{i}.5" for i in range(6)}
+LAYOUTS = {
+    1: HEAD.split(","),
+    2: [*reversed(HEAD.split(",")), "power"],
+    3: ["power", "note", "action.6", *HEAD.split(",")],
+    4: [*HEAD.split(",")[3:], "note", *HEAD.split(",")[:3]],
+}
+
+
+def write_layouts(root, n=2):
+    import csv
+
+    for zone, names in LAYOUTS.items():
+        d = root / "E7" / f"zone{zone:02d}"
+        d.mkdir(parents=True)
+        with (d / "raw.csv").open("w", encoding="utf-8-sig" if zone == 4 else "utf-8", newline="") as f:
+            out = csv.writer(f, quoting=csv.QUOTE_ALL if zone == 3 else csv.QUOTE_MINIMAL)
+            out.writerow([f" {x} " if zone == 2 else x for x in names])
+            out.writerows([[VALUES[x] for x in names]] * n)
+    (root / "E7" / "zone05").mkdir()
+    (root / "E7" / "zone05" / "raw.csv").write_text("")
+    return f"{root}/E7/*/*.csv"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("split", ["128m", "300b"])
+def test_telemetry_goes_by_the_names_in_each_header(spark, tmp_path, monkeypatch, packed, split):
+    paths, cost = write_layouts(tmp_path, 50), spark.conf.get("spark.sql.files.openCostInBytes")
+    if packed:  # a session that does not let go of its own setting
+        put = type(spark.conf).set
+        monkeypatch.setattr(type(spark.conf), "set", lambda self, key, value: None if key == "spark.sql.files.openCostInBytes" else put(self, key, value))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        assert tables.file_headers(spark, paths).count() == 4
+        rows = tables.read_telemetry(spark, paths).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 200 and spark.conf.get("spark.sql.files.openCostInBytes") == cost
+    for r in rows:
+        assert [r[f"action_{i}"] for i in range(6)] == [0.5, 1.5, 2.5, 3.5, 4.5, 5.5] and r["image_name"] == "a, b.png" and r["time"] == datetime(2024, 1, 1, 9)
+        assert r["power"] == (7.5 if r["zone"] in (2, 3) else None) and r["experiment"] == 7
+
+
+def test_telemetry_without_a_column_names_the_file(spark, tmp_path):
+    write_layouts(tmp_path)
+    (tmp_path / "E7" / "zone05" / "raw.csv").write_text("time,image_name,action.0,power\n2024-01-01,a,1,2\n")
+    with pytest.raises(ValueError, match=r"zone05/raw.csv has no column action.1, action.2"):
+        tables.read_telemetry(spark, f"{tmp_path}/E7/*/*.csv")
+
+
+def test_telemetry_values_that_cannot_be_read_are_null(spark, tmp_path):
+    (tmp_path / "raw.csv").write_text(HEAD + "\nnever,a.png,1,x,,4,5\n")
+    row = tables.read_telemetry(spark, str(tmp_path / "raw.csv")).first()
+    assert (row["time"], row["action_0"], row["action_1"], row["action_2"], row["action_4"], row["action_5"], row["power"], row["zone"]) == (None, 1.0, None, None, 5.0, None, None, None)
+
+
 def test_zones_are_written_and_replaced_apart(spark, tmp_path):
     path = str(tmp_path / "out")
     schema = "experiment long, zone long, v int"

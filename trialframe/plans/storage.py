@@ -7,21 +7,30 @@ from pyspark.sql import functions as F
 from trialframe.operators import attributes, clean, features, light, stats
 from trialframe.operators.common import PLANT, ZONE, text
 from trialframe.plans.registry import query
-from trialframe.plans.views import DAILY, KINDS, TELEMETRY, daily, r6, s6, table, telemetry
+from trialframe.plans.views import DAILY, TELEMETRY, daily, r6, s6, table, telemetry
 from trialframe.sources import tables
 from trialframe.sources.scratch import name_files, scratch
 
 
-@query(f"WITH {TELEMETRY} SELECT experiment, zone, user_id AS image, CAST(time AS VARCHAR) AS time, power AS action_0, CASE WHEN zone <= 3 THEN power END AS power FROM telemetry")
+@query(f"""WITH {TELEMETRY} SELECT experiment, zone, user_id AS image, CAST(time AS VARCHAR) AS time, power AS action_0, CAST(event_id AS DOUBLE) AS action_3, CASE WHEN zone <> 4 THEN power + zone END AS power FROM telemetry""")
 def telemetry_csv(spark, sf_dir):
     root = scratch(spark, "telemetry")
     t = telemetry(spark, sf_dir)
-    channels = [F.col("power").alias("action.0"), *[F.lit(float(i)).alias(f"action.{i}") for i in range(1, 6)]]
-    for zone in range(1, len(KINDS) + 1):  # headers differ: some zones' files have no power
-        rows = t.where(F.col("zone") == zone).select(F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("time"), F.col("user_id").cast("string").alias("image_name"), *channels, *(["power"] if zone <= 3 else []))
-        rows.write.option("header", True).csv(f"{root}/E1/P1/zone{zone:02d}")
+    columns = {
+        "time": F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"),
+        "image_name": F.col("user_id").cast("string"),
+        **{f"action.{i}": F.lit(float(i)) for i in range(1, 6)},
+        "action.0": F.col("power"),
+        "action.3": F.col("event_id").cast("double"),
+        "power": F.col("power") + F.col("zone"),
+        "note": F.lit("a, b"),
+    }
+    declared = ["time", "image_name", *[f"action.{i}" for i in range(6)]]
+    layouts = {1: [*declared, "power"], 2: ["power", "note", *reversed(declared)], 3: ["note", *declared[::2], "power", *declared[1::2]], 4: declared, 5: [*declared, "power", "note"]}
+    for zone, names in layouts.items():
+        t.where(F.col("zone") == zone).select(*[columns[n].alias(n) for n in names]).write.option("header", True).csv(f"{root}/E1/P1/zone{zone:02d}")
     read = tables.read_telemetry(spark, f"{root}/E1/P1/*/*.csv")
-    return read.select("experiment", "zone", F.col("image_name").cast("long").alias("image"), text("time"), "action_0", "power")
+    return read.select("experiment", "zone", F.col("image_name").cast("long").alias("image"), text("time"), "action_0", "action_3", "power")
 
 
 def processed(spark, sf_dir) -> str:

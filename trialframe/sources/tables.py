@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The columns of the input format.
-TELEMETRY = "time timestamp, image_name string, `action.0` double, `action.1` double, `action.2` double, `action.3` double, `action.4` double, `action.5` double"
+from trialframe.sources.scratch import saved
+
+#: The columns of the input format, and one that files may lack.
+TELEMETRY = {"time": "timestamp", "image_name": "string", **{f"action.{i}": "double" for i in range(6)}}
+OPTIONAL = {"power": "double"}
+#: Files up to which what is known of each is broadcast.
+BROADCAST_FILES = 200_000
 _WIDER = {("int", "bigint"): "bigint", ("int", "double"): "double", ("bigint", "double"): "double", ("float", "double"): "double", ("int", "float"): "double", ("bigint", "float"): "double"}
 
 
@@ -25,15 +32,76 @@ def zone_of(path: str | Column) -> Column:
     return F.regexp_extract(p, r"zone(\d+)", 1).try_cast("long")
 
 
+def file_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(_file, _header): the first line of each file that has one.
+
+    Every split of a file is a task of its own, which ends after its first rows, so of
+    large files little is read. Where the session keeps Spark from dealing splits out
+    singly, tasks go on to the end instead.
+    """
+    cost, most = "spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    before = spark.conf.get(cost)
+    spark.conf.set(cost, most)  # a split fills a task
+    alone = spark.conf.get(cost) == most
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("at"), F.col("value").alias("_header"))
+
+    def first_lines(batches):
+        last = None
+        for batch in batches:
+            new = [i for i, (f, at) in enumerate(zip(batch.column("_file").to_pylist(), batch.column("at").to_pylist())) if at == 0 and f != last and (last := f)]
+            if new:
+                yield batch.take(pa.array(new)).select(["_file", "_header"])
+            if alone and batch.num_rows:
+                return
+
+    try:
+        return saved(lines.mapInArrow(first_lines, "_file string, _header string"), "headers")
+    finally:
+        spark.conf.set(cost, before)
+
+
+def columns_of(header: str) -> list[str]:
+    """The names in a header line, without quotes, blanks around them and a byte order mark."""
+    return [name.strip() for name in next(csv.reader([header.removeprefix("\ufeff")]), [])]
+
+
 def read_telemetry(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Raw telemetry of any number of zones, with experiment and zone of each file's path.
 
-    The columns stand in the order of the schema; files without the last one, power,
-    have nulls there. Files of both kinds are read in one pass.
+    Columns go by the names in each file's header, in whatever order they stand; other
+    columns are left out. A file without power has nulls there, one without any other
+    of the format's columns is an error that names it and what it lacks. Only the
+    different headers come to the driver; all files are then read in one pass, whose
+    places are looked up by file. Files without rows give none; values that cannot be
+    read as their type are null.
     """
-    raw = spark.read.option("header", True).schema(f"{TELEMETRY}, power double").csv(paths)
-    df = raw.withColumnsRenamed({f"action.{i}": f"action_{i}" for i in range(6)}).withColumn("_path", F.col("_metadata.file_path"))
-    return df.withColumns({"experiment": experiment_of("_path"), "zone": zone_of("_path"), "directory": F.regexp_replace("_path", "/[^/]*$", "")}).drop("_path")
+    headers = file_headers(spark, paths)
+    different = [r[0] for r in headers.select("_header").distinct().collect()]
+    wanted = TELEMETRY | OPTIONAL
+    layouts = {}
+    for header in different:
+        names = columns_of(header)
+        if missing := [c for c in TELEMETRY if c not in names]:
+            example = headers.where(F.col("_header") == header).first()[0]
+            raise ValueError(f"{example} has no column {', '.join(missing)}")
+        layouts[header] = [names.index(c) if c in names else None for c in wanted]
+    width = max((len(columns_of(h)) for h in different), default=len(wanted))
+    cells = [f"_cell_{i}" for i in range(width)]
+    raw = spark.read.option("header", True).schema(", ".join(f"{c} string" for c in cells)).csv(paths).withColumn("_file", F.col("_metadata.file_path"))
+    if len(set(map(tuple, layouts.values()))) <= 1:  # the usual case: one layout
+        places = next(iter(layouts.values()), list(range(len(TELEMETRY))) + [None])
+        values = [F.lit(None) if k is None else F.col(cells[k]) for k in places]
+    else:
+        rows = [(header, *places) for header, places in layouts.items()]
+        at = [f"_at_{i}" for i in range(len(wanted))]
+        table = spark.createDataFrame(rows, "_header string, " + ", ".join(f"{c} int" for c in at))
+        by_file = headers.join(F.broadcast(table), "_header").drop("_header")
+        if headers.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
+            by_file = F.broadcast(by_file)
+        raw = raw.join(by_file, "_file")
+        values = [F.get(F.array(*cells), F.col(c)) for c in at]  # null without a place
+    df = raw.select(*[v.try_cast(kind).alias(name.replace(".", "_")) for v, (name, kind) in zip(values, wanted.items())], "_file")
+    return df.withColumns({"experiment": experiment_of("_file"), "zone": zone_of("_file"), "directory": F.regexp_replace("_file", "/[^/]*$", "")}).drop("_file")
 
 
 def union_relaxed(*frames: DataFrame) -> DataFrame:
