@@ -98,6 +98,60 @@ def test_zones_are_written_and_replaced_apart(spark, tmp_path):
     assert sorted((r["zone"], r["v"]) for r in tables.read_columns(spark, path, ["zone", "v"]).collect()) == [(1, 1), (2, 5)]
 
 
+def test_large_zones_have_several_files(spark, tmp_path):
+    path = str(tmp_path / "out")
+    tables.write_zones(spark.range(1000).select(F.lit(1).alias("experiment"), (F.col("id") % 2).alias("zone"), "id"), path, file_rows=100)
+    assert spark.read.parquet(path).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 100
+    assert spark.read.parquet(path).count() == 1000
+
+
+ZONES = "experiment long, zone long, "
+
+
+def test_only_stale_zones_are_computed_and_replaced(spark, tmp_path):
+    path, seen = str(tmp_path / "out"), []
+    source = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 2, "c"), (2, 1, "d"), (3, 1, "gone")], ZONES + "v string")
+    wanted = lambda *rows: spark.createDataFrame(rows, ZONES + "n_images long")
+
+    def run(counts, mark, keep="v <> ''"):
+        def compute(rows):
+            seen.append(sorted((r.experiment, r.zone) for r in rows.select("experiment", "zone").distinct().collect()))
+            return rows.where(keep).withColumn("mark", F.lit(mark))
+
+        stale = tables.refresh_zones(source, wanted(*counts), path, compute)
+        back = sorted((r.v, r.mark) for r in spark.read.parquet(path).collect())
+        return sorted((r.experiment, r.zone) for r in stale.collect()), back, sorted(map(tuple, tables.read_manifest(spark, path).collect()))
+
+    first = [(1, 1, 1), (1, 2, 2), (3, 1, 1)]
+    stale, back, known = run(first, "one")
+    assert stale == seen.pop() == [(1, 1), (1, 2), (3, 1)] and known == first and back == [("a", "one"), ("b", "one"), ("c", "one"), ("gone", "one")]
+    assert run(first, "two") == ([], back, first) and not seen
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "out" / "experiment=1" / "zone=1").iterdir()}
+    second = [(1, 1, 1), (1, 2, 5), (2, 1, 1), (3, 1, 0)]
+    stale, back, known = run(second, "three", "v <> 'gone'")
+    assert stale == seen.pop() == [(1, 2), (2, 1), (3, 1)] and known == second
+    assert back == [("a", "one"), ("b", "three"), ("c", "three"), ("d", "three")]
+    assert files == {p: p.stat().st_mtime_ns for p in (tmp_path / "out" / "experiment=1" / "zone=1").iterdir()}
+    assert len(list((tmp_path / "out" / "_zones").iterdir())) == 1
+
+
+def test_a_lost_refresh_is_done_again(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    source = spark.createDataFrame([(1, 1, 1), (1, 2, 1)], ZONES + "v int")
+    wanted = lambda n: spark.createDataFrame([(1, 1, n), (1, 2, 1)], ZONES + "n_images long")
+    tables.refresh_zones(source, wanted(1), path, lambda rows: rows)
+    write = tables.write_zones
+    monkeypatch.setattr(tables, "write_zones", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        tables.refresh_zones(source, wanted(2), path, lambda rows: rows.withColumn("v", F.lit(2)))
+    monkeypatch.setattr(tables, "write_zones", write)
+    assert [tuple(r) for r in tables.read_manifest(spark, path).collect()] == [(1, 2, 1)]
+    stale = tables.refresh_zones(source, wanted(1), path, lambda rows: rows.withColumn("v", F.lit(3)))  # the count of before, but not sure to be its rows
+    assert [r.zone for r in stale.collect()] == [1] and sorted((r.zone, r.v) for r in spark.read.parquet(path).collect()) == [(1, 3), (2, 1)]
+    with pytest.raises(ValueError, match="not asked for"):
+        tables.refresh_zones(source, wanted(7), path, lambda rows: rows.withColumn("zone", F.lit(9)))
+
+
 def test_scan_processed_by_name(spark, tmp_path):
     for e, z in ((1, 1), (1, 2), (2, 1)):
         spark.range(e * 10 + z, e * 10 + z + 1).toPandas().to_parquet(tmp_path / f"E{e}_Z{z}.parquet")

@@ -47,13 +47,27 @@ def processed_scan(spark, sf_dir):
     return found.select("e", "z", "plant_id", text("time"), "clean_area")
 
 
-@query(f"WITH {DAILY}, n AS (SELECT DISTINCT experiment FROM daily) SELECT CAST(experiment AS INT) AS experiment, plant_id, CAST(time AS VARCHAR) AS time, clean_area FROM daily WHERE zone = 3 AND experiment = 13")
+@query(f"WITH {DAILY} SELECT CAST(experiment AS INT) AS experiment, CAST(zone AS INT) AS zone, plant_id, CAST(time AS VARCHAR) AS time, clean_area + CASE WHEN zone = 3 THEN 1000 ELSE 0 END AS clean_area FROM daily")
 def zone_partitions(spark, sf_dir):
     root = scratch(spark, "zones")
     d = daily(spark, sf_dir)
     tables.write_zones(d, root)
-    tables.write_zones(d.where("zone = 3").withColumn("clean_area", F.col("clean_area")), root)  # replaces those zones only
-    return spark.read.parquet(root).where("zone = 3 and experiment = 13").select("experiment", "plant_id", text("time"), "clean_area")
+    tables.write_zones(d.where("zone = 3").withColumn("clean_area", F.col("clean_area") + 1000), root)  # replaces those zones only
+    return spark.read.parquet(root).select("experiment", "zone", "plant_id", text("time"), "clean_area")
+
+
+@query(f"""WITH {DAILY}, c AS (SELECT experiment, zone, count(*) AS later, count(*) FILTER (zone % 3 <> 0 OR day <= 40) AS first FROM daily GROUP BY 1, 2)
+SELECT CAST(experiment AS INT) AS experiment, CAST(zone AS INT) AS zone, plant_id, CAST(time AS VARCHAR) AS time, clean_area + CASE WHEN first <> later THEN 1000 ELSE 0 END AS clean_area, CASE WHEN first <> later THEN 2 ELSE 1 END AS run, later AS n_images
+FROM daily JOIN c USING (experiment, zone)""")
+def refreshed_zones(spark, sf_dir):
+    root = scratch(spark, "refreshed")
+    d = daily(spark, sf_dir)
+    counts = lambda rows: rows.groupBy(*ZONE).agg(F.count("*").alias("n_images"))
+    first = d.where("zone % 3 <> 0 or day <= 40")  # in some zones, images of later days come in afterwards
+    tables.refresh_zones(first, counts(first), root, lambda rows: rows.withColumn("run", F.lit(1)))
+    tables.refresh_zones(d, counts(d), root, lambda rows: rows.withColumns({"run": F.lit(2), "clean_area": F.col("clean_area") + 1000}))
+    known = tables.read_manifest(spark, root)
+    return spark.read.parquet(root).join(known, list(ZONE)).select(*[F.col(c).cast("int").alias(c) for c in ZONE], "plant_id", text("time"), "clean_area", "run", "n_images")
 
 
 @query(f"""WITH {DAILY}, z AS (SELECT *, CASE WHEN experiment % 2 = 0 THEN 'Europe/Paris' ELSE 'America/Edmonton' END AS timezone FROM daily)

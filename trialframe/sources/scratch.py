@@ -28,7 +28,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def name_files(spark: SparkSession, root: str, pattern: str, target: str, name) -> None:
-    """Moves the files under ``root`` that match ``pattern`` to ``target``, each to ``name(path)``; one a partition, so they are few."""
+    """Moves the files under ``root`` that match ``pattern`` to ``target``, each to ``name(path)``, with a number where that is taken; few a partition."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     fs.mkdirs(path(target))
@@ -36,4 +36,9 @@ def name_files(spark: SparkSession, root: str, pattern: str, target: str, name)
         at = found.getPath()
         to = path(f"{target}/{name(at.toString())}")
         fs.mkdirs(to.getParent())
+        stem, dot, ending = to.toString().rpartition(".")
+        k = 0
+        while fs.exists(to):
+            k += 1
+            to = path(f"{stem}-{k}{dot}{ending}")
         fs.rename(at, to)

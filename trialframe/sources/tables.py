@@ -200,9 +200,82 @@ def image_quality(df: DataFrame, decode, content: str = "content") -> DataFrame:
 
 # -- sinks
 
-def write_zones(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet by experiment and zone; only the partitions that ``df`` has are replaced."""
-    df.repartition("experiment", "zone").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("experiment", "zone").parquet(path)
+#: Rows in one file of a zone, at most, and zones up to which a list of them is broadcast.
+FILE_ROWS, BROADCAST_ZONES = 4 << 20, 200_000
+
+
+def write_zones(df: DataFrame, path: str, mode: str = "overwrite", file_rows: int = FILE_ROWS) -> None:
+    """Parquet by experiment and zone; only the partitions that ``df`` has are replaced.
+
+    Rows are dealt out by zone and then by size: small zones share a task, a large one
+    has several, and no file has more than ``file_rows`` rows.
+    """
+    balanced = df.hint("rebalance", F.col("experiment"), F.col("zone"))
+    balanced.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", file_rows).partitionBy("experiment", "zone").parquet(path)
+
+
+_MANIFEST = "_zones"
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(file system, its path) of a place that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def _generations(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the complete manifests, ascending."""
+    fs, at = _file_system(spark, f"{path}/{_MANIFEST}/*/_SUCCESS")
+    return sorted(int(f.getPath().getParent().getName()) for f in fs.globStatus(at) or [])
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(experiment, zone, n_images): which zones ``refresh_zones`` has written to ``path``, and from how many images."""
+    schema, known = "experiment long, zone long, n_images long", _generations(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/{_MANIFEST}/{known[-1]}") if known else spark.createDataFrame([], schema)
+
+
+def _write_manifest(zones: DataFrame, path: str) -> None:
+    """A new generation of the manifest, beside the old one until it is complete."""
+    spark = zones.sparkSession
+    known = _generations(spark, path)
+    zones.write.mode("overwrite").parquet(f"{path}/{_MANIFEST}/{known[-1] + 1 if known else 0}")
+    for old in known:
+        fs, at = _file_system(spark, f"{path}/{_MANIFEST}/{old}")
+        fs.delete(at, True)
+
+
+def refresh_zones(source: DataFrame, wanted: DataFrame, path: str, compute) -> DataFrame:
+    """Computes the zones of ``wanted`` (experiment, zone, n_images) that ``path`` does not hold from as many images, and replaces them there.
+
+    ``compute`` makes the rows of the stale zones from their rows of ``source``, and sees
+    no others; all other zones' files stay as they are. A zone for which it gives no rows
+    loses its files. Stale zones leave the manifest before anything is replaced and come
+    back after it, so a run that is lost half way is done again by the next. Null counts
+    equal no count. Returns the stale zones; rows of other zones that ``compute`` gives
+    are an error.
+    """
+    spark = source.sparkSession
+    keys = ["experiment", "zone"]
+    before = saved(read_manifest(spark, path), "manifest")
+    stale = saved(stale_zones(wanted.select(*keys, "n_images"), before), "stale")
+    if not stale.limit(1).count():
+        return stale
+    zones = stale.select(*keys).distinct()
+    if zones.limit(BROADCAST_ZONES + 1).count() <= BROADCAST_ZONES:
+        zones = F.broadcast(zones)
+    rows = saved(compute(source.join(zones, keys, "left_semi")), "refreshed")
+    made = saved(rows.select(*keys).distinct(), "made")
+    if other := made.join(zones, keys, "left_anti").limit(1).collect():
+        raise ValueError(f"rows of a zone that was not asked for: {other[0]}")
+    others = before.join(zones, keys, "left_anti")
+    _write_manifest(others, path)
+    write_zones(rows, path)
+    for zone in zones.join(made, keys, "left_anti").toLocalIterator():  # one after another; their folders are known to the driver anyway
+        fs, at = _file_system(spark, f"{path}/experiment={zone[0]}/zone={zone[1]}")
+        fs.delete(at, True)
+    _write_manifest(others.unionByName(stale), path)
+    return stale
 
 
 def write_stats(stats: DataFrame, path: str) -> None:
@@ -214,7 +287,7 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stale_zones(wanted: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("experiment", "zone", "n_images")) -> DataFrame:
-    """Zones to compute: those of ``wanted`` without a row of the same keys, image count included, in ``done``."""
+    """Zones to compute: those of ``wanted`` without a row of the same keys, image count included, in ``done``; ``refresh_zones`` computes them."""
     return wanted.join(done.select(*keys), list(keys), "left_anti")
 
 
