@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from trialframe.functions import special
 from trialframe.functions.draws import exponentials
-from trialframe.operators import attributes, clean, features, labels, light, quality, splits, stats, trajectory
+from trialframe.operators import attributes, clean, features, labels, light, order, quality, splits, stats, trajectory
 from trialframe.operators.common import CHANNELS
+from trialframe.sources import scratch
 
 ONE = datetime(2024, 1, 1, 9)
 
@@ -307,6 +308,34 @@ def test_holm_is_monotone(spark, ps):
     assert adjusted == sorted(adjusted) and all(r["p"] <= r["p_holm"] <= 1 for r in got)
 
 
+@pytest.mark.parametrize("large,ranges", [(1 << 20, 256), (5, 4), (0, 2), (50, 256)])
+def test_quantiles_of_groups_of_any_size(spark, monkeypatch, large, ranges):
+    monkeypatch.setattr(order, "RANGES", ranges)
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", "b", None]), rng.choice([1, None]), rng.choice([rng.gauss(0, 1), float(rng.randrange(3)), None])) for _ in range(700)]
+    rows += [("one", 1, 2.5), ("same", 1, 3.0), ("same", 1, 3.0), ("nan", 2, float("nan")), ("nan", 2, 1.0), ("none", 3, None)]
+    df = frame(spark, rows, "g string, h int, v double").repartition(6)
+    quantiles = {"q0": 0.0, "q1": 0.25, "m": 0.5, "q9": 0.9, "x": 0.975, "q10": 1.0}
+    got = {(r.g, r.h): [r[n] for n in quantiles] for r in order.group_quantiles(df, "v", ("g", "h"), quantiles, large).collect()}
+    want = df.where("v is not null").groupBy("g", "h").agg(F.percentile("v", F.array(*map(F.lit, quantiles.values()))).alias("q")).collect()
+    assert {k: str(v) for k, v in got.items()} == {(r.g, r.h): str(r.q) for r in want}
+    whole = order.group_quantiles(df.where("v is not null and not isnan(v)"), "v", (), quantiles, large).first()
+    assert [whole[n] for n in quantiles] == pytest.approx(np.quantile([v for _, _, v in rows if v is not None and v == v], list(quantiles.values())))
+
+
+def test_a_large_group_is_held_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(order, "LARGE_GROUP", 1000)
+    df = spark.range(20_000).select((F.col("id") % 3 == 0).cast("int").alias("g"), F.xxhash64("id").cast("double").alias("v"), F.lit(5.0).alias("same"))
+    plans = []
+    monkeypatch.setattr(order, "saved", lambda d, name: plans.append((name, d)) or scratch.saved(d, name))
+    found = order.group_quantiles(df, "v", ("g",), {"m": 0.5})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("percentile(_v") == 1 and "LeftAnti" in plan  # of the groups that are not large, of which there are none
+    want = {r.g: r.m for r in df.groupBy("g").agg(F.percentile("v", F.lit(0.5)).alias("m")).collect()}
+    assert {r.g: r.m for r in found.collect()} == want
+    assert {r.g: r.m for r in order.group_quantiles(df, "same", ("g",), {"m": 0.5}).collect()} == {0: 5.0, 1: 5.0}
+
+
 def test_bootstrap_and_permutation(spark):
     rows, df = groups(spark, 3, 40)
     got = {r["g"]: r for r in stats.bootstrap_ci(df, "v", ("g",), "i", 400).collect()}

@@ -45,3 +45,22 @@ def has(df: DataFrame, name: str) -> bool:
 
 def text(time: str) -> Column:
     return F.col(time).cast("string").alias(time)
+
+
+#: Rows of a table with one row a group up to which it is broadcast.
+BROADCAST_GROUPS = 100_000
+
+
+def join_groups(df: DataFrame, groups: DataFrame, keys: tuple[str, ...], how: str = "inner", rows: int | None = None) -> DataFrame:
+    """``df`` with the other columns of ``groups``, which has one row for each of its keys; null keys are equal.
+
+    ``groups`` is broadcast if it has at most ``rows`` rows (by default BROADCAST_GROUPS), which is looked up.
+    """
+    if not keys:
+        return df.crossJoin(F.broadcast(groups))  # one row
+    most = BROADCAST_GROUPS if rows is None else rows
+    other = groups.withColumnsRenamed({k: f"_group_{k}" for k in keys})
+    if groups.limit(most + 1).count() <= most:
+        other = F.broadcast(other)
+    joined = df.join(other, [F.col(k).eqNullSafe(F.col(f"_group_{k}")) for k in keys], how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_group_{k}" for k in keys])

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialframe.operators.common import whole
-from trialframe.operators.order import global_rank
+from trialframe.operators.common import join_groups, whole
+from trialframe.operators.order import global_rank, group_quantiles
 from trialframe.sources.scratch import saved
 
 
@@ -33,29 +33,29 @@ def nearest_rank_outliers(df: DataFrame, value: str = "reward", area: str = "cle
 
 def iqr_filter(df: DataFrame, value: str, keys: tuple[str, ...], multiplier: float = 1.5) -> DataFrame:
     """Rows within the quartiles widened by the multiplier; groups of fewer than four values, and groups without spread, keep [q1, q3] or all rows."""
-    low, high = F.col("_q")[0], F.col("_q")[1]
-    bounds = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"), F.count(value).alias("_n"))
-    spread = high - low
-    bounds = bounds.select(*keys, "_n", (low - multiplier * spread).alias("_a"), (high + multiplier * spread).alias("_b"))
-    return df.join(bounds, list(keys)).where((F.col("_n") < 4) | F.col(value).between(F.col("_a"), F.col("_b"))).drop("_n", "_a", "_b")
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("_n"))
+    bounds = join_groups(group_quantiles(df, value, keys, {"_low": 0.25, "_high": 0.75}), sizes, keys)
+    spread = F.col("_high") - F.col("_low")
+    bounds = bounds.select(*keys, "_n", (F.col("_low") - multiplier * spread).alias("_a"), (F.col("_high") + multiplier * spread).alias("_b"))
+    return join_groups(df, bounds, keys).where((F.col("_n") < 4) | F.col(value).between(F.col("_a"), F.col("_b"))).drop("_n", "_a", "_b")
 
 
 def percentile_bounds(df: DataFrame, value: str, keys: tuple[str, ...], low: float, high: float) -> DataFrame:
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    return q.select(*keys, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+    """(keys, low, high) of each group's values, whatever their number."""
+    return group_quantiles(df, value, keys, {"low": low, "high": high})
 
 
 def trimmed_mean(df: DataFrame, value: str, keys: tuple[str, ...], low: float = 0.1, high: float = 0.99) -> DataFrame:
     """Mean of each group's values within its percentiles, bounds included; the plain mean where none are."""
     bounds = percentile_bounds(df, value, keys, low, high)
     inside = F.when(F.col(value).between(F.col("low"), F.col("high")), F.col(value))
-    return df.join(bounds, list(keys)).groupBy(*keys).agg(F.coalesce(F.avg(inside), F.avg(value)).alias("trimmed_mean"), F.count(inside).alias("n_inside"), F.count(value).alias("n"))
+    return join_groups(df, bounds, keys).groupBy(*keys).agg(F.coalesce(F.avg(inside), F.avg(value)).alias("trimmed_mean"), F.count(inside).alias("n_inside"), F.count(value).alias("n"))
 
 
 def outside_bounds(df: DataFrame, value: str, keys: tuple[str, ...], low: float = 0.025, high: float = 0.975) -> DataFrame:
     """``outlier``: outside the percentiles of the row's own group."""
     bounds = percentile_bounds(df, value, keys, low, high)
-    return df.join(bounds, list(keys)).withColumn("outlier", ~F.col(value).between(F.col("low"), F.col("high"))).drop("low", "high")
+    return join_groups(df, bounds, keys).withColumn("outlier", ~F.col(value).between(F.col("low"), F.col("high"))).drop("low", "high")
 
 
 def not_finite(column: str, array: bool = False) -> Column:
@@ -83,7 +83,9 @@ def minmax_scale(df: DataFrame, value: str, out: str, keys: tuple[str, ...] = ()
 
 
 def group_summary(df: DataFrame, value: str, keys: tuple[str, ...]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.count(value).alias("n"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    """(keys, mean, median, n, std, min, max) of each group; the median is exact whatever the group's size."""
+    sums = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return join_groups(sums, group_quantiles(df, value, keys, {"median": 0.5}), keys, "left").select(*keys, "mean", "median", "n", "std", "min", "max")
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, keys: tuple[str, ...] = ()) -> DataFrame:

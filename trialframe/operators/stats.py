@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 from trialframe.functions.draws import exponentials
 from trialframe.functions.special import p_chi2, p_f, p_normal, p_range, p_t
-from trialframe.operators.order import average_rank, in_ranges
+from trialframe.operators.common import join_groups
+from trialframe.operators.order import average_rank, group_quantiles, in_ranges
 from trialframe.sources.scratch import saved
 
 
@@ -102,8 +103,8 @@ def alexander_govern(df: DataFrame, value: str, group: str) -> DataFrame:
 def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     """One-way ANOVA of the distances from the group's median."""
     rows = df.where(F.col(value).isNotNull())
-    medians = rows.groupBy(group).agg(F.median(value).alias("_m"))
-    return anova(rows.join(medians, group).withColumn("_d", F.abs(F.col(value) - F.col("_m"))), "_d", group)
+    medians = group_quantiles(rows, value, (group,), {"_m": 0.5})
+    return anova(join_groups(rows, medians, (group,)).withColumn("_d", F.abs(F.col(value) - F.col("_m"))), "_d", group)
 
 
 def rank_sums(df: DataFrame, value: str, group: str, within: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -289,8 +290,6 @@ DRAWN, HELD_BYTES = 1 << 20, 64 << 20
 GROUP_ROWS = 1 << 20
 #: Replicates in one row on their way to where a group's sums meet.
 PIECE = 256
-#: Rows of a table of large groups up to which it is broadcast.
-BROADCAST_GROUPS = 100_000
 
 
 def bootstrap_ci(df: DataFrame, value: str, keys: tuple[str, ...], row_id: str, replicates: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
@@ -334,11 +333,7 @@ def _with_parts(rows: DataFrame, large: DataFrame, keys: tuple[str, ...]) -> Dat
     """``_parts``: how many tasks share the row's group."""
     if not large.limit(1).count():
         return rows.withColumn("_parts", F.lit(1))
-    other = large.withColumnsRenamed({k: f"_large_{k}" for k in keys})
-    if large.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
-        other = F.broadcast(other)
-    same = [F.col(k).eqNullSafe(F.col(f"_large_{k}")) for k in keys]
-    return rows.join(other, same, "left").select(*rows.columns, F.coalesce("_parts", F.lit(1)).alias("_parts"))
+    return join_groups(rows, large, keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
 
 
 def _interval(w: np.ndarray, wx: np.ndarray, n: int, s: float, level: float) -> tuple[int, float, float, float]:
