@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trialframe.functions import special
 from trialframe.functions.draws import exponentials
-from trialframe.operators import attributes, clean, features, labels, light, order, quality, splits, stats, trajectory
+from trialframe.operators import attributes, clean, features, labels, light, order, quality, running, splits, stats, trajectory
 from trialframe.operators.common import CHANNELS
 from trialframe.sources import scratch
 
@@ -21,6 +21,52 @@ def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
+# -- running values
+
+
+def series(seed, n=400):
+    """(key, time, x, y) rows, one a key and time; one key has most of them."""
+    r = random.Random(seed)
+    rows = {(r.choice([None, 1, 2, 3, 3, 3, 3, 3, 3]), ONE + timedelta(minutes=r.randrange(2000))): (r.choice([None, r.random()]), r.choice([None, None, 5.0, r.random()])) for _ in range(n)}
+    return [(k, t, x, y) for (k, t), (x, y) in rows.items()]
+
+
+@pytest.mark.parametrize("seed,parts", [(1, 1), (2, 7), (3, 60), (4, 200)])
+def test_runs_hand_on_what_they_end_with(spark, seed, parts):
+    rows = series(seed)
+    df = frame(spark, rows, "k int, t timestamp, x double, y double").repartition(5)
+    got = {(r.k, r.t): (r.x, r.y) for r in running.fill_along(df, ("k",), ("t",), ("x", "y"), parts).collect()}
+    made = {"a": ("x", 0.5), "b": ("x", 0.9), "c": ("y", 0.7)}
+    traces = {(r.k, r.t): (r.a, r.b, r.c) for r in running.decayed_sums(df, ("k",), "t", made, parts).collect()}
+    assert len(got) == len(traces) == len(rows)
+    for key in {k for k, *_ in rows}:
+        last, past = [None, None], []
+        for _, t, x, y in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            for name, (value, beta) in made.items():
+                column = [p["xy".index(value)] for p in past]
+                weights = [(beta**i, v) for i, v in enumerate(reversed(column)) if v is not None]
+                want = sum(w * v for w, v in weights) / sum(w for w, _ in weights) if column and column[-1] is not None else 0.0
+                assert traces[key, t]["abc".index(name)] == pytest.approx(want)
+            past.append((x, y))
+            last = [v if v is not None else old for v, old in zip((x, y), last)]
+            assert got[key, t] == tuple(last)
+
+
+def test_large_keys_are_cut(spark, monkeypatch):
+    rows = series(9)
+    df = frame(spark, rows, "k int, t timestamp, x double, y double")
+    right = df.where("y is not null").select("k", F.col("t").alias("u"), "y")
+    left = df.where("x is not null").select("k", "t", "x").unionAll(df.limit(1).select("k", "t", "x"))
+    join = lambda: sorted(map(str, attributes.asof_join(left, right, ("k",), "t", "u", ("y",), tolerance_micros=3_600_000_000).collect()))
+    fill = lambda: sorted(map(str, clean.forward_fill(df, ("x", "y"), ("k",), "t").collect()))
+    plain = join(), fill()
+    cut, fill_along = [], running.fill_along
+    monkeypatch.setattr(running, "LARGE_KEY", 50)
+    for module in (attributes, clean):
+        monkeypatch.setattr(module, "fill_along", lambda *a: cut.append(a[1]) or fill_along(*a, parts=40))
+    assert (join(), fill()) == plain and cut == [("k",), ("k",)]
+
+
 # -- light
 
 ACTION = "action_0 double, action_1 double, action_2 double, action_3 double, action_4 double, action_5 double"

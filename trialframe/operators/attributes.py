@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.operators.common import DAY_MICROS, ZONE, micros, whole
+from trialframe.operators.running import fill_along, has_large_key
 
 #: Agents of an experiment's zones; zone None stands for all other zones.
 AGENTS = {
@@ -60,9 +61,10 @@ def wall_time(df: DataFrame, keys: tuple[str, ...] = ZONE, time: str = "time", h
 def asof_join(left: DataFrame, right: DataFrame, by: tuple[str, ...], left_on: str, right_on: str, values: tuple[str, ...], order: tuple[str, ...] = (), tolerance_micros: int | None = None) -> DataFrame:
     """Each left row with the last right row of its key at or before its time.
 
-    Both sides go through one shuffle on ``by`` and one sort; no rows are paired.
-    ``order`` breaks ties among right rows (the last wins). Beyond the tolerance,
-    if given, the values are null.
+    Both sides go through one shuffle on ``by`` and one sort; no rows are paired. A
+    key of very many rows is cut into ranges of time, each of which is brought the
+    last right row of those before. ``order`` breaks ties among right rows (the last
+    wins). Beyond the tolerance, if given, the values are null.
     """
     columns = left.columns
     side = F.struct(F.col(right_on).alias("_at"), *[F.col(v) for v in values])
@@ -70,8 +72,13 @@ def asof_join(left: DataFrame, right: DataFrame, by: tuple[str, ...], left_on: s
     r = right.select(*by, F.col(right_on).alias("_t"), F.lit(0).alias("_side"), F.struct(*[F.col(o) for o in order]).alias("_o"), side.alias("_r"), F.lit(None).cast(left.select(F.struct(*columns)).schema[0].dataType).alias("_l"))
     tie = F.lit(None).cast(r.schema["_o"].dataType)
     lft = left.select(*by, F.col(left_on).cast(r.schema["_t"].dataType).alias("_t"), F.lit(1).alias("_side"), tie.alias("_o"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), F.struct(*columns).alias("_l"))
-    w = Window.partitionBy(*by).orderBy("_t", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    found = r.unionByName(lft).withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    both = r.unionByName(lft)
+    if has_large_key(left.select(*by).unionAll(right.select(*by)), by):
+        both = both.withColumn("_h", F.xxhash64("_t", "_l"))  # so that a time's left rows may be cut as well
+        found = fill_along(both, by, ("_t", "_side", "_o", "_h"), ("_r",)).withColumnRenamed("_r", "_m").where("_side = 1")
+    else:
+        w = Window.partitionBy(*by).orderBy("_t", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)
+        found = both.withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
     keep = F.lit(True) if tolerance_micros is None else micros(F.col("_t")) - micros(F.col("_m._at")) <= tolerance_micros
     return found.select("_l.*", F.when(keep, F.col("_m._at")).alias(f"{right_on}_asof"), *[F.when(keep, F.col(f"_m.{v}")).alias(v) for v in values])
 

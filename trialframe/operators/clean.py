@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.operators.common import PLANT, ZONE, over, seconds_of_day, up_to, whole
+from trialframe.operators.running import fill_along, has_large_key
 
 #: Local times (hour, minute) at which each cadence takes a row; no hour means every hour.
 CADENCES = {"daily": ((9,), 30), "hourly": (None, 30), "4hourly": ((9, 13, 17), 30), "4hourly_full": ((9, 13, 17), 0), "daily_start": ((9,), 0)}
@@ -49,6 +50,9 @@ def regularize(df: DataFrame, keys: tuple[str, ...] = ZONE, time: str = "time",
 
 
 def forward_fill(df: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = ZONE, time: str = "time") -> DataFrame:
+    """Each column's last value of the key that is not null, up to the row; a key of very many rows is filled in ranges of time."""
+    if has_large_key(df, keys):
+        return fill_along(df, keys, (time,), columns)
     w = up_to(keys, time)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 

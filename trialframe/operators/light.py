@@ -5,12 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trialframe.operators.common import CHANNELS, COEFFICIENTS, ZONE, whole
+from trialframe.operators.running import decayed_sums
 
 #: The three lamps' settings of the six channels.
 BASIS = {
@@ -59,32 +58,13 @@ def action_traces(df: DataFrame, columns: tuple[str, ...] = TRACED, betas: tuple
 
     The mean at a row weighs a value k rows back by beta**k over the sum of the
     weights; nulls keep their place but carry no weight. Rows that repeat a zone's
-    time (its plants) share one trace. Each zone's distinct times pass through a
-    task in order, which holds two numbers for each trace and nothing of the past.
+    time (its plants) share one trace. Distinct times are walked in ranges of zone and
+    time of about equal size, each by a task that holds two numbers for each trace and
+    starts from what the ranges before it hand on; a zone may have any number of them.
     """
     made = trace_names(columns, betas)
     points = df.select(*keys, time, *columns).dropDuplicates([*keys, time])
-    places = [columns.index(c) for c, _ in made.values()]
-    fade = np.array([b for _, b in made.values()])
-
-    def walk(batches):
-        held, last = None, None
-        for batch in batches:
-            table = batch.select([*keys, time]).to_pydict()
-            zones = list(zip(*(table[k] for k in keys)))
-            x = np.column_stack([batch.column(c).cast("float64").to_numpy(zero_copy_only=False) for c in columns])[:, places]
-            there = ~np.column_stack([batch.column(c).is_null().to_numpy(zero_copy_only=False) for c in columns])[:, places]
-            out = np.zeros(x.shape)
-            for i, zone in enumerate(zones):
-                if zone != held:
-                    held, n, d, last = zone, np.zeros(len(fade)), np.zeros(len(fade)), np.zeros(len(fade), bool)
-                out[i] = np.where(last, n / np.where(d > 0, d, 1), 0.0)
-                n, d, last = n * fade + np.where(there[i], x[i], 0.0), d * fade + there[i], there[i]
-            yield pa.record_batch([*(batch.column(c) for c in (*keys, time)), *(pa.array(out[:, k]) for k in range(len(made)))], [*keys, time, *made])
-
-    schema = T.StructType([*(points.schema[c] for c in (*keys, time)), *(T.StructField(n, T.DoubleType()) for n in made)])
-    traced = points.repartition(*keys).sortWithinPartitions(*keys, time).mapInArrow(walk, schema)
-    return df.join(traced, [*keys, time])
+    return df.join(decayed_sums(points, keys, time, made), [*keys, time])
 
 
 def step_coefficients(df: DataFrame, steps: int = 13, keys: tuple[str, ...] = ZONE, columns: tuple[str, ...] = COEFFICIENTS, time: str = "time") -> DataFrame:
