@@ -438,9 +438,30 @@ def test_what_resampling_passes_on_grows_with_tasks_and_not_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_rank_sums_take_numbers_of_rows(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), rng.randrange(4)) for _ in range(300)]
+    df = frame(spark, rows, "g string, v int")
+    sums, ties = stats.rank_sums(df, "v", "g")
+    weighted, weighted_ties = stats.rank_sums(df.groupBy("g", "v").agg(F.count("*").alias("w")), "v", "g", weight="w")
+    assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, weighted.collect())) and tuple(ties.first()) == tuple(weighted_ties.first())
+    pair = {(r.g_a, r.g_b): r.mw_u for r in stats.mann_whitney_pairs(df, "v", "g").collect()}
+    for a, b in ("ab", "ac", "bc"):
+        assert pair[a, b] == sum((x > y) + 0.5 * (x == y) for g, x in rows if g == a for h, y in rows if h == b)
+    plan = stats.mann_whitney_pairs(df, "v", "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan
+
+
+def test_studentised_range_at_known_points():
+    for q, k, df, p in ((3.877676, 3, 10, 0.05), (4.327, 4, 10, 0.05), (3.633, 4, 1e6, 0.05), (1e-9, 4, 70, 1.0)):  # upper 5 % points of the tables
+        assert special.studentised_range_upper(q, k, df)[0] == pytest.approx(p, abs=1e-4)
+
+
 def test_huber_resists_an_outlier(spark):
     df = frame(spark, [(float(i), 2.0 * i + 1 + (500.0 if i == 7 else 0.01 * (-1) ** i)) for i in range(40)], "x double, y double")
     assert stats.huber_fit(df, ("x",), "y").coefficients[0] == pytest.approx(2, abs=0.05)
+    flat = stats.huber_fit(df, ("x",), "y", intercept=False)
+    assert flat.intercept == 0 and flat.coefficients[0] == pytest.approx(2.03, abs=0.05)
 
 
 def test_channels_are_named():

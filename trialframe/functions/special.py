@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_lgamma = np.vectorize(__import__("math").lgamma, otypes=[float])
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
 def _fraction(step, n: int, shape) -> np.ndarray:
@@ -85,11 +87,14 @@ def normal_two_sided(z) -> np.ndarray:
     return chi2_upper(np.asarray(z, float) ** 2, np.ones_like(np.asarray(z, float)))
 
 
-_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(64)
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(128)
+
+
+_erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
 def _phi(x):
-    return 0.5 * normal_two_sided(np.abs(x)) * np.where(x < 0, 1, -1) + np.where(x < 0, 0, 1)
+    return 0.5 * _erfc(-np.asarray(x) / math.sqrt(2)).astype(float)
 
 
 def studentised_range_upper(q, k, df) -> np.ndarray:
@@ -101,11 +106,11 @@ def studentised_range_upper(q, k, df) -> np.ndarray:
         if not (np.isfinite(q_) and np.isfinite(v) and v > 0):
             out.append(np.nan)
             continue
-        width = 6 / np.sqrt(2 * v)
-        low, high = max(1e-6, 1 - width), 1 + width
+        width = 8 / np.sqrt(2 * v)
+        low, high = max(1e-9, 1 - width), 1 + 1.5 * width
         s = (high - low) / 2 * _NODES + (high + low) / 2
         log_s = np.log(2) + v / 2 * np.log(v / 2) - _lgamma(v / 2) + (v - 1) * np.log(s) - v * s * s / 2
-        inner = np.array([8 * np.sum(_WEIGHTS * k_ * density * np.clip(_phi(z) - _phi(z - q_ * x), 0, 1) ** (k_ - 1)) for x in s])
+        inner = 8 * k_ * (np.clip(_phi(z) - _phi(z - q_ * s[:, None]), 0, 1) ** (k_ - 1)) @ (_WEIGHTS * density)
         out.append(1 - (high - low) / 2 * np.sum(_WEIGHTS * np.exp(log_s) * inner))
     return np.clip(np.array(out), 0, 1)
 

@@ -107,14 +107,16 @@ def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     return anova(join_groups(rows, medians, (group,)).withColumn("_d", F.abs(F.col(value) - F.col("_m"))), "_d", group)
 
 
-def rank_sums(df: DataFrame, value: str, group: str, within: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def rank_sums(df: DataFrame, value: str, group: str, within: tuple[str, ...] = (), weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(within, group, n, rank_sum) with average ranks for ties, and (within, total, ties): the tie term is the sum of t^3 - t.
 
-    Distinct values are counted first; only these counts are put in order.
+    Distinct values are counted first, unless ``weight`` already says how many rows each
+    stands for; only these counts are put in order. Both results are written.
     """
     by = list(within)
-    counted = saved(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v"), group).agg(F.count("*").alias("_c")), "counted")
-    values = in_ranges(counted.groupBy(*by, "_v").agg(F.sum("_c").alias("_t")), "_v")
+    number = F.count("*") if weight is None else F.sum(weight)
+    counted = saved(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v"), group).agg(number.alias("_c")), "counted")
+    values = saved(in_ranges(counted.groupBy(*by, "_v").agg(F.sum("_c").alias("_t")), "_v"), "values")
     parts = values.groupBy(*by, "_part").agg(F.sum("_t").alias("_s"))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
     parts = parts.select(*by, "_part", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
@@ -122,7 +124,7 @@ def rank_sums(df: DataFrame, value: str, group: str, within: tuple[str, ...] = (
     ranked = values.join(parts, [*by, "_part"]).withColumn("_rank", F.col("_before") + own + (F.col("_t") + 1) / 2)
     sums = counted.join(ranked.select(*by, "_v", "_rank"), [*by, "_v"]).groupBy(*by, group).agg(F.sum("_c").alias("n"), F.sum(F.col("_c") * F.col("_rank")).alias("rank_sum"))
     ties = values.groupBy(*by).agg(F.sum("_t").alias("total"), F.sum(F.pow("_t", 3) - F.col("_t")).alias("ties"))
-    return sums, ties
+    return saved(sums, "rank-sums"), saved(ties, "ties")
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -181,6 +183,7 @@ def two_way(df: DataFrame, value: str, a: str, b: str) -> DataFrame:
 def games_howell(df: DataFrame, value: str, group: str) -> DataFrame:
     """(group_a, group_b, diff, se, t, dof, p): pairs without equal variances, p from the studentised range."""
     stats = moments(df, value, group).where("n > 1")
+    stats = saved(stats, "moments")
     pairs = group_pairs(stats, group).crossJoin(F.broadcast(stats.agg(F.count("*").alias("k"))))
     va, vb = F.col("var_a") / F.col("n_a"), F.col("var_b") / F.col("n_b")
     dof = F.try_divide((va + vb) * (va + vb), va * va / (F.col("n_a") - 1) + vb * vb / (F.col("n_b") - 1))
@@ -190,9 +193,10 @@ def games_howell(df: DataFrame, value: str, group: str) -> DataFrame:
 
 def posthoc(df: DataFrame, value: str, group: str) -> DataFrame:
     """Pair statistics of four post-hoc tests with their p-values: Tukey (q), Tamhane T2 (t), Dunn (z, also by Holm), Mann-Whitney (u, also by Bonferroni)."""
-    stats = moments(df, value, group).where("n > 1")
+    counted = saved(df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_rows")), "counted")
+    stats = saved(moments(df, value, group).where("n > 1"), "moments")
     pooled = stats.agg((F.sum(F.col("var") * (F.col("n") - 1)) / F.sum(F.col("n") - 1)).alias("mse"), F.sum(F.col("n") - 1).alias("dfw"), F.count("*").alias("k"))
-    sums, ties = rank_sums(df, value, group)
+    sums, ties = rank_sums(counted, value, group, weight="_rows")
     full = stats.join(sums.select(group, "rank_sum"), group)
     pairs = group_pairs(full, group).crossJoin(F.broadcast(pooled)).crossJoin(F.broadcast(ties))
     inv = 1 / F.col("n_a") + 1 / F.col("n_b")
@@ -209,7 +213,7 @@ def posthoc(df: DataFrame, value: str, group: str) -> DataFrame:
     m = F.col("k") * (F.col("k") - 1) / 2
     out = out.withColumn("tukey_p", p_range(F.col("tukey_q"), F.col("k"), F.col("dfw")))
     out = out.withColumn("tamhane_p", 1 - F.pow(1 - p_t(F.col("tamhane_t"), F.col("tamhane_dof")), m))
-    out = out.withColumn("dunn_p", p_normal(F.col("dunn_z"))).join(mann_whitney_pairs(df, value, group), [f"{group}_a", f"{group}_b"]).withColumn("mw_p_bonferroni", F.least(F.lit(1.0), F.col("mw_p") * m))
+    out = out.withColumn("dunn_p", p_normal(F.col("dunn_z"))).join(_mann_whitney_of_counts(counted, value, group), [f"{group}_a", f"{group}_b"]).withColumn("mw_p_bonferroni", F.least(F.lit(1.0), F.col("mw_p") * m))
     names = [f"{group}_a", f"{group}_b", "tukey_q", "tukey_p", "tamhane_t", "tamhane_dof", "tamhane_p", "dunn_z", "dunn_p", "mw_u", "mw_p", "mw_p_bonferroni"]
     return holm(out.select(*names), "dunn_p", "dunn_p_holm", tie=(f"{group}_a", f"{group}_b"))
 
@@ -217,15 +221,19 @@ def posthoc(df: DataFrame, value: str, group: str) -> DataFrame:
 def mann_whitney_pairs(df: DataFrame, value: str, group: str) -> DataFrame:
     """(group_a, group_b, mw_u, mw_p) of all pairs: u of the first group, two-sided normal p with ties and continuity correction.
 
-    A row is ranked once for each pair that its group is in, so there are as many
-    copies of the distinct values as groups less one.
+    A distinct value is ranked once for each pair that its group is in, with the number
+    of rows that have it, so there are as many copies of the distinct values as groups
+    less one, however often a value occurs.
     """
-    rows = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
+    return _mann_whitney_of_counts(df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_rows")), value, group)
+
+
+def _mann_whitney_of_counts(rows: DataFrame, value: str, group: str) -> DataFrame:
+    """``mann_whitney_pairs`` of (group, value, _rows)."""
     a, b = f"{group}_a", f"{group}_b"
     pairs = group_pairs(rows.select(group).distinct(), group)
-    counted = rows.join(F.broadcast(pairs), (F.col(group) == F.col(a)) | (F.col(group) == F.col(b)))  # as many pairs as groups have
-    repeated = counted.withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    sums, ties = rank_sums(repeated, value, group, (a, b))
+    either = (F.col(group) == F.col(a)) | (F.col(group) == F.col(b))
+    sums, ties = rank_sums(rows.join(F.broadcast(pairs), either), value, group, (a, b), "_rows")  # as many pairs as groups have
     own = lambda c, k: F.max(F.when(F.col(group) == F.col(k), F.col(c)))
     one = sums.groupBy(a, b).agg(own("n", a).alias("_na"), own("n", b).alias("_nb"), own("rank_sum", a).alias("_ra")).join(ties, [a, b])
     n, na, nb = F.col("total").cast("double"), F.col("_na"), F.col("_nb")

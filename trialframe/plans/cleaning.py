@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from trialframe.operators import clean
@@ -65,6 +67,23 @@ def subsample_cadence(spark, sf_dir):
     return clean.subsample(telemetry(spark, sf_dir), "4hourly").select("event_id", text("time"))
 
 
+_HOURS = "extract(hour FROM time) IN (9, 13, 17)"
+_CADENCES = {
+    "daily": "extract(minute FROM time) = 30 AND extract(hour FROM time) = 9",
+    "daily_start": "extract(minute FROM time) = 0 AND extract(hour FROM time) = 9",
+    "hourly": "extract(minute FROM time) = 30",
+    "4hourly": f"extract(minute FROM time) = 30 AND {_HOURS}",
+    "4hourly_full": f"extract(minute FROM time) = 0 AND {_HOURS}",
+}
+
+
+@query(f"WITH {TELEMETRY}, t AS (SELECT event_id, date_trunc('minute', time) AS time FROM telemetry) {' UNION ALL '.join(f'SELECT {chr(39)}{name}{chr(39)} AS cadence, event_id FROM t WHERE {where}' for name, where in _CADENCES.items())}")
+def all_cadences(spark, sf_dir):
+    t = clean.truncate_minute(telemetry(spark, sf_dir))
+    kept = [clean.subsample(t, name).select(F.lit(name).alias("cadence"), "event_id") for name in clean.CADENCES]
+    return reduce(lambda a, b: a.unionAll(b), kept)
+
+
 @query(f"WITH {GRID} SELECT {ZT}, {s6('lead(power) OVER (PARTITION BY experiment, zone ORDER BY time)')} AS power FROM filled")
 def lead_action(spark, sf_dir):
     return clean.lead_columns(grid(spark, sf_dir), ("power",)).select(*ZONE, text("time"), r6("power").alias("power"))

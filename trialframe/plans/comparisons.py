@@ -41,6 +41,27 @@ def sql_f(f: str, d1: str, d2: str) -> str:
     return f"(1 - {front} * {_integral(f'power(@s, {d1} - 1) * power(1 + {d1} * @s * @s / {d2}, -({d1} + {d2}) / 2.0)', f'sqrt({f})')})"
 
 
+def sql_range(k: str) -> str:
+    """Tables for the studentised range of ``k`` means: ``curve`` has the probabilities that k normal values lie within 0, 1, 2, ... hundredths of each other.
+
+    Sums over equal steps: what is summed is smooth and vanishes at both ends.
+    """
+    half_way = "exp(-power((i - 800.5) / 100.0, 2) / 2)"
+    return f"""cells AS (SELECT i, exp(-power((i - 800) / 100.0, 2) / 2) / sqrt(2 * pi()) AS f, (exp(-power((i - 801) / 100.0, 2) / 2) + 4 * {half_way} + exp(-power((i - 800) / 100.0, 2) / 2)) / 600 / sqrt(2 * pi()) AS mass FROM range(1601) t(i)),
+normal AS (SELECT i, f, sum(mass) OVER (ORDER BY i) AS below FROM cells),
+spread AS (SELECT j, sum({k} * a.f * power(greatest(0, a.below - coalesce(b.below, 0)), {k} - 1)) / 100 AS r FROM normal a CROSS JOIN range(1, 1601) t(j) LEFT JOIN normal b ON b.i = a.i - j GROUP BY j),
+curve AS (SELECT list_concat([CAST(0 AS DOUBLE)], list(r ORDER BY j)) AS c FROM spread)"""
+
+
+def sql_p_range(q: str, dof: str) -> str:
+    """The upper tail: the density of the root of a mean square, times ``curve`` between whose points a cubic goes through four."""
+    density = f"exp({dof} / 2 * ln({dof}) + ({dof} - 1) * ln(s) - {dof} * s * s / 2 - lgamma({dof} / 2) - ({dof} / 2 - 1) * ln(2))"
+    at = lambda k: f"coalesce(c[CAST(b AS BIGINT) + {k + 1}], 1)"
+    cubic = f"({at(1)} * u * (u - 2) * (u - 3) / 2 - {at(2)} * u * (u - 1) * (u - 3) / 2 + {at(3)} * u * (u - 1) * (u - 2) / 6 - {at(0)} * (u - 1) * (u - 2) * (u - 3) / 6)"
+    points = f"SELECT s, c, b, 100 * {q} * s - b AS u FROM (SELECT s, c, greatest(floor(100 * {q} * s) - 1, 0) AS b FROM (SELECT j / 200.0 AS s FROM range(1, 1201) n(j)), curve)"
+    return f"(SELECT 1 - sum({density} / 200 * {cubic}) FROM ({points}))"
+
+
 MOMENTS = f"{PLANTS}, g AS (SELECT agent, CAST(count(*) AS DOUBLE) AS n, avg(total) AS mean, var_samp(total) AS var FROM plants GROUP BY 1)"
 _DOF = "power(a.var / a.n + b.var / b.n, 2) / (power(a.var / a.n, 2) / (a.n - 1) + power(b.var / b.n, 2) / (b.n - 1))"
 
@@ -109,9 +130,17 @@ def nested_ss(spark, sf_dir):
     return n.select(*[r6(c).alias(c) for c in ("ss_outer", "ss_inner", "ss_resid", "ss_total", "eta2_outer", "eta2_inner")])
 
 
-@query()
+#: With a factor of two levels, the model of both main effects is one slope within the other factor's levels.
+_TWO_WAY = f"""{PLANTS}, x AS (SELECT agent, experiment % 2 AS half, total AS y FROM plants), m AS (SELECT *, avg(y) OVER (PARTITION BY agent) AS ya, avg(half) OVER (PARTITION BY agent) AS ha, avg(y) OVER (PARTITION BY half) AS yh, avg(y) OVER (PARTITION BY agent, half) AS yc, avg(y) OVER () AS yt FROM x),
+q AS (SELECT sum(power(y - ya, 2)) AS ra, sum(power(y - yh, 2)) AS rh, sum(power(y - yc, 2)) AS rc, sum(power(y - yt, 2)) AS st, power(sum((y - ya) * (half - ha)), 2) / sum(power(half - ha, 2)) AS gain, CAST(count(*) AS DOUBLE) AS n, CAST(count(DISTINCT agent) AS DOUBLE) AS na, CAST(count(DISTINCT (agent, half)) AS DOUBLE) AS nc FROM m),
+terms AS (SELECT unnest(['agent', 'half', 'agent:half', 'residual']) AS term, unnest([rh - (ra - gain), gain, ra - gain - rc, rc]) AS ss, unnest([na - 1, 1, nc - na - 1, n - nc]) AS dof, st, rc, n - nc AS rest FROM q),
+tested AS (SELECT *, CASE WHEN term <> 'residual' THEN (ss / dof) / (rc / rest) END AS f FROM terms)"""
+
+
+@query(f"WITH {_TWO_WAY} SELECT term, {s6('ss')} AS ss, dof, {s6('f')} AS f, {s6('ss / st')} AS eta2, CASE WHEN f IS NOT NULL THEN {s6(sql_f('f', 'dof', 'rest'))} END AS p FROM tested")
 def two_way(spark, sf_dir):
-    return stats.two_way(plants(spark, sf_dir).withColumn("half", F.col("experiment") % 2), "total", "agent", "half")
+    t = stats.two_way(plants(spark, sf_dir).withColumn("half", F.col("experiment") % 2), "total", "agent", "half")
+    return t.select("term", r6("ss").alias("ss"), "dof", *[r6(c).alias(c) for c in ("f", "eta2", "p")])
 
 
 @query(f"""WITH {PLANTS}, r AS (SELECT total, energy, rank() OVER (ORDER BY total) + (count(*) OVER (PARTITION BY total) - 1) / 2.0 AS a, rank() OVER (ORDER BY energy) + (count(*) OVER (PARTITION BY energy) - 1) / 2.0 AS b FROM plants),
@@ -134,10 +163,11 @@ def residuals(spark, sf_dir):
     return stats.residuals(plants(spark, sf_dir), "initial", "final", ("agent",)).select("plant_id", r6("residual").alias("residual"))
 
 
-@query(f"WITH {MOMENTS} SELECT a.agent AS agent_a, b.agent AS agent_b, {s6('a.mean - b.mean')} AS diff, {s6('sqrt((a.var / a.n + b.var / b.n) / 2)')} AS se, {s6('abs(a.mean - b.mean) / sqrt(a.var / a.n + b.var / b.n)')} AS t, {s6(_DOF)} AS dof FROM g a JOIN g b ON a.agent < b.agent")
+@query(f"""WITH {MOMENTS}, {sql_range('(SELECT count(*) FROM g)')}, w AS (SELECT a.agent AS agent_a, b.agent AS agent_b, a.mean - b.mean AS diff, sqrt((a.var / a.n + b.var / b.n) / 2) AS se, abs(a.mean - b.mean) / sqrt(a.var / a.n + b.var / b.n) AS t, {_DOF} AS dof FROM g a JOIN g b ON a.agent < b.agent)
+SELECT agent_a, agent_b, {', '.join(f'{s6(c)} AS {c}' for c in ('diff', 'se', 't', 'dof'))}, {s6(sql_p_range('(t * sqrt(2))', 'dof'))} AS p FROM w""")
 def games_howell(spark, sf_dir):
     g = stats.games_howell(plants(spark, sf_dir), "total", "agent")
-    return g.select("agent_a", "agent_b", *[r6(c).alias(c) for c in ("diff", "se", "t", "dof")])
+    return g.select("agent_a", "agent_b", *[r6(c).alias(c) for c in ("diff", "se", "t", "dof", "p")])
 
 
 POSTHOC = f"""{RANKS}, g AS (SELECT agent, CAST(count(*) AS DOUBLE) AS n, avg(total) AS mean, var_samp(total) AS var FROM plants GROUP BY 1), p AS (SELECT sum(var * (n - 1)) / sum(n - 1) AS mse FROM g), x AS (SELECT g.*, rs.rs FROM g JOIN rs USING (agent)),
@@ -153,9 +183,9 @@ pairs AS (SELECT *, 1 - power(1 - tp, m) AS tamhane_p, max(least(1.0, dunn_p * (
 _POSTHOC = ("tukey_q", "tamhane_t", "tamhane_dof", "tamhane_p", "dunn_z", "dunn_p", "dunn_p_holm", "mw_u", "mw_p", "mw_p_bonferroni")
 
 
-@query(f"WITH {POSTHOC} SELECT agent_a, agent_b, {', '.join(f'{s6(c)} AS {c}' for c in _POSTHOC)} FROM pairs")
+@query(f"""WITH {POSTHOC}, {sql_range('(SELECT count(*) FROM g)')}, left_over AS (SELECT sum(n - 1) AS dfw FROM g) SELECT agent_a, agent_b, {', '.join(f'{s6(c)} AS {c}' for c in _POSTHOC)}, {s6(sql_p_range('tukey_q', 'dfw'))} AS tukey_p FROM pairs CROSS JOIN left_over""")
 def posthoc(spark, sf_dir):
-    return stats.posthoc(plants(spark, sf_dir), "total", "agent").select("agent_a", "agent_b", *[r6(c).alias(c) for c in _POSTHOC])
+    return stats.posthoc(plants(spark, sf_dir), "total", "agent").select("agent_a", "agent_b", *[r6(c).alias(c) for c in (*_POSTHOC, "tukey_p")])
 
 
 #: Means of all agents under each of the replicates' weights, and the interval that holds 95 of 100.
@@ -192,6 +222,13 @@ def huber(spark, sf_dir):
     return model.transform(p.select("plant_id", array_to_vector(F.array("initial")).alias("features"))).select("plant_id", "prediction")
 
 
+@query()
+def huber_origin(spark, sf_dir):
+    p = plants(spark, sf_dir)
+    model = stats.huber_fit(p, ("initial",), "final", intercept=False)
+    return model.transform(p.select("plant_id", array_to_vector(F.array("initial")).alias("features"))).select("plant_id", "prediction")
+
+
 def _chosen(alpha: float) -> str:
     return f"""{RANKS}, mm AS (SELECT agent, avg(total) AS m, count(*) AS n FROM plants GROUP BY 1), jb AS (SELECT agent, any_value(mm.n) AS n, avg(power(total - m, 2)) AS m2, avg(power(total - m, 3)) AS m3, avg(power(total - m, 4)) AS m4 FROM plants JOIN mm USING (agent) GROUP BY 1),
 np AS (SELECT min(exp(-n / 6.0 * (power(m3 / power(m2, 1.5), 2) + power(m4 / (m2 * m2) - 3, 2) / 4) / 2)) AS p FROM jb),

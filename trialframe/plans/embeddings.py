@@ -75,6 +75,15 @@ def pca_project(spark, sf_dir):
     return features.pca_project(e, "embedding", features.fit_pca(e, "embedding", 10)).select("vec_id", "label", "pca")
 
 
+@query(f"WITH {LONG}, s AS (SELECT dim, avg(CAST(x AS DOUBLE)) AS m FROM long GROUP BY 1) SELECT vec_id, {s6('sum(power(x - m, 2))')} AS squares, CAST(count(*) AS INT) AS width FROM long JOIN s USING (dim) GROUP BY 1")
+def pca_whole(spark, sf_dir):
+    """With as many components as dimensions, the projection keeps every row's distance from the mean."""
+    e = embeddings(spark, sf_dir)
+    width = e.select(F.size("embedding")).first()[0]
+    found = features.pca_project(e, "embedding", features.fit_pca(e, "embedding", width))
+    return found.select("vec_id", r6(F.aggregate("pca", F.lit(0.0), lambda s, x: s + x * x)).alias("squares"), F.size("pca").alias("width"))
+
+
 @query()
 def pca_variance(spark, sf_dir):
     e = embeddings(spark, sf_dir)

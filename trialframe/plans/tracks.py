@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trialframe.operators import attributes, clean, quality, trajectory
 from trialframe.operators.common import PLANT, ZONE, text, up_to, whole
 from trialframe.plans.registry import query
-from trialframe.plans.views import DAILY, LOGGED, PLANTS, REWARDED, W, WZ, daily, logged, plants, r6, rewarded, s6
+from trialframe.plans.views import DAILY, LOGGED, PLANTS, REWARDED, W, WZ, daily, logged, plants, r6, rewarded, s6, table
 
 KEY = "experiment, zone, plant_id, CAST(time AS VARCHAR) AS time"
 TRUNC = f"{REWARDED}, truncs AS (SELECT *, coalesce(epoch_us(lead(time) OVER w) - epoch_us(time) <> 86400000000, false) AS truncated FROM rewarded WINDOW w AS {W})"
@@ -53,6 +53,18 @@ def truncated_step(spark, sf_dir):
     return trajectory.truncated_step(d, "daily", last_day=60).select(*key(), "truncated")
 
 
+_EXPECTED = {"hourly": "3600000000", "4hourly": "CASE WHEN extract(hour FROM time) = 17 THEN 57600000000 ELSE 14400000000 END"}
+
+
+@query("WITH h AS (SELECT DISTINCT user_id AS plant_id, date_trunc('hour', ts) AS time FROM events), " + ", ".join(f"""t{cadence} AS (SELECT '{cadence}' AS cadence, plant_id, time, (lead(time, 2) OVER w IS NULL AND extract(day FROM time) <> 1) OR coalesce(epoch_us(lead(time) OVER w) - epoch_us(time) <> {apart}, false) AS truncated
+FROM h WHERE {"true" if cadence == "hourly" else "extract(hour FROM time) IN (9, 13, 17)"} WINDOW w AS (PARTITION BY plant_id ORDER BY time))""" for cadence, apart in _EXPECTED.items()) + " SELECT cadence, plant_id, CAST(time AS VARCHAR) AS time, truncated FROM (FROM thourly UNION ALL FROM t4hourly)")
+def truncated_cadences(spark, sf_dir):
+    hours = table(spark, sf_dir, "events").select(F.col("user_id").alias("plant_id"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("time")).distinct()
+    hours = hours.withColumns({"terminal": F.dayofmonth("time") == 1, "wall_time": F.lit(0.0)})
+    found = [trajectory.truncated_step(hours.where(where), cadence, ("plant_id",)).select(F.lit(cadence).alias("cadence"), "plant_id", text("time"), "truncated") for cadence, where in (("hourly", "true"), ("4hourly", "hour(time) in (9, 13, 17)"))]
+    return found[0].unionAll(found[1])
+
+
 @query(f"WITH {DAILY} SELECT {KEY}, {s6(f'(epoch_us(time) - epoch_us(CAST(CAST(min(time) OVER {WZ} AS DATE) AS TIMESTAMP)) - 34200000000) / 86400000000.0')} AS wall_time FROM daily")
 def wall_time(spark, sf_dir):
     return attributes.wall_time(daily(spark, sf_dir)).select(*key(), r6("wall_time").alias("wall_time"))
