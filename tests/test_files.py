@@ -214,3 +214,18 @@ def test_models_and_reports(spark, tmp_path):
 def test_union_widens_and_fills(spark):
     out = tables.union_relaxed(spark.createDataFrame([(1, "a")], "x int, s string"), spark.createDataFrame([(2.5,)], "x double"))
     assert dict(out.dtypes) == {"x": "double", "s": "string"} and out.count() == 2
+
+
+def test_scratch_is_deleted(spark):
+    import os
+
+    from trialframe.sources import scratch
+
+    before = list(scratch._made)
+    scratch._made.clear()
+    scratch.saved(spark.range(3), "x").count()
+    at = scratch._made[0].removeprefix("file://")
+    assert os.path.exists(at)
+    scratch.forget_all(spark)
+    assert not os.path.exists(at) and not scratch._made
+    scratch._made += before

@@ -382,6 +382,36 @@ def test_a_large_group_is_held_in_ranges(spark, monkeypatch):
     assert {r.g: r.m for r in order.group_quantiles(df, "same", ("g",), {"m": 0.5}).collect()} == {0: 5.0, 1: 5.0}
 
 
+def clouds(seed, n=600, width=8, spread=0.25):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, width))
+    x = centres[np.minimum(rng.integers(0, 20, n), 11)] + spread * rng.normal(size=(n, width))  # one cloud has many of the rows
+    return [(i, v.tolist()) for i, v in enumerate(x)] + [(n, [0.0] * width), (n + 1, x[0].tolist()), (n + 2, None)]
+
+
+@pytest.mark.parametrize("cells,probes", [(1, 1), (16, 1), (40, 3)])
+def test_index_finds_what_all_pairs_find(spark, monkeypatch, cells, probes):
+    monkeypatch.setattr(features, "QUERY_NUMBERS", 100)
+    df = frame(spark, clouds(cells), "k long, v array<double>")
+    queries = df.where("k % 20 = 0 or k > 598")
+    want = sorted(map(tuple, features.neighbours(df, queries, "k", "v", 10).collect()))
+    index = features.build_index(df, "k", "v", cells)
+    assert index.rows.count() == 602 and sorted(map(tuple, features.indexed_neighbours(index, queries, "k", "v", 10, probes).collect())) == want
+    assert features.indexed_neighbours(index, queries.limit(0), "k", "v", 10).count() == 0
+    assert sorted(map(tuple, features.indexed_neighbours(index, queries, "k", "v", 900, probes).collect())) == sorted(map(tuple, features.neighbours(df, queries, "k", "v", 900).collect()))
+
+
+def test_index_without_a_second_look_has_its_recall(spark):
+    df = frame(spark, clouds(7, 2000), "k long, v array<double>")
+    queries = df.where("k % 20 = 0")
+    want = {(r["query"], r["neighbour"]) for r in features.neighbours(df, queries, "k", "v").collect()}
+    index = features.build_index(df, "k", "v", 32)
+    found = {(r["query"], r["neighbour"]) for r in features.indexed_neighbours(index, queries, "k", "v", probes=4, exact=False).collect()}
+    assert len(found & want) >= 0.9 * len(want)
+    empty = features.build_index(df.limit(0), "k", "v")
+    assert features.indexed_neighbours(empty, queries, "k", "v").count() == 0
+
+
 def test_bootstrap_and_permutation(spark):
     rows, df = groups(spark, 3, 40)
     got = {r["g"]: r for r in stats.bootstrap_ci(df, "v", ("g",), "i", 400).collect()}

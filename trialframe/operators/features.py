@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -12,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trialframe.sources.scratch import saved
+
 _NUMERIC = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
 
@@ -116,33 +121,174 @@ def pca_variance(df: DataFrame, models) -> DataFrame:
 QUERY_BLOCK, QUERY_NUMBERS = 1024, 1 << 22
 
 
-def neighbours(df: DataFrame, queries: DataFrame, key: str, array: str, k: int = 15) -> DataFrame:
-    """(query, rank, neighbour, similarity): the ``k`` most cosine-similar rows of each query, ties to the smaller key.
-
-    A stated set of queries meets all rows in products of blocks. Queries are
-    broadcast in batches of bounded size, and each task keeps its own best before
-    anything is shuffled.
-    """
+def _unit_rows(df: DataFrame, key: str, array: str) -> DataFrame:
+    """(key, v) with vectors of length one; those of length zero stay, rows without a vector go."""
     def unit(a):
         norm = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
         return F.transform(a, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
 
-    def rows(d):
-        return d.where(F.col(array).isNotNull()).select(F.col(key).cast("long").alias("key"), unit(F.col(array).cast("array<double>")).alias("v"))
+    return df.where(F.col(array).isNotNull()).select(F.col(key).cast("long").alias("key"), unit(F.col(array).cast("array<double>")).alias("v"))
+
 
-    q, c = rows(queries), rows(df)
-    counts = q.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("width")).first()
+def _query_batches(queries: DataFrame):
+    """(keys, matrix) of bounded parts of the queries, one after another."""
+    counts = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("width")).first()
     parts = max(1, -(-counts["n"] * counts["width"] // QUERY_NUMBERS))
-    found = None
     for part in range(parts):
-        table = q.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).toArrow().combine_chunks()
-        held = df.sparkSession.sparkContext.broadcast((table["key"].to_numpy(), np.array(table["v"].to_pylist(), float).reshape(-1, counts["width"])))
-        one = c.mapInArrow(_nearest(held, k), "query long, neighbour long, similarity double")
-        found = one if found is None else found.unionAll(one)
+        table = queries.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).toArrow().combine_chunks()
+        yield table["key"].to_numpy(), np.array(table["v"].to_pylist(), float).reshape(-1, counts["width"])
+
+
+_FOUND = "query long, neighbour long, similarity double"
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def neighbours(df: DataFrame, queries: DataFrame, key: str, array: str, k: int = 15) -> DataFrame:
+    """(query, rank, neighbour, similarity): the ``k`` most cosine-similar rows of each query, ties to the smaller key.
+
+    A stated set of queries meets all rows in products of blocks. Queries are
+    broadcast in batches of bounded size; each task keeps its own best before anything
+    is shuffled, and what a batch finds is written before the next one is made.
+    """
+    c, found = _unit_rows(df, key, array), None
+    for keys, q in _query_batches(_unit_rows(queries, key, array)):
+        held = df.sparkSession.sparkContext.broadcast((keys, q))
+        one = saved(c.mapInArrow(_nearest(held, k), _FOUND), "nearest")
+        held.destroy()
+        found = one if found is None else found.unionAll(one)
+    return _best(found, k)
+
+
+@dataclass
+class CellIndex:
+    """Rows by the cell of the nearest of some centres (unit vectors); ``radius`` is the widest angle in each cell. The last cell is for zero vectors."""
+
+    rows: DataFrame
+    centres: np.ndarray
+    radius: np.ndarray
+
+
+#: Rows that the centres of an index are fitted on, at most about.
+FIT_ROWS = 50_000
+#: What angles and similarities may be off by.
+SLACK = 1e-5
+
+
+def build_index(df: DataFrame, key: str, array: str, cells: int = 64, fit_rows: int = FIT_ROWS, seed: int = 0) -> CellIndex:
+    """An index over all rows, written by cell; its centres are k-means of about ``fit_rows`` rows taken by the hash of their key."""
+    rows = _unit_rows(df, key, array)
+    n = rows.count()
+    share = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.lit(int(min(1.0, fit_rows / max(n, 1)) * (1 << 20)) + 1)
+    whole = rows.where(F.exists("v", lambda x: x != 0))
+    sample = whole.where(share).select(array_to_vector("v").alias("v"))
+    if not sample.limit(1).count():
+        sample = whole.limit(1).select(array_to_vector("v").alias("v"))
+    if not sample.limit(1).count():
+        centres = np.zeros((0, 1))
+    else:
+        made = KMeans(k=max(2, cells), seed=seed, featuresCol="v", maxIter=10).fit(sample).clusterCenters()
+        centres = np.array(made) / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-300)
+        centres = centres[np.linalg.norm(centres, axis=1) > 0.5]
+    held = df.sparkSession.sparkContext.broadcast(centres)
+
+    def place(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1)
+            near = x @ held.value.T if len(held.value) else np.zeros((len(x), 1))
+            cell = np.where((x != 0).any(axis=1), near.argmax(axis=1), len(held.value)).astype(np.int32)
+            angle = np.arccos(np.clip(near.max(axis=1), -1, 1))
+            yield pa.record_batch([*batch.columns, pa.array(cell), pa.array(angle)], ["key", "v", "cell", "angle"])
+
+    placed = rows.mapInArrow(place, "key long, v array<double>, cell int, angle double")
+    placed = saved(placed.hint("rebalance", F.col("cell")).sortWithinPartitions("cell"), "index-rows")  # large cells are split
+    radius = np.full(len(centres) + 1, -1.0)
+    for r in placed.groupBy("cell").agg(F.max("angle").alias("a")).collect():  # a row a cell
+        radius[r["cell"]] = r["a"]
+    return CellIndex(placed, centres, radius)
+
+
+def indexed_neighbours(index: CellIndex, queries: DataFrame, key: str, array: str, k: int = 15, probes: int = 4, exact: bool = True) -> DataFrame:
+    """The same rows as ``neighbours``, from the cells where they can be.
+
+    A query first looks into its ``probes`` nearest cells. No row of another cell is
+    nearer to it than its angle to the centre less the cell's radius; ``exact`` looks
+    into all cells that this does not rule out once ``k`` rows are known, otherwise
+    what was found is returned. A query only meets rows of its cells, and cells that no
+    query looks into are skipped. Scores are those of the vectors themselves.
+    """
+    found = None
+    cells = len(index.radius)
+    spark = index.rows.sparkSession
+    there = index.radius >= 0
+
+    def look(keys, q, wanted):
+        held = spark.sparkContext.broadcast((keys, q, wanted))
+        open_ = np.flatnonzero(wanted.any(axis=0)).tolist()
+        one = saved(index.rows.where(F.col("cell").isin(open_)).select("key", "v", "cell").mapInArrow(_nearest_in_cells(held, k), _FOUND), "nearest")
+        held.destroy()
+        return one
+
+    for keys, q in _query_batches(_unit_rows(queries, key, array)):
+        near = q @ index.centres.T if len(index.centres) and len(q) else np.zeros((len(q), len(index.centres)))
+        wanted = np.zeros((len(q), cells), bool)
+        wanted[:, -1] = True
+        filled = np.where(there[None, :-1], near, -np.inf)
+        order = np.argsort(-filled, axis=1)[:, :probes]
+        np.put_along_axis(wanted[:, :-1], order, True, axis=1)
+        wanted[~(q != 0).any(axis=1)] = True  # a zero vector is equally far from everything
+        wanted &= there
+        one = look(keys, q, wanted)
+        if exact:
+            known = dict.fromkeys(keys.tolist(), -np.inf)
+            known |= {r["query"]: r["s"] for r in _best(one, k).groupBy("query").agg(F.min("similarity").alias("s"), F.count("*").alias("n")).where(F.col("n") >= k).collect()}  # a number for each query of the batch
+            least = np.array([known[x] for x in keys.tolist()])
+            nearest = np.arccos(np.clip(near, -1, 1)) - index.radius[None, :-1] - SLACK
+            more = wanted.copy()
+            more[:, :-1] = (np.cos(np.clip(nearest, 0, np.pi)) >= least[:, None] - SLACK) & there[None, :-1] & ~wanted[:, :-1]
+            more[:, -1] = False
+            if more.any():
+                one = one.unionAll(look(keys, q, more))
+        found = one if found is None else found.unionAll(one)
+    return _best(found, k)
+
+
+def _nearest_in_cells(held, k: int):
+    def search(batches):
+        ids, q, wanted = held.value
+        best_s, best_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        for batch in batches:
+            cells, keys = np.asarray(batch.column("cell")), np.asarray(batch.column("key"))
+            x = np.asarray(batch.column("v").flatten()).reshape(len(keys), -1)
+            for cell in np.unique(cells).tolist():
+                mine, asking = np.flatnonzero(cells == cell), np.flatnonzero(wanted[:, cell])
+                for at in range(0, len(asking), QUERY_BLOCK):
+                    block = asking[at : at + QUERY_BLOCK]
+                    _keep_best(best_s, best_i, block, ids, keys[mine], q[block] @ x[mine].T, k)
+        yield _found(ids, best_s, best_i)
+
+    return search
+
+
+def _keep_best(best_s, best_i, block, ids, own, score, k: int) -> None:
+    """Merges the scores of queries ``block`` against rows ``own`` into their best so far."""
+    score = np.round(score, 6)
+    score[ids[block][:, None] == own[None]] = -np.inf
+    s, i = np.hstack((best_s[block], score)), np.hstack((best_i[block], np.broadcast_to(own, score.shape)))
+    order = np.lexsort((i, -s))[:, :k]
+    best_s[block], best_i[block] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+
+
+def _found(ids, best_s, best_i) -> pa.RecordBatch:
+    there = np.isfinite(best_s)
+    return pa.record_batch([pa.array(np.repeat(ids, there.sum(axis=1))), pa.array(best_i[there]), pa.array(best_s[there])], ["query", "neighbour", "similarity"])
+
+
 def _nearest(held, k: int):
     def search(batches):
         ids, q = held.value
@@ -151,14 +297,9 @@ def _nearest(held, k: int):
             own = np.asarray(batch.column(0))
             x = np.asarray(batch.column(1).flatten()).reshape(len(own), -1)
             for at in range(0, len(ids), QUERY_BLOCK):
-                block = slice(at, at + QUERY_BLOCK)
-                score = np.round(q[block] @ x.T, 6)
-                score[ids[block, None] == own[None]] = -np.inf
-                s, i = np.hstack((best_s[block], score)), np.hstack((best_i[block], np.broadcast_to(own, score.shape)))
-                order = np.lexsort((i, -s))[:, :k]
-                best_s[block], best_i[block] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        there = np.isfinite(best_s)
-        yield pa.record_batch([pa.array(np.repeat(ids, there.sum(axis=1))), pa.array(best_i[there]), pa.array(best_s[there])], ["query", "neighbour", "similarity"])
+                block = np.arange(at, min(len(ids), at + QUERY_BLOCK))
+                _keep_best(best_s, best_i, block, ids, own, q[block] @ x.T, k)
+        yield _found(ids, best_s, best_i)
 
     return search
 

@@ -93,13 +93,24 @@ def pca_variance(spark, sf_dir):
 _COS = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])))"
 
 
-@query(f"""WITH p AS (SELECT q.vec_id AS query, c.vec_id AS neighbour, round({_COS}, 6) AS similarity FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, neighbour) AS rank FROM p) SELECT query, neighbour, {s6('similarity')} AS similarity, rank FROM r WHERE rank <= 15""")
+_NEIGHBOURS = f"""WITH p AS (SELECT q.vec_id AS query, c.vec_id AS neighbour, round({_COS}, 6) AS similarity FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, neighbour) AS rank FROM p) SELECT query, neighbour, {s6('similarity')} AS similarity, rank FROM r WHERE rank <= 15"""
+
+
+@query(_NEIGHBOURS)
 def embedding_neighbours(spark, sf_dir):
     e = embeddings(spark, sf_dir)
     return features.neighbours(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding").select("query", "neighbour", r6("similarity").alias("similarity"), "rank")
 
 
+@query(_NEIGHBOURS)
+def indexed_neighbours(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    index = features.build_index(e, "vec_id", "embedding")
+    found = features.indexed_neighbours(index, e.where("vec_id % 20 = 0"), "vec_id", "embedding")
+    return found.select("query", "neighbour", r6("similarity").alias("similarity"), "rank")
+
+
 @query(f"""WITH r AS (SELECT vec_id, dense_rank() OVER (ORDER BY label) - 1 AS k, vec_id AS t FROM embeddings)
 SELECT vec_id, {s6('k / max(k) OVER ()')} AS label_scalar, {s6('(t - min(t) OVER ()) / (max(t) OVER () - min(t) OVER ())')} AS time_scalar FROM r""")
 def colour_scalars(spark, sf_dir):

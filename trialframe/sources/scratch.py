@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the one that ``spark.checkpoint.dir`` names; a session on one machine may do without that setting."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -17,7 +20,17 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         at = f"file://{tempfile.mkdtemp(prefix='trialframe-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Deletes everything that ``scratch`` and ``saved`` have named; for the end of a job, as results read some of it until they are written."""
+    for path in _made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    _made.clear()
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
