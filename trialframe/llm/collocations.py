@@ -28,8 +28,8 @@ from trialframe.llm.words import SLICE_BYTES, hash_words, mix, text_column
 CHUNK_WORDS = 1_000_000
 #: Suffixes that a bucket is made for.
 BUCKET_WORDS = 1_000_000
-#: A word that is at least one in so many is heavy; two heavy leading words do not route a suffix alone.
-HEAVY = 256
+#: A word is heavy if its suffixes alone would fill a bucket and it is at least one word in so many; two heavy leading words do not route a suffix alone.
+HEAVY = 1 << 16
 #: Counted phrases up to which look-ups are broadcast.
 BROADCAST_PHRASES = 200_000
 #: Bytes of suffixes in one row on their way to a bucket, at most.
@@ -249,12 +249,14 @@ def phrase_counts(docs: DataFrame, words: DataFrame, width: int = 3, least: int
     ``words`` are the counts of single words (lang, word, f). Tasks pass each
     different suffix of a chunk on once, with its number; suffixes that two heavy
     words lead are spread over buckets by all their words, and the parts of such a
-    pair's count are added afterwards. There are fewer than ``heavy`` heavy words.
+    pair's count are added afterwards. At most ``heavy`` words are heavy, so a pair that
+    is not spread has no more suffixes than a bucket is made for, or one in ``heavy``.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     total = words.agg(F.sum("f")).first()[0] or 0
-    hot = {(r.lang, r.word) for r in words.where(F.col("f") * heavy >= F.lit(total)).select("lang", "word").collect()} if total else set()
+    common = words.where(F.col("f") >= max(bucket_words, -(-total // heavy), 1)).select("lang", "word").collect()  # at most ``heavy`` rows
+    hot = spark.sparkContext.broadcast({lang: pa.array([r.word for r in common if r.lang == lang], pa.large_string()) for lang in {r.lang for r in common}})
     buckets = max(1, -(-total // bucket_words))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +266,7 @@ def phrase_counts(docs: DataFrame, words: DataFrame, width: int = 3, least: int
             rows, n = _distinct([langs[:done], *_suffixes(c, new, done, width)], [len(kinds), *[len(names) + 1] * width])
             pairs = rows[:, 2] > 0
             rows, n = rows[pairs], n[pairs]
-            bucket = _buckets(rows, kinds, names, hot, buckets)[0]
+            bucket = _buckets(rows, kinds, names, hot.value, buckets)
             order = np.argsort(bucket, kind="stable")
             rows, n, bucket = rows[order], n[order], bucket[order]
             cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(0, np.int64)
@@ -289,20 +291,20 @@ def phrase_counts(docs: DataFrame, words: DataFrame, width: int = 3, least: int
         for batch in lightly(batches):
             for i, bucket in enumerate(batch.column("bucket").to_pylist()):
                 if held and bucket != now:
-                    yield from _sorted(held, width, least, hot)
+                    yield from _sorted(held, width, least, hot.value)
                     held = []
                 now = bucket
                 held.append((batch.column("langs")[i].values, batch.column("words")[i].values, np.frombuffer(batch.column("suffixes")[i].as_py(), np.int32).reshape(-1, width + 2)))
         if held:
-            yield from _sorted(held, width, least, hot)
+            yield from _sorted(held, width, least, hot.value)
 
     routed = _texts(docs, text, lang).mapInArrow(route, "bucket long, langs array<string>, words array<string>, suffixes binary")
     counted = routed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, "lang string, phrase string, words int, a long")
     return counted.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
-def _buckets(rows: np.ndarray, kinds: pa.Array, names: pa.Array, hot: set, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, whether two heavy words lead it) of each suffix."""
+def _buckets(rows: np.ndarray, kinds: pa.Array, names: pa.Array, hot: dict[str, pa.Array], buckets: int) -> np.ndarray:
+    """The bucket of each suffix."""
     own_lang, own_word = hash_words(kinds), np.concatenate((np.zeros(1, np.uint64), hash_words(names)))
     split = _led_by_two(rows, kinds, names, hot)
     with np.errstate(over="ignore"):
@@ -310,21 +312,17 @@ def _buckets(rows: np.ndarray, kinds: pa.Array, names: pa.Array, hot: set, bucke
         h = mix(h * _STEP + own_word[rows[:, 2]])
         for k in range(3, rows.shape[1]):
             h = np.where(split, mix(h * _STEP + own_word[rows[:, k]]), h)
-    return (h % np.uint64(buckets)).astype(np.int64), split
+    return (h % np.uint64(buckets)).astype(np.int64)
 
 
-def _led_by_two(rows: np.ndarray, kinds: pa.Array, names: pa.Array, hot: set) -> np.ndarray:
+def _led_by_two(rows: np.ndarray, kinds: pa.Array, names: pa.Array, hot: dict[str, pa.Array]) -> np.ndarray:
     """Whether the suffix's two leading words are heavy in its language."""
-    table = np.zeros((len(kinds), len(names) + 1), bool)
-    if hot:
-        place = {w: i for i, w in enumerate(names.to_pylist(), 1)} if len(names) < 4 * len(hot) else None
-        for i, kind in enumerate(kinds.to_pylist()):
-            for lang, word in hot:
-                if lang == kind:
-                    at = place.get(word, 0) if place is not None else pc.index(names, pa.scalar(word, names.type)).as_py() + 1
-                    if at > 0:
-                        table[i, at] = True
-    return table[rows[:, 0], rows[:, 1]] & table[rows[:, 0], rows[:, 2]]
+    split = np.zeros(len(rows), bool)
+    for i, kind in enumerate(kinds.to_pylist()):
+        if kind in hot:
+            heavy = np.concatenate(([False], pc.is_in(names, value_set=hot[kind]).to_numpy(zero_copy_only=False)))
+            split |= (rows[:, 0] == i) & heavy[rows[:, 1]] & heavy[rows[:, 2]]
+    return split
 
 
 def _routed(out: list[tuple]) -> pa.RecordBatch:
