@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from trialframe.llm import ngram_join as nj
 from trialframe.llm.components import components
@@ -129,3 +130,13 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, w long")).collect()}
     assert got == {**{i: 2 for i in (2, 3, 5, 9)}, 20: 20, 21: 20, **{100 + i: 100 for i in range(41)}}
     assert components(spark.createDataFrame([], "u long, w long")).count() == 0
+
+
+def test_components_that_are_not_reached_are_an_error(spark, monkeypatch):
+    from trialframe.llm import components
+
+    path = spark.range(1, 400).select((F.col("id") * 7919 % 400).alias("u"), ((F.col("id") + 1) * 7919 % 400).alias("w"))
+    assert components.components(path).select("component").distinct().count() == 1
+    monkeypatch.setattr(components, "MAX_ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        components.components(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trialframe.llm.store import forget, save
 
-#: Enough for any graph that fits on a cluster: the number of rounds grows with the logarithm of the vertices.
+#: Enough for any graph that fits on a cluster: the number of rounds grows with the logarithm of the vertices. Beyond it is an error.
 MAX_ROUNDS = 60
 
 
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round is written to the shared folder, which cuts the lineage and lets
     a lost executor cost one round only. Self links and repeated links do no harm;
-    no edges give no rows.
+    no edges give no rows. Where the rounds do not reach a fixed point, an error is
+    raised, as what they have is not the components yet.
     """
     now = save(edges.select("u", "w").where("u <> w").distinct(), "edges")
     seen = None
@@ -43,5 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"no components after {MAX_ROUNDS} rounds")
     stars = now.select(F.col("u").alias("id"), F.col("w").alias("component"))
     return stars.unionAll(stars.select(F.col("component").alias("id"), "component").distinct())

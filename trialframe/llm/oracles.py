@@ -116,12 +116,12 @@ kept AS (SELECT * FROM scored s WHERE NOT EXISTS (SELECT 1 FROM candidates c WHE
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank FROM kept)
 SELECT r.lang, rank, g AS phrase, a, l, r, n, score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000"""
 
-_MASK = "CAST(18446744073709551616 AS UHUGEINT)"
+_MASK = "CAST(18446744073709551615 AS UHUGEINT)"
 
 
 def _mixed(x: str) -> str:
     """The 64-bit finalizer of the permutation's rounds, of an unsigned expression."""
-    times = lambda a, c: f"CAST((CAST({a} AS UHUGEINT) * CAST({c} AS UHUGEINT)) % {_MASK} AS UBIGINT)"
+    times = lambda a, c: f"CAST((CAST({a} AS UHUGEINT) * CAST({c} AS UHUGEINT)) & {_MASK} AS UBIGINT)"
     a = f"list_transform([{x}], lambda x: {times('xor(x, x >> 30)', 0xBF58476D1CE4E5B9)})"
     b = f"list_transform({a}, lambda x: {times('xor(x, x >> 27)', 0x94D049BB133111EB)})"
     return f"list_transform({b}, lambda x: xor(x, x >> 31))[1]"
@@ -130,7 +130,7 @@ def _mixed(x: str) -> str:
 def _round(k: int, key: int) -> str:
     """Left and right half after a round; lb and rb are their bits."""
     changed, other, bits = (("l", "r", "lb"), ("r", "l", "rb"))[k % 2]
-    mixed = _mixed(f"CAST((CAST({other} AS UHUGEINT) + CAST({key} AS UHUGEINT)) % {_MASK} AS UBIGINT)")
+    mixed = _mixed(f"CAST((CAST({other} AS UHUGEINT) + CAST({key} AS UHUGEINT)) & {_MASK} AS UBIGINT)")
     now = f"xor({changed}, {mixed} & ((CAST(1 AS UBIGINT) << {bits}) - 1)) AS {changed}"
     return f"{now}, {other}" if changed == "l" else f"{other}, {now}"
 
