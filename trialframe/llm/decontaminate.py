@@ -285,7 +285,9 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     and in which ``percent`` of the words match; the longest of a document and an
     item is given, the earlier one on a tie. Items of fewer words than ``short``
     (without words, as the default is), null and empty texts overlap with nothing.
-    Repeated document rows give repeated rows; null ids are kept as they are.
+    Repeated document rows give repeated rows; null ids are kept as they are. Very
+    long texts are read whole; other columns of either table take no part, whatever
+    their names; an empty table on either side gives no rows.
     """
     bounded_batches(docs.sparkSession)
     sized, blocks = _sized(benchmark, item_id, item_text)

@@ -143,7 +143,10 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
     The base counts all places of ``phrases``; first_word and last_word are the
     smallest and largest start among them, null without any. ``labels`` adds what
     the index finds. ``score`` is the largest share of a found template, at least
-    a half where a base phrase stands, else 0. Null and empty texts have no words.
+    a half where a base phrase stands, else 0. Null and empty texts have no words,
+    very long ones are scanned whole. Every row is scanned for itself, so repeated rows
+    and null ids give rows of their own; labels that tie are all given. Other columns
+    take no part, whatever their names, and no rows give none.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Index(templates, phrases))

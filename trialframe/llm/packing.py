@@ -158,7 +158,13 @@ def best_fit_packing(pieces: DataFrame, capacity: int = 2048, length: str = "len
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 2048) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all token pieces of ``docs``."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all token pieces of ``docs``.
+
+    A null or empty text is a document of the end mark alone, a longer one than a
+    sequence is cut into pieces. Repeated rows and rows of null id are packed each for
+    itself; pieces of equal length are interchangeable. Other columns take no part,
+    whatever their names, and no rows give none.
+    """
     from trialframe.llm.tokens import token_pieces
 
     return best_fit_packing(save(token_pieces(docs, tokenizer_file, capacity=capacity), "pieces"), capacity)

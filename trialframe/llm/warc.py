@@ -105,7 +105,8 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     largest page id are responses and the others revisit them. A null html is an
     empty payload; a null page id is smaller than all others; rows that repeat the
     largest id are all responses. No rows give no archive; other columns take no
-    part.
+    part. A payload is compressed and written in one piece, so a very long one has to
+    fit in a task several times.
     """
     bounded_batches(pages.sparkSession)
     base = pages.select(F.col(page_id).cast("long").alias("p"), F.col(url).cast("string").alias("u"), F.encode(F.coalesce(html, F.lit("")), "utf-8").alias("b"))
@@ -162,7 +163,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload) of all records.
 
     ``payload_bytes`` and ``payload_digest`` are those of the full payload, also
-    where a revisit leaves it out (its ``payload`` is then null). A missing chunk, a
+    where a revisit leaves it out (its ``payload`` is then null). ``url`` is as it
+    stands in the record: percent-encoded, and empty for a null one. A missing chunk, a
     member cut short, a wrong length or a wrong digest is an error.
     """
     bounded_batches(archives.sparkSession)
