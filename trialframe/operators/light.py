@@ -58,9 +58,9 @@ def action_traces(df: DataFrame, columns: tuple[str, ...] = TRACED, betas: tuple
 
     The mean at a row weighs a value k rows back by beta**k over the sum of the
     weights; nulls keep their place but carry no weight. Rows that repeat a zone's
-    time (its plants) share one trace. Distinct times are walked in ranges of zone and
-    time of about equal size, each by a task that holds two numbers for each trace and
-    starts from what the ranges before it hand on; a zone may have any number of them.
+    time (its plants) share one trace. Distinct times are walked in order by tasks that
+    hold two numbers for each trace; a zone may have any number of them, as many points
+    are walked in ranges of zone and time that hand on what they end with.
     """
     made = trace_names(columns, betas)
     points = df.select(*keys, time, *columns).dropDuplicates([*keys, time])

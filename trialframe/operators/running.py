@@ -55,12 +55,17 @@ def decayed_sums(points: DataFrame, keys: tuple[str, ...], time: str, made: dict
 
     ``points`` has a row for each key and time. A run hands on the decayed sums of
     its last key, and over how many rows: these rows, one a run, come to the driver,
-    which combines them, as sums of sums decay like values.
+    which combines them, as sums of sums decay like values. Where there are no more
+    points than one key may have in a task, they are walked by key and nothing is cut.
     """
     columns = tuple(dict.fromkeys(c for c, _ in made.values()))
     places, fade = [columns.index(c) for c, _ in made.values()], np.array([b for _, b in made.values()])
-    runs = in_runs(points, keys, (time,), parts)
-    walked = runs.repartition("_run").sortWithinPartitions("_run", *keys, time)
+    still = saved(points, "points")
+    cut = parts is not None or still.count() > LARGE_KEY
+    if cut:
+        walked = in_runs(still, keys, (time,), parts).repartition("_run").sortWithinPartitions("_run", *keys, time)
+    else:
+        walked = still.repartition(*keys).sortWithinPartitions(*keys, time).withColumn("_run", F.lit(0))
 
     def rows(batches):
         """(batch, run, key, values and which of them there are) of every row in order."""
@@ -94,7 +99,7 @@ def decayed_sums(points: DataFrame, keys: tuple[str, ...], time: str, made: dict
     vector = T.ArrayType(T.DoubleType())
     state = T.StructType([T.StructField("_run", T.IntegerType()), T.StructField("whole", T.BooleanType()), *fields, T.StructField("m", T.LongType()), T.StructField("n", vector), T.StructField("d", vector), T.StructField("last", T.ArrayType(T.BooleanType()))])
     brought, carried = {}, None
-    for r in sorted(walked.mapInArrow(ends, state).collect(), key=lambda r: r["_run"]):  # one row a run
+    for r in sorted(walked.mapInArrow(ends, state).collect(), key=lambda r: r["_run"]) if cut else []:  # one row a run
         key = tuple(r[k] for k in keys)
         n, d = np.array(r["n"]), np.array(r["d"])
         if carried is not None:

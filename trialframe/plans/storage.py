@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trialframe.operators import attributes, clean, features, light, stats
 from trialframe.operators.common import PLANT, ZONE, text
+from trialframe.plans.embeddings import LONG
 from trialframe.plans.registry import query
 from trialframe.plans.views import DAILY, TELEMETRY, daily, r6, s6, table, telemetry
 from trialframe.sources import tables
@@ -162,13 +163,14 @@ def stale_zones(spark, sf_dir):
     return tables.stale_zones(wanted, done)
 
 
-@query("SELECT vec_id, true AS same, CAST(10 AS INT) AS width FROM embeddings")
+@query(f"""WITH {LONG}, s AS (SELECT dim, avg(x) AS m FROM long GROUP BY 1) SELECT vec_id, true AS same, CAST(count(*) AS INT) AS width, {s6('sum(power(x - m, 2))')} AS squares FROM long JOIN s USING (dim) GROUP BY 1""")
 def saved_models(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    root, models = scratch(spark, "models"), features.fit_pca(e, "embedding", 10)
+    width = e.select(F.size("embedding")).first()[0]  # so many components keep a row's distance from the mean, if the model read back is whole
+    root, models = scratch(spark, "models"), features.fit_pca(e, "embedding", width)
     features.save_models(models, root)
     both = features.pca_project(features.pca_project(e, "embedding", models, "before"), "embedding", features.load_models(root), "after")
-    return both.select("vec_id", (F.col("before") == F.col("after")).alias("same"), F.size("after").alias("width"))
+    return both.select("vec_id", (F.col("before") == F.col("after")).alias("same"), F.size("after").alias("width"), r6(F.aggregate("after", F.lit(0.0), lambda t, x: t + x * x)).alias("squares"))
 
 
 @query("SELECT unnest(['e', 'z', 'plant_id', 'time', 'clean_area']) AS column_name, true AS stored, true AS whole")
