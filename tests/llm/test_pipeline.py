@@ -33,7 +33,7 @@ def test_empty_tables_pass_through(spark):
 
 def test_stage_names_and_queries():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality classifier", "n-gram Jaccard join", "benchmark decontamination", "best-fit packing"]
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_near_copies_leave_one_of_each_group(spark):
