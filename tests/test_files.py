@@ -229,3 +229,16 @@ def test_scratch_is_deleted(spark):
     scratch.forget_all(spark)
     assert not os.path.exists(at) and not scratch._made
     scratch._made += before
+
+
+def test_means_of_sheets_do_not_depend_on_the_order_of_rows(spark):
+    from trialframe.plans.views import mean_to
+
+    first = [90.38, 15.52, 258.77, 134.56, 161.71, 204.94, 74.94, 233.56]  # in this order doubles give 146.79749999999999
+    values = [first, sorted(first), first[::-1], [72.27, 149.03, 219.7, 206.27, 132.06, 150.77, 159.08, 195.0]]
+    rows = [(k, i, x) for k, v in enumerate(values) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "k int, i int, x double").repartition(1, "k").sortWithinPartitions("k", "i")
+    assert [r[1] for r in df.groupBy("k").agg(mean_to(3, "x")).sort("k").collect()] == [146.798, 146.798, 146.798, 160.523]
+    odd = spark.createDataFrame([(1, 0.5), (1, float("nan")), (2, 1e300), (2, None), (3, None), (4, -0.0005)], "k int, x double")
+    got = {r[0]: r[1] for r in odd.groupBy("k").agg(mean_to(3, "x")).collect()}
+    assert got[1] != got[1] and got[2] == 1e300 and got[3] is None and got[4] == -0.001

@@ -8,7 +8,7 @@ from trialframe.operators import attributes, clean, features, light, stats
 from trialframe.operators.common import PLANT, ZONE, text
 from trialframe.plans.embeddings import LONG
 from trialframe.plans.registry import query
-from trialframe.plans.views import DAILY, TELEMETRY, daily, r6, s6, table, telemetry
+from trialframe.plans.views import DAILY, TELEMETRY, daily, mean_to, r6, s6, table, telemetry
 from trialframe.sources import tables
 from trialframe.sources.scratch import name_files, scratch
 
@@ -118,7 +118,7 @@ def spectra_files(spark, sf_dir):
 @query(f"WITH {DAILY}, m AS (SELECT experiment, zone, round(avg(clean_area), 3) AS v FROM daily GROUP BY 1, 2) SELECT zone, {s6('avg(v)')} AS biomass FROM m GROUP BY 1")
 def harvest_sheet(spark, sf_dir):
     root = scratch(spark, "harvest")
-    wide = daily(spark, sf_dir).groupBy(F.col("experiment").cast("string").alias("Plot")).pivot("zone", list(range(1, 13))).agg(F.round(F.avg("clean_area"), 3))
+    wide = daily(spark, sf_dir).groupBy(F.col("experiment").cast("string").alias("Plot")).pivot("zone", list(range(1, 13))).agg(mean_to(3, "clean_area"))
     wide = wide.withColumnsRenamed({str(z): f"Zone {z}" for z in range(1, 13)})
     average = wide.agg(F.lit("Avg").alias("Plot"), *[F.avg(F.col(f"`Zone {z}`")).alias(f"Zone {z}") for z in range(1, 13)])
     wide.unionByName(average).write.option("header", True).csv(root)
