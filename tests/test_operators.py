@@ -509,3 +509,34 @@ def test_registered_resampling_is_the_surveys(spark, monkeypatch):
     for name in ("bootstrap_ci", "policy_summary"):
         assert registry.QUERIES[name](spark, "").count() == 2
     assert drawn == [10_000, 10_000]
+
+
+def test_search_holds_few_scores_at_once():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(10_000, 8)), 1)
+    x[5_000:] = x[:5_000]  # every score twice at least
+    x[17, 2] = np.nan
+    keys = rng.permutation(10_000).astype(np.int64)
+    ids, q = keys[:1_500], x[:1_500]
+    cells = np.sort(rng.integers(0, 5, 10_000)).astype(np.int32)
+    batch = pa.record_batch([pa.array(keys), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 8).cast(pa.list_(pa.float64())), pa.array(cells)], ["key", "v", "cell"])
+    results = []
+    for search, held in ((features._nearest, (ids, q)), (features._nearest_in_cells, (ids, q, np.ones((1_500, 5), bool)))):
+        tracemalloc.start()
+        found = list(search(SimpleNamespace(value=held), 15)(iter([batch.slice(0, 4_000), batch.slice(4_000)])))[0]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40 << 20  # all scores of a batch are 72 MB
+        results.append(found.to_pandas())
+    for i in (0, 1, 16, 18, 1_499):
+        score = np.round(x @ q[i], 6)
+        order = [j for j in np.lexsort((keys, -score)) if keys[j] != ids[i] and np.isfinite(score[j])][:15]
+        for found in results:
+            mine = found[found["query"] == ids[i]]
+            assert mine["neighbour"].tolist() == keys[order].tolist() and mine["similarity"].tolist() == score[order].tolist()
+    assert not (results[0]["query"] == ids[17]).any()
