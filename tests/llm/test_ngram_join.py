@@ -140,3 +140,20 @@ def test_components_that_are_not_reached_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(components, "MAX_ROUNDS", 2)
     with pytest.raises(RuntimeError, match="2 rounds"):
         components.components(path)
+
+
+def test_members_that_their_first_one_connects_are_not_sent_again(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base)]
+    for _ in range(119):
+        words = list(base)
+        for at in rng.choice(300, 3, replace=False):
+            words[at] = f"x{rng.integers(1 << 30)}"
+        texts.append(" ".join(words))
+    sent = []
+    verify = nj._verify_blocks
+    monkeypatch.setattr(nj, "_verify_blocks", lambda members, *rest: (sent.append(members.count()), verify(members, *rest))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = nj.ngram_jaccard_join(df, width=3, percent=90).collect()
+    assert {r["component_id"] for r in got} == {0} and sent == [0]

@@ -17,7 +17,9 @@ within their prefixes. The steps:
 4. Member pairs are thinned by parity sketches (their differing bits are a lower
    bound of the symmetric difference, so nothing that reaches the threshold is
    lost) and verified exactly on the whole sets. Members of one group are
-   verified as a bucket of their own.
+   verified as a bucket of their own. In large buckets, each member first meets
+   one that stands for its bucket; whole sets are sent to pairs of blocks only
+   for members that may link and that these links leave in different components.
 5. Links become connected components.
 
 Whatever the order, the result is exact: it moves only the work.
@@ -268,30 +270,34 @@ class _Pair:
 
 
 def _thin_blocks(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """The ``members`` to whom size, position and sketches leave a partner in their bucket; a row for each at most, not for each pair."""
+    """The ``members`` to whom size, position and sketches leave a partner in their bucket; a row for each at most, not for each pair.
+
+    Where members have a ``label``, a partner is one of another label.
+    """
 
     def thin(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         pair = _Pair(key, table, "k", percent)
         kept = np.zeros(len(pair.ids), bool)
-        for i, after in pair.partners([np.frombuffer(x, np.uint8) for x in pair.values]):
+        label = pair.rows["label"].to_numpy() if "label" in names else None
+        for i, after in pair.partners([np.frombuffer(x, np.uint8) for x in pair.values], label):
             kept[i] = True
             kept[after] = True
             if kept.all():
                 break
         return pair.rows.filter(pa.array(kept)).select(names)
 
-    names = ["t", "own", "g", "n", "pos", "id"]
+    names = [c for c in ("t", "own", "g", "n", "pos", "id", "label") if c in members.columns]
     rows = _deal_blocks(members, percent).join(marks.select("id", "k"), "id").select(*names, "block", "x", "y", "k")
     return rows.groupBy("t", "own", "x", "y").applyInArrow(thin, members.select(*names).schema).distinct()
 
 
 def _verify_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the ``members`` of large buckets, a spanning forest for each pair of blocks."""
+    """Links among the ``members`` of large buckets: with those of equal ``label`` taken as connected, a spanning forest for each pair of blocks."""
 
     def verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         pair = _Pair(key, table, "s", percent)
         held = [np.frombuffer(x, np.uint64) for x in pair.values]
-        label = np.arange(len(held))
+        label = pair.rows["label"].to_numpy().copy()
         u, w = [], []
         for i, after in pair.partners([sketch(one) for one in held], label):
             for j in after.tolist():
@@ -302,10 +308,31 @@ def _verify_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
                 break
         return pa.table({"u": pa.array(u, pa.int64()), "w": pa.array(w, pa.int64())})
 
-    rows = _deal_blocks(members, percent).join(sets, "id").select("t", "own", "g", "n", "pos", "id", "block", "x", "y", "s")
+    rows = _deal_blocks(members, percent).join(sets, "id").select("t", "own", "g", "n", "pos", "id", "label", "block", "x", "y", "s")
     return rows.groupBy("t", "own", "x", "y").applyInArrow(verify, "u long, w long")
 
 
+def _each_once(members: DataFrame) -> DataFrame:
+    """Of buckets with the same members, one."""
+    same = members.groupBy("t", "own").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.count("*").alias("c"))
+    once = same.groupBy("own", "x", "y", "c").agg(F.min("t").alias("t")).select("t", "own")
+    return members.join(once, ["t", "own"]).select(*members.columns)
+
+
+def _hubs(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each member b the smallest of its buckets' first members that the sketches leave possible."""
+    first = members.groupBy("t", "own").agg(F.min("id").alias("a"))
+    pairs = members.join(first, ["t", "own"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    return _thin_pairs(pairs, marks, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+
+def _still_apart(members: DataFrame, reached: DataFrame) -> DataFrame:
+    """``members`` of the buckets that hold more than one component, with their component as ``label``."""
+    labelled = members.join(reached, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    mixed = labelled.groupBy("t", "own").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least < _most")
+    return labelled.join(mixed.select("t", "own"), ["t", "own"]).select(*members.columns, "label")
+
+
 def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row of ``docs``.
 
@@ -368,17 +395,22 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     members = save(large.unionAll(own), "members")
     thinned = save(_thin_blocks(members, marks, percent), "thinned")
     # what is left of the buckets of near copies is the same members again and again: each set of them once
-    same = thinned.groupBy("t", "own").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.count("*").alias("c"))
-    once = same.groupBy("own", "x", "y", "c").agg(F.min("t").alias("t")).select("t", "own")
-    large = save(thinned.join(once, ["t", "own"]).select(*thinned.columns), "blocks")
+    large = save(_each_once(thinned), "blocks")
+    hubs = save(_hubs(large, marks, percent), "hubs")
+    near_pairs = pairs.unionAll(hubs)
 
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).unionAll(large.select("id")).distinct()
     needed = save(classes.join(ids, "id").select(F.col("id").alias("class"), F.col("doc").alias("id"), "f1"), "needed")
     sets = _sets(docs, needed, doc_id, text, width)
     sets = save(sets.dropDuplicates(["id"]) if repeats else sets, "sets")
-    links = _verify_pairs(pairs, sets, percent).unionAll(_verify_blocks(large, sets, percent))
-    reached = components(links)
-    for done in (alike, members, thinned, pairs, large, needed, sets, bucket):
+    # whole sets go to pairs of blocks only for members that may link and are not connected by then
+    first = save(components(_verify_pairs(near_pairs, sets, percent)), "reached")
+    apart = save(_still_apart(large, first), "apart")
+    apart_thinned = save(_thin_blocks(apart, marks, percent), "apart")
+    own_sets = sets.join(F.broadcast(apart_thinned.select("id").distinct()), "id", "left_semi") if small(apart_thinned, BROADCAST_IDS) else sets
+    links = _verify_blocks(_each_once(apart_thinned), own_sets, percent)
+    reached = components(first.select(F.col("id").alias("u"), F.col("component").alias("w")).unionAll(links))
+    for done in (alike, members, thinned, pairs, large, hubs, needed, sets, bucket, first, apart, apart_thinned):
         forget(done)
     label = classes.join(reached, "id", "left").select("n", "f1", "f2", F.col("doc").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
     if repeats:
